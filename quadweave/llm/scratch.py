@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """`spark.checkpoint.dir` of the session; where it is unset (tests), a folder of this process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quadweave-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="quadweave-"))
+    return _own[0]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
