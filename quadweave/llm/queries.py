@@ -26,6 +26,12 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import pii
+
+    return pii.span_digests(_documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadweave.llm import jaccard_join
 
