@@ -32,6 +32,12 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(_documents(spark, sf_dir))
 
 
+def op4_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import covertree
+
+    return covertree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 50 = 0", k=5)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadweave.llm import jaccard_join
 
