@@ -16,7 +16,7 @@ row; what a task holds is one block of data and one block of queries.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, nor do rows
 without id.  Vectors of another length than most take no part in a search against the others: each length
-is searched by itself.  Repeated rows are candidates each; a query does not find rows of its own id.  With
+is searched by itself.  Scores beyond a long are held at its limits.  Repeated rows are candidates each; a query does not find rows of its own id.  With
 fewer than k candidates all are returned.  An empty table gives no rows.
 """
 
@@ -82,7 +82,10 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a.astype(object).dot(b.T.astype(object)).astype(np.int64) if most >= 2**63 else a.astype(np.int64) @ b.T.astype(np.int64)
+    if most < 2**63:
+        return a.astype(np.int64) @ b.T.astype(np.int64)
+    whole = a.astype(object).dot(b.T.astype(object))
+    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 class Best:
