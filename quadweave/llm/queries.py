@@ -52,6 +52,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import language
+
+    return language.identify(_documents(spark, sf_dir))
+
+
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import tiling
+
+    return tiling.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
