@@ -38,6 +38,18 @@ def op4_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 50 = 0", k=5)
 
 
+def op5_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import licenses
+
+    return licenses.find(_documents(spark, sf_dir))
+
+
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import pseudo_likelihood
+
+    return pseudo_likelihood.score(_documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadweave.llm import jaccard_join
 
