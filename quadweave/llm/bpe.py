@@ -209,3 +209,26 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
     kept = df.select(key, F.col(text).alias("__text"))
     kind = kept.schema[key].dataType.simpleString()
     return kept.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, `n_tokens`, `ids`, and whether the ids decode to the bytes of the text, for every row."""
+
+    def run(batches):
+        bpe = worker_bpe(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # ids of a few hundred texts at a time
+                part = batch.slice(at, 256)
+                found, same = [], []
+                for value in _texts(part, "__text"):
+                    ids = bpe.encode(value)
+                    found.append(ids.astype(np.int32))
+                    same.append(bpe.decode(ids.tolist()) == value.encode())
+                sizes = np.array([len(ids) for ids in found], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(sizes), ids, pa.array(same, pa.bool_())], [key, "n_tokens", "ids", "lossless"])
+
+    kept = df.select(key, F.col(text).alias("__text"))
+    kind = kept.schema[key].dataType.simpleString()
+    return kept.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids array<int>, lossless boolean")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadweave.llm.kernels import mix
 from quadweave.llm.scratch import written
@@ -149,8 +150,10 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """`key`, `held_out`, `lang_pred` and `score` of every row; held-out rows teach nothing."""
+def annotated(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """All columns, with `held_out`, `lang_pred` and `score`, which replace columns of these names.
+
+    Held-out rows teach nothing; the text alone decides a prediction."""
     labelled = df.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang)
     names, masks = fit(labelled, key, text, lang)
     rates = np.array([min(0.99, (((masks[i // 8] >> (i % 8)) & 1).mean()) ** HASHES) for i in range(len(names))])
@@ -160,12 +163,18 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         model = shared.value
         for batch in batches:
             found, scores = [], []
-            for part in _slices(batch.column("__text").to_pylist()):
+            for part in _slices(batch.column(text).to_pylist()):
                 f, s = predict(part, *model)
                 found += f
                 scores.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [key, "held_out", "lang_pred", "score"])
+            added = [pa.array(found, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "lang_pred", "score"])
+
+    rows = df.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out(F.col(key)))
+    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields + added.fields))
 
-    rows = df.select(F.col(key), held_out(F.col(key)).alias("held_out"), F.col(text).alias("__text"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
+
+def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """`key`, `held_out`, `lang_pred` and `score` of every row."""
+    return annotated(df.select(key, text, lang), key, text, lang).select(key, "held_out", "lang_pred", "score")
