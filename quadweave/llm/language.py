@@ -6,8 +6,8 @@ positions.  A text's n-grams (3 and 4 letters, with word borders) are counted by
 in a filter that reports absent n-grams with probability f is corrected to (s - f) / (1 - f); the language
 with the largest corrected share is predicted, and that share is the score.
 
-The filters are fitted on a bounded sample of the labelled rows: at most `SAMPLE` rows for each of at most
-`MAX_LANGUAGES` languages (the most frequent), taken by a hash of the key; an n-gram enters a filter if
+The filters are fitted on a bounded sample of the labelled rows: about `SAMPLE` rows for each of at most
+`MAX_LANGUAGES` languages (the most frequent), taken by a hash of the row; an n-gram enters a filter if
 `SUPPORT` rows of the language have it.  Every text is then predicted from the whole of it.
 
 Defined results: a null text, or one without letters, is `und` with score 0; so is every text if no row is
@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.llm.kernels import mix
-from quadweave.llm.scratch import written
 
 SAMPLE = 600
 MAX_LANGUAGES = 256
@@ -101,9 +100,10 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str) -> tuple[list[str],
     names = [r[0] for r in sizes]
     if not names:
         return [], []
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    ids = labelled.select(key, lang).withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).where(F.col(lang).isin(names)).select(key)
-    sample = labelled.join(F.broadcast(written(ids, "sample").distinct()), key, "left_semi")  # SAMPLE * MAX_LANGUAGES keys at most
+    # A hash of the row decides, at the rate that gives SAMPLE rows of the language.
+    rates = spark.createDataFrame([(r[0], min(1.0, SAMPLE / r[1])) for r in sizes], "lang_name string, rate double")
+    place_of = F.pmod(F.xxhash64(key, text), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = labelled.join(F.broadcast(rates), F.col(lang) == F.col("lang_name")).where(place_of < F.col("rate"))
     place = {name: i for i, name in enumerate(names)}
 
     def run(batches):
