@@ -27,6 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadweave.llm.pii import let
 from quadweave.llm.scratch import written
 
 SHINGLE = 5
@@ -55,10 +56,10 @@ def _shingles(words: list[str]) -> list[str]:
 
 
 def anchors(words: list[str]) -> list[str]:
-    """Words of a template such that each shingle has one: those in most shingles first, longer before shorter."""
+    """Words of a template such that each shingle has one; long words that are in many shingles come first."""
     left, chosen = [s.split() for s in _shingles(words)], []
     while left:
-        word = max({w for s in left for w in s}, key=lambda w: (sum(w in s for s in left), len(w), w))
+        word = max({w for s in left for w in s}, key=lambda w: (sum(w in s for s in left) * len(w) ** 2, w))
         chosen.append(word)
         left = [s for s in left if word not in s]
     return chosen
@@ -93,8 +94,10 @@ def find(df: DataFrame, templates: dict[str, str] | None = None, key: str = "doc
     # All windows must be aligned with their lengths; one pass of the texts keeps the words of the few that have an anchor.
     every = sorted({a for words in split.values() for a in anchors(words)})
     lowered = F.lower(F.col(text))
-    held = df.where(lowered.rlike("|".join(f"\\Q{a}\\E" for a in every))).select(F.col(key).alias("key"), F.filter(F.split(lowered, _GAP), lambda w: w != "").alias("words"))
-    held = written(held, "anchored")
+    held = df.where(lowered.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(f"\\Q{a}\\E" for a in every) + r")(?![\p{L}\p{N}])")).select(F.col(key).alias("key"), F.filter(F.split(lowered, _GAP), lambda w: w != "").alias("words"))
+    # The few texts that are left are spread over all tasks again.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    held = written(held.repartition(tasks), "anchored").repartition(tasks)
     found = [_of_length(spark, held, n, {name: words for name, words in split.items() if len(words) == n}) for n in sorted({len(words) for words in split.values()})]
     rows = found[0]
     for more in found[1:]:
@@ -111,9 +114,10 @@ def _of_length(spark: SparkSession, held: DataFrame, n: int, templates: dict[str
     near = F.array(*map(F.lit, sorted({a for words in templates.values() for a in anchors(words)})))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(n))
     windows = held.select("key", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("words", i + 1, F.lit(2 * n)).alias("w")))).alias("x"))
-    windows = windows.where(F.arrays_overlap("x.w", near)).select("key", F.col("x.at").alias("at"), _hashes(F.col("x.w"), size).alias("hashes")).where(F.size("hashes") > 0)
-    values = windows.select("key", "at", "hashes", F.explode(_band_values(F.col("hashes"), count)).alias("b"))
-    retrieved = values.select("key", "at", "hashes", F.col("b.band").alias("band"), F.col("b.value").alias("value")).join(F.broadcast(index), ["band", "value"])
+    windows = windows.where(F.arrays_overlap("x.w", near))
+    # The hashes of a window are computed once and go along with each of its bands.
+    values = windows.select("key", F.col("x.at").alias("at"), F.explode(let(_hashes(F.col("x.w"), size), lambda h: F.transform(_band_values(h, count), lambda b: F.struct(b["band"].alias("band"), b["value"].alias("value"), h.alias("hashes"))))).alias("b"))
+    retrieved = values.select("key", "at", "b.hashes", "b.band", "b.value").where(F.col("value").isNotNull()).join(F.broadcast(index), ["band", "value"])
     common = F.size(F.array_intersect("hashes", "wanted")) / F.size("wanted")
     verified = retrieved.withColumn("containment", common).where(F.col("containment") >= CONTAINMENT)
     return verified.groupBy("key", "license", F.col("at").alias("first_word")).agg(F.max("containment").alias("containment"))
