@@ -9,6 +9,10 @@ from quadweave.model import ORDER, facts
 from quadweave.operators.tableview import facts_of_view
 
 
+#: Added facts come behind loaded ones.
+ADDED = 1 << 60
+
+
 def _value(value):
     return F.lit(None if value is None else str(value)).cast("string")
 
@@ -30,7 +34,8 @@ def update_from_facts(data: DataFrame, changes: DataFrame, update: bool = True,
     Of several changes of one property the first counts; a null VALUE overwrites; added facts without
     INSTANCE_ID have none."""
     on = ["ID", "KEY"] + (["INSTANCE_ID"] if "INSTANCE_ID" in changes.columns else [])
-    first = facts(changes).groupBy(*on).agg(F.min_by(F.struct("VALUE"), F.coalesce(ORDER, F.lit(0))).alias("change"))
+    order = F.coalesce(ORDER, F.lit(0).cast("bigint"))
+    first = facts(changes).groupBy(*on).agg(F.min_by(F.struct("VALUE"), order).alias("change"), F.min(order).alias("place"))
     kept = data
     if update:
         own = first.select(*(F.col(c).alias(f"_{c}") for c in on), "change")
@@ -40,7 +45,10 @@ def update_from_facts(data: DataFrame, changes: DataFrame, update: bool = True,
     if not add:
         return kept
     there = data.select(*(F.col(c).alias(f"_{c}") for c in on))
-    fresh = first.join(there, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], "left_anti").withColumn("VALUE", F.col("change.VALUE")).drop("change")
+    fresh = first.join(there, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], "left_anti").withColumn("VALUE", F.col("change.VALUE"))
+    fresh = fresh.withColumn(ORDER, F.lit(ADDED) + F.col("place")).drop("change", "place")  # behind all that was loaded
+    if ORDER not in data.columns:
+        fresh = fresh.drop(ORDER)
     if "INSTANCE_ID" not in on:
         fresh = fresh.withColumn("INSTANCE_ID", F.lit(None).cast("string"))
     return kept.unionByName(fresh, allowMissingColumns=True)
