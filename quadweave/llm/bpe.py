@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens that a Python worker keeps; each takes about 150 bytes.
-CACHE_ENTRIES = 300_000
+#: Distinct pre-tokens that a Python worker keeps; each takes about 250 bytes.
+CACHE_ENTRIES = 120_000
 #: Characters of text whose pre-tokens are held as Python strings at a time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 
 
 def byte_characters() -> list[str]:

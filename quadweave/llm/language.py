@@ -33,7 +33,7 @@ SUPPORT = 3
 POSITIONS = 1 << 20
 HASHES = 2
 SIZES = (3, 4)
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
 U = np.uint64
 _letters: list[np.ndarray] = []
 
@@ -44,10 +44,11 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def _slices(texts: Iterator[str | None]) -> Iterator[list[str]]:
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """Some texts at a time as Python strings."""
     held, size = [], 0
-    for text in texts:
-        text = text or ""
+    for value in texts:
+        text = value.as_py() or ""
         if held and size + len(text) > SLICE_CHARS:
             yield held
             held, size = [], 0
@@ -163,7 +164,7 @@ def annotated(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         model = shared.value
         for batch in batches:
             found, scores = [], []
-            for part in _slices(batch.column(text).to_pylist()):
+            for part in _slices(batch.column(text)):
                 f, s = predict(part, *model)
                 found += f
                 scores.append(s)
