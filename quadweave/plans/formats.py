@@ -80,3 +80,16 @@ def graph_nodes_edges(spark, sf):
 @_query("SELECT 'Order-' || l_orderkey AS ID, count(*) AS parts FROM lineitem GROUP BY 1")
 def multivalue_sizes(spark, sf):
     return t.wide(star.graph(spark, sf, "OrderParts"), ["Order.Part"], multivalue=True).select("ID", F.size("`Order.Part`").cast("bigint").alias("parts"))
+
+
+@_query("SELECT ID, KEY, VALUE FROM (" + _CUSTOMER + ")")
+def landing_stream(spark, sf):
+    """The customer table as a stream of files, appended to a graph table until all are taken."""
+    from quadweave.streaming import landing
+
+    kind = spark.read.parquet(f"{sf}/customer.parquet").schema
+    rows = spark.readStream.schema(kind).option("pathGlobFilter", "customer.parquet").parquet(sf)
+    table, progress = _folder(spark), _folder(spark)
+    landing.append_new(star.objects(rows, star.CLASSES["Customer"]), table, progress)
+    landing.append_new(star.objects(rows, star.CLASSES["Customer"]), table, progress)  # nothing is taken twice
+    return spark.read.parquet(table).select("ID", "KEY", "VALUE")
