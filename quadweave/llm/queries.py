@@ -82,4 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quadweave.llm import sql
+
+    return {"op2_warc_round_trip": sql.WARC, "op4_cover_tree_top_k": sql.TOP_K, "op5_license_windows": sql.LICENSES, "op7_jaccard_join": sql.JACCARD}
