@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadweave.llm.scratch import small_batches
+
 #: Distinct pre-tokens that a Python worker keeps; each takes about 250 bytes.
 CACHE_ENTRIES = 120_000
 #: Characters of text whose pre-tokens are held as Python strings at a time.
@@ -166,6 +168,7 @@ def encode(df: DataFrame, path: str, pattern: str, keys: list[str], text: str =
                 row["offsets"] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pairs)
                 yield pa.RecordBatch.from_pydict(row)
 
+    small_batches(df.sparkSession)
     kept = df.select(*keys, F.col(text).alias("__text"))
     schema = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
     return kept.mapInArrow(run, f"{schema}, ids array<int>, offsets array<struct<start:int,end:int>>")
@@ -180,6 +183,7 @@ def decode(df: DataFrame, path: str, pattern: str, keys: list[str], ids: str = "
             got = [bpe.decode(value.as_py() or ()) for value in batch.column("__ids")]
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keys} | {"bytes": pa.array(got, pa.binary())})
 
+    small_batches(df.sparkSession)
     kept = df.select(*keys, F.col(ids).alias("__ids"))
     schema = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
     return kept.mapInArrow(run, f"{schema}, bytes binary")
@@ -206,6 +210,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
                 of_bytes.append(bytes_digest.hexdigest())
             yield pa.RecordBatch.from_pydict({key: batch.column(key), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_bytes})
 
+    small_batches(df.sparkSession)
     kept = df.select(key, F.col(text).alias("__text"))
     kind = kept.schema[key].dataType.simpleString()
     return kept.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -229,6 +234,7 @@ def tokenised(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(sizes), ids, pa.array(same, pa.bool_())], [key, "n_tokens", "ids", "lossless"])
 
+    small_batches(df.sparkSession)
     kept = df.select(key, F.col(text).alias("__text"))
     kind = kept.schema[key].dataType.simpleString()
     return kept.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids array<int>, lossless boolean")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.llm.kernels import mix
+from quadweave.llm.scratch import small_batches
 
 SAMPLE = 600
 MAX_LANGUAGES = 256
@@ -155,6 +156,7 @@ def annotated(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """All columns, with `held_out`, `lang_pred` and `score`, which replace columns of these names.
 
     Held-out rows teach nothing; the text alone decides a prediction."""
+    small_batches(df.sparkSession)
     labelled = df.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang)
     names, masks = fit(labelled, key, text, lang)
     rates = np.array([min(0.99, (((masks[i // 8] >> (i % 8)) & 1).mean()) ** HASHES) for i in range(len(names))])

@@ -37,3 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     where = f"{new_folder(spark, name)}/table"
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+#: Rows of an Arrow batch; Spark's default of 10,000 texts of any length is too much for a worker.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch, for columns of whole texts; a lower setting stays."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.llm.kernels import shingles, word_slices
-from quadweave.llm.scratch import written
+from quadweave.llm.scratch import small_batches, written
 
 LEAST_WORDS = 5
 COVERAGE = 0.5
@@ -140,6 +140,7 @@ def _near(document: np.ndarray, seed_at: np.ndarray) -> np.ndarray:
 
 def leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each document and item that it leaks, with the tiles in word positions."""
+    small_batches(documents.sparkSession)
     docs = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("bigint").alias("item_id"), F.col(item_text).alias("item"))
     size = items.agg(F.sum(F.octet_length("item") + 64)).first()[0] or 0

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadweave.llm.scratch import small_batches
+
 TABLE_ENTRIES = 32_768
 SUMMARY_ENTRIES = 8_192
 #: Words counted exactly in a task; beyond that the rarer half is dropped.
@@ -179,6 +181,7 @@ def _worker_counter(path: str, table) -> JsonCounter | PieceCounter:
 
 def token_counts(df: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_bytes` (UTF-8), `n_tokens` and `over_limit` of every row."""
+    small_batches(df.sparkSession)
     table = {} if path.endswith(".model") else frequent_lengths(df, path, text)
     shared = df.sparkSession.sparkContext.broadcast(table)
 

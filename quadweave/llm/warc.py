@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.scratch import new_folder, written
+from quadweave.llm.scratch import new_folder, small_batches, written
 
 CHUNK_BYTES = 256 * 1024
 FILE_BYTES = 256 * 1024 * 1024
@@ -221,6 +221,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """One row per page, from the archives written for them: what the last chunk of each record carries."""
+    small_batches(pages.sparkSession)
     folder = new_folder(pages.sparkSession, "warc")
     manifest = write_archives(with_first_pages(pages, least_bytes), folder)
     chunks = read_archives(manifest, folder)

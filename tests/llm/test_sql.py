@@ -1,5 +1,6 @@
 """Queries of the llm operators against SQL over the given tables."""
 
+import pandas as pd
 import pytest
 
 llm = pytest.importorskip("quadweave.llm.queries")
@@ -7,7 +8,7 @@ llm = pytest.importorskip("quadweave.llm.queries")
 
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_same_as_sql(spark, duck, sf, name):
-    shown = lambda v: "null" if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) else str(v)
+    shown = lambda v: "null" if pd.isna(v) else repr(round(float(v), 6)) if isinstance(v, (int, float)) else str(v)
     rows = lambda f: sorted(tuple(map(shown, r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     got, want = llm.queries()[name](spark, sf).toPandas(), duck.sql(llm.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
