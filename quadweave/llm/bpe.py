@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quadweave.llm.scratch import small_batches
 
 #: Distinct pre-tokens that a Python worker keeps; each takes about 250 bytes.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 160_000
 #: Characters of text whose pre-tokens are held as Python strings at a time.
 SLICE_CHARS = 250_000
 
@@ -79,6 +79,7 @@ class ByteBpe:
         self.cut = regex.compile(pattern).finditer
         self.pieces = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Decoding goes through the spelt vocabulary, back by the byte table.
         back = {c: b for b, c in enumerate(byte_characters())}
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
@@ -89,12 +90,19 @@ class ByteBpe:
     def _ids(self, pieces: list[str]) -> bytes:
         """Ids of the pieces in turn, as little-endian unsigned 32-bit integers."""
         cache = self.cache
-        missing = list(set(pieces).difference(cache))
+        missing = set(pieces).difference(cache)
+        if missing and len(cache) + len(missing) > CACHE_ENTRIES // 2:
+            # What is looked up again moves on from the older half; the rest goes with it.
+            self.older, self.cache = cache, {}
+            cache, missing = self.cache, set(pieces)
         if missing:
-            if len(cache) + len(missing) > CACHE_ENTRIES:
-                cache.clear()
-                missing = list(set(pieces))
-            for piece, got in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            older, fresh = self.older, []
+            for piece in missing:
+                if piece in older:
+                    cache[piece] = older[piece]
+                else:
+                    fresh.append(piece)
+            for piece, got in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
                 cache[piece] = np.array(got.ids, "<u4").tobytes()
         return b"".join(map(cache.__getitem__, pieces))
 
