@@ -32,11 +32,7 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import importlib
-
-    for name in ("formats", "rules"):
-        if importlib.util.find_spec(f"quadweave.plans.{name}"):
-            importlib.import_module(f"quadweave.plans.{name}")
+    from quadweave.plans import formats, rules  # noqa: F401  their queries join these
 
     return dict(_QUERIES)
 
