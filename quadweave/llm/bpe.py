@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.scratch import small_batches
+from quadweave.llm.scratch import released, small_batches
 
 #: Distinct pre-tokens that a Python worker keeps; each takes about 250 bytes.
 CACHE_ENTRIES = 160_000
@@ -147,13 +147,16 @@ class ByteBpe:
         return np.stack([number[starts] - 1, number[ends - 1]], 1) if len(ids) else np.zeros((0, 2), np.int64)
 
 
-_made: dict[tuple[str, str], ByteBpe] = {}
+def _bound(run, path: str, pattern: str):
+    """Gives a task its encoder and frees it at the task's end: workers live on and serve other steps."""
 
+    def whole(batches):
+        bpe = None
+        for batch in batches:
+            bpe = bpe or ByteBpe(path, pattern)
+            yield from run(bpe, batch)
 
-def worker_bpe(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _made:
-        _made[path, pattern] = ByteBpe(path, pattern)
-    return _made[path, pattern]
+    return released(whole)
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
@@ -164,37 +167,33 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
 def encode(df: DataFrame, path: str, pattern: str, keys: list[str], text: str = "text") -> DataFrame:
     """`keys`, `ids` (array<int>) and `offsets` (array<struct<start,end>>, characters) of every row."""
 
-    def run(batches):
-        bpe = worker_bpe(path, pattern)
-        for batch in batches:
-            for i, value in enumerate(_texts(batch, "__text")):
-                ids = bpe.encode(value)
-                spans = bpe.offsets(value, ids)
-                row = {k: batch.column(k).slice(i, 1) for k in keys}
-                pairs = pa.StructArray.from_arrays([pa.array(spans[:, 0], pa.int32()), pa.array(spans[:, 1], pa.int32())], ["start", "end"])
-                row["ids"] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids.astype(np.int32)))
-                row["offsets"] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pairs)
-                yield pa.RecordBatch.from_pydict(row)
+    def run(bpe, batch):
+        for i, value in enumerate(_texts(batch, "__text")):
+            ids = bpe.encode(value)
+            spans = bpe.offsets(value, ids)
+            row = {k: batch.column(k).slice(i, 1) for k in keys}
+            pairs = pa.StructArray.from_arrays([pa.array(spans[:, 0], pa.int32()), pa.array(spans[:, 1], pa.int32())], ["start", "end"])
+            row["ids"] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids.astype(np.int32)))
+            row["offsets"] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pairs)
+            yield pa.RecordBatch.from_pydict(row)
 
     small_batches(df.sparkSession)
     kept = df.select(*keys, F.col(text).alias("__text"))
     schema = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
-    return kept.mapInArrow(run, f"{schema}, ids array<int>, offsets array<struct<start:int,end:int>>")
+    return kept.mapInArrow(_bound(run, path, pattern), f"{schema}, ids array<int>, offsets array<struct<start:int,end:int>>")
 
 
 def decode(df: DataFrame, path: str, pattern: str, keys: list[str], ids: str = "ids") -> DataFrame:
     """`keys` and `bytes` of every row of ids; null ids decode to nothing."""
 
-    def run(batches):
-        bpe = worker_bpe(path, pattern)
-        for batch in batches:
-            got = [bpe.decode(value.as_py() or ()) for value in batch.column("__ids")]
-            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keys} | {"bytes": pa.array(got, pa.binary())})
+    def run(bpe, batch):
+        got = [bpe.decode(value.as_py() or ()) for value in batch.column("__ids")]
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keys} | {"bytes": pa.array(got, pa.binary())})
 
     small_batches(df.sparkSession)
     kept = df.select(*keys, F.col(ids).alias("__ids"))
     schema = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
-    return kept.mapInArrow(run, f"{schema}, bytes binary")
+    return kept.mapInArrow(_bound(run, path, pattern), f"{schema}, bytes binary")
 
 
 def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,46 +202,42 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
     Ids and bytes go through the digests part by part, so that a long text is never held whole as ids.
     """
 
-    def run(batches):
-        bpe = worker_bpe(path, pattern)
-        for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for value in _texts(batch, "__text"):
-                ids_digest, bytes_digest, n = hashlib.sha256(), hashlib.sha256(), 0
-                for part in bpe.encode_parts(value):
-                    ids_digest.update(part)
-                    bytes_digest.update(bpe.decode(np.frombuffer(part, "<u4").tolist()))
-                    n += len(part) // 4
-                counts.append(n)
-                of_ids.append(ids_digest.hexdigest())
-                of_bytes.append(bytes_digest.hexdigest())
-            yield pa.RecordBatch.from_pydict({key: batch.column(key), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_bytes})
+    def run(bpe, batch):
+        counts, of_ids, of_bytes = [], [], []
+        for value in _texts(batch, "__text"):
+            ids_digest, bytes_digest, n = hashlib.sha256(), hashlib.sha256(), 0
+            for part in bpe.encode_parts(value):
+                ids_digest.update(part)
+                bytes_digest.update(bpe.decode(np.frombuffer(part, "<u4").tolist()))
+                n += len(part) // 4
+            counts.append(n)
+            of_ids.append(ids_digest.hexdigest())
+            of_bytes.append(bytes_digest.hexdigest())
+        yield pa.RecordBatch.from_pydict({key: batch.column(key), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_bytes})
 
     small_batches(df.sparkSession)
     kept = df.select(key, F.col(text).alias("__text"))
     kind = kept.schema[key].dataType.simpleString()
-    return kept.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(_bound(run, path, pattern), f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenised(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_tokens`, `ids`, and whether the ids decode to the bytes of the text, for every row."""
 
-    def run(batches):
-        bpe = worker_bpe(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # ids of a few hundred texts at a time
-                part = batch.slice(at, 256)
-                found, same = [], []
-                for value in _texts(part, "__text"):
-                    ids = bpe.encode(value)
-                    found.append(ids.astype(np.int32))
-                    same.append(bpe.decode(ids.tolist()) == value.encode())
-                sizes = np.array([len(ids) for ids in found], np.int64)
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(sizes), ids, pa.array(same, pa.bool_())], [key, "n_tokens", "ids", "lossless"])
+    def run(bpe, batch):
+        for at in range(0, batch.num_rows, 256):  # ids of a few hundred texts at a time
+            part = batch.slice(at, 256)
+            found, same = [], []
+            for value in _texts(part, "__text"):
+                ids = bpe.encode(value)
+                found.append(ids.astype(np.int32))
+                same.append(bpe.decode(ids.tolist()) == value.encode())
+            sizes = np.array([len(ids) for ids in found], np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(sizes), ids, pa.array(same, pa.bool_())], [key, "n_tokens", "ids", "lossless"])
 
     small_batches(df.sparkSession)
     kept = df.select(key, F.col(text).alias("__text"))
     kind = kept.schema[key].dataType.simpleString()
-    return kept.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids array<int>, lossless boolean")
+    return kept.mapInArrow(_bound(run, path, pattern), f"`{key}` {kind}, n_tokens bigint, ids array<int>, lossless boolean")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.llm.kernels import mix
-from quadweave.llm.scratch import small_batches
+from quadweave.llm.scratch import released, small_batches
 
 SAMPLE = 600
 MAX_LANGUAGES = 256
@@ -175,7 +175,7 @@ def annotated(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     rows = df.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out(F.col(key)))
     added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields + added.fields))
+    return rows.mapInArrow(released(run), T.StructType(rows.schema.fields + added.fields))
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.llm.kernels import shingles, word_slices
-from quadweave.llm.scratch import small_batches, written
+from quadweave.llm.scratch import released, small_batches, written
 
 LEAST_WORDS = 5
 COVERAGE = 0.5
@@ -180,7 +180,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, coverage: float) -> DataFra
                             out.append(found)
             yield pa.RecordBatch.from_pylist(out, _ARROW)
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(released(run), _SCHEMA)
 
 
 def _seed_rows(batches):
