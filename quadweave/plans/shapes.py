@@ -323,8 +323,22 @@ def report_lines(violations: DataFrame) -> DataFrame:
         link("focusNode", subject(F.col("ID"))),
         link("resultPath", F.when(F.col("KEY").isNotNull(), F.concat(F.lit("<http://iec.ch/TC57/CIM100#"), F.col("KEY"), F.lit(">")))),
         link("value", literal(F.col("VALUE"))),
-        link("sourceConstraintComponent", F.concat(F.lit(f"<{sh}"), F.initcap("VIOLATION_TYPE"), F.lit("ConstraintComponent>"))),
+        link("sourceConstraintComponent", F.concat(F.lit(f"<{sh}"), F.upper(F.substring("VIOLATION_TYPE", 1, 1)), F.substr("VIOLATION_TYPE", F.lit(2)), F.lit("ConstraintComponent>"))),
         link("resultMessage", literal(F.col("MESSAGE"))),
         link("resultSeverity", F.concat(F.lit(f"<{sh}"), F.col("SEVERITY"), F.lit(">"))),
     )
     return violations.select(F.explode(lines).alias("line")).where(F.col("line").isNotNull())
+
+
+def violations_of_report(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The violations that `report_lines` (or another report of this form) states; shapes are not part of it."""
+    from quadweave.functions.terms import facts_of_quads
+    from quadweave.operators.tableview import wide
+
+    sh = "http://www.w3.org/ns/shacl#"
+    rows = facts_of_quads(lines.select(F.col(line).alias("value"))).where(F.col("KEY").startswith(sh))
+    short = rows.select("ID", F.substr("KEY", F.lit(len(sh) + 1)).alias("KEY"), "VALUE", F.lit(0).cast("bigint").alias("_ord"))
+    view = wide(short, ["focusNode", "resultPath", "value", "sourceConstraintComponent", "resultMessage", "resultSeverity"])
+    name = F.regexp_replace(F.regexp_replace("sourceConstraintComponent", f"^{sh}", ""), r"ConstraintComponent\z", "")
+    kind = F.concat(F.lower(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
+    return view.select(F.col("focusNode").alias("ID"), F.col("resultPath").alias("KEY"), F.col("value").alias("VALUE"), kind.alias("VIOLATION_TYPE"), F.col("resultMessage").alias("MESSAGE"), F.regexp_replace("resultSeverity", f"^{sh}", "").alias("SEVERITY"))

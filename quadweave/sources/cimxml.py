@@ -7,6 +7,7 @@ a fact for every element.  Object order within a file is kept in `_ord`; files a
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -133,3 +134,25 @@ def read_cimxml(spark: SparkSession, paths, shorten_resources: bool = True) -> D
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
     return files.mapInArrow(run, "ID string, KEY string, VALUE string, INSTANCE_ID string, _ord bigint")
+
+
+_OBJECT = re.compile(rb"<[\w:.-]+\s[^>]*?rdf:(?:ID|about|nodeID)\s*=\s*[\"']([^\"']*)[\"']")
+
+
+def object_lines(spark: SparkSession, paths) -> DataFrame:
+    """(SOURCE_URI, ID, SOURCE_LINE, SOURCE_SNIPPET): where objects begin in their files; join violations on ID."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for name, document in members(path.as_py(), content.as_py()):
+                    ids, lines, snippets, line, at = [], [], [], 1, 0
+                    for m in _OBJECT.finditer(document):
+                        line, at = line + document.count(b"\n", at, m.start()), m.start()
+                        ids.append(clean_id(m[1].decode()))
+                        lines.append(line)
+                        snippets.append(document[m.start() : m.start() + 120].split(b"\n")[0].decode(errors="replace"))
+                    yield pa.RecordBatch.from_pydict({"SOURCE_URI": pa.array([name] * len(ids), pa.string()), "ID": pa.array(ids, pa.string()), "SOURCE_LINE": pa.array(lines, pa.int32()), "SOURCE_SNIPPET": pa.array(snippets, pa.string())})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    return files.mapInArrow(run, "SOURCE_URI string, ID string, SOURCE_LINE int, SOURCE_SNIPPET string")

@@ -62,3 +62,10 @@ def test_cleaned_ids():
 def test_entities_are_refused():
     with pytest.raises(ValueError):
         cimxml.parse("x.xml", b'<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>')
+
+
+def test_lines_of_objects(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(XML)
+    found = cimxml.object_lines(spark, str(tmp_path))
+    assert _set(found, "ID", "SOURCE_LINE") == {("S1", 3), ("b", 4)}
+    assert found.where("ID = 'S1'").first()["SOURCE_SNIPPET"].startswith('<cim:Substation rdf:ID="_S1">')

@@ -7,7 +7,7 @@ from quadweave import model
 from quadweave.functions import counts, grid
 from quadweave.operators import diff, filters, mutate, references, tableview
 from quadweave.plans import patterns
-from quadweave.plans.shapes import Rule, sarif, validate
+from quadweave.plans.shapes import Rule, report_lines, sarif, validate, violations_of_report
 
 MULTI = [("m1", "Type", "MultiThing", "mi"), ("m1", "name", "first", "mi"), ("m1", "name", "second", "mi"), ("m2", "Type", "MultiThing", "mi"), ("m2", "name", "solo", "mi")]
 CHAIN = [(n, "Type", "Thing", "i") for n in "abcd"] + [("a", "Thing.To", "b", "i"), ("b", "Thing.To", "c", "i"), ("c", "Thing.To", "a", "i"), ("d", "Thing.To", "zzz", "i")]
@@ -162,3 +162,11 @@ def test_sarif(spark):
     found = validate(_breakers(spark, **{f"b{i}": [] for i in range(8)}), [Rule("s", "minCount", "Breaker", "name", 1)])
     result = sarif(found)["runs"][0]["results"]
     assert len(result) == 1 and result[0]["properties"] == {"kind": "minCount", "count": 8}
+
+
+def test_report_and_back(spark):
+    found = validate(_breakers(spark, b1=['x "1"'], b2=[]), [Rule("s", "minCount", "Breaker", "name", 1), Rule("s", "maxLength", "Breaker", "name", 2, message="short")])
+    back = violations_of_report(report_lines(found))
+    columns = ("ID", "KEY", "VALUE", "MESSAGE", "SEVERITY")
+    assert _set(back, *columns) == _set(found, *columns)
+    assert _set(back, "VIOLATION_TYPE") == {("minCount",), ("maxLength",)}
