@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def library_model(ranks: dict[bytes, int]):
     """A tokenizers.Tokenizer that merges by rank: every way to split a token into two tokens is a merge."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel; idle threads cost memory
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     chars = byte_characters()
@@ -147,14 +149,25 @@ class ByteBpe:
         return np.stack([number[starts] - 1, number[ends - 1]], 1) if len(ids) else np.zeros((0, 2), np.int64)
 
 
+_made: dict[tuple[str, str], ByteBpe] = {}
+
+
+def worker_bpe(path: str, pattern: str) -> ByteBpe:
+    if (path, pattern) not in _made:
+        _made[path, pattern] = ByteBpe(path, pattern)
+    return _made[path, pattern]
+
+
 def _bound(run, path: str, pattern: str):
-    """Gives a task its encoder and frees it at the task's end: workers live on and serve other steps."""
+    """Gives a task the worker's encoder, and empties its caches at the task's end: workers serve other steps too."""
 
     def whole(batches):
-        bpe = None
-        for batch in batches:
-            bpe = bpe or ByteBpe(path, pattern)
-            yield from run(bpe, batch)
+        bpe = worker_bpe(path, pattern)
+        try:
+            for batch in batches:
+                yield from run(bpe, batch)
+        finally:
+            bpe.cache, bpe.older = {}, {}
 
     return released(whole)
 

@@ -13,6 +13,7 @@ Defined results: a null text counts as empty, with no bytes and no tokens.  Repe
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,6 +51,8 @@ class JsonCounter:
 
     def __init__(self, path: str, table: dict[str, int]):
         import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel; idle threads cost memory
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
