@@ -1,13 +1,22 @@
 """Masked pseudo-likelihood: a small bidirectional window network scores every token from both sides.
 
-Tokens are words, as classes: the `FREQUENT` most frequent words of the corpus have one each (counted over
-all texts), the others share `SHARED` classes by hash.  The network predicts the class of a masked word from
-the two words on either side; a document's score is the sum of the log-probabilities of all its words.
+Tokens are words, and the vocabulary is every word of the corpus, with its count, in a written table that
+grows with the corpus.  A word's probability has two factors,
 
-Training has two steps.  A bounded sample (`WARM_DOCUMENTS` texts) gives first weights on the driver; then
-every task goes on from these over its own texts, with one word in `MASKED` as the target, and the tasks'
-weights are averaged by the number of targets they saw, in two levels of a fixed width.  So every text of
-the corpus takes part, and what is gathered grows with it while the driver holds one network.
+    P(word | both sides) = P(class | both sides) * P(word | class).
+
+The `FREQUENT` most frequent words have a class each, so that the second factor is 1; the others share `SHARED`
+classes by hash, and there P(word | class) = (n + `UNSEEN`) / (tokens + `UNSEEN` * (words + 1)), where n is the count of
+the word, tokens and words are those of the class, and a word that the corpus lacks has n = 0.  The network
+predicts the class of a masked word from the two words on either side; a document's score is the sum of the
+log-probabilities of all its words.
+
+Training has two steps.  A bounded sample (`WARM_DOCUMENTS` whole texts) gives first weights on the driver; then
+every task goes on from these over its own texts, with every word as a target, and the tasks' weights are
+averaged by the number of targets they saw, in two levels of a fixed width.
+
+Scoring takes counts of the most frequent words (at most `HEAD`) from a broadcast table of that size; all others
+meet the written table by a shuffle of the distinct words of each text.
 
 Defined results: null and empty texts have no tokens, pll 0 and no mean.  Rows that repeat are scored each;
 extra columns are ignored.  An empty table is scored to an empty table.
@@ -30,13 +39,14 @@ SHARED = 32
 WINDOW = 2
 WIDTH = 16
 HIDDEN = 16
-MASKED = 8
 WARM_DOCUMENTS = 256
 WARM_PASSES = 4
 BATCH = 2048
 RATE = 0.5
 MERGERS = 16
 COUNT_AT_ONCE = 1 << 21
+HEAD = 1 << 17
+UNSEEN = 0.5
 CLASSES = FREQUENT + SHARED
 PAD = CLASSES
 U = np.uint64
@@ -82,8 +92,9 @@ class Network:
         self.into -= x.T @ back
         self.bias -= back.sum(0)
         # Steps of the same embedding are summed before they are applied.
-        order = np.argsort(context, axis=None, kind="stable")
-        own = context.ravel()[order]
+        own = context.ravel().astype(np.uint8)  # as bytes they are sorted by radix
+        order = np.argsort(own, kind="stable")
+        own = own[order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         self.embed[own[first]] -= np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
 
@@ -145,15 +156,54 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def frequent_words(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, cnt) of every word of the corpus, written."""
+    return written(df.select(text).mapInArrow(_count, "word bigint, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt")), "words")
+
+
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the most frequent words of the whole corpus, sorted, and their classes."""
-    counts = df.select(text).mapInArrow(_count, "word bigint, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt"))
     top = counts.orderBy(F.desc("cnt"), "word").limit(FREQUENT).collect()
     words = np.array([r["word"] for r in top], np.int64).view(U)
     order = np.argsort(words)
     return words[order], order.astype(np.int64)
 
 
+def class_sizes(counts: DataFrame, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log of the denominator of P(word | class), by class; 0 for classes of one frequent word."""
+
+    def run(batches):
+        for batch in batches:
+            own = classes(batch.column(0).to_numpy().view(U), frequent, place)
+            tokens = np.bincount(own, weights=batch.column(1).to_numpy(), minlength=CLASSES).astype(np.int64)
+            columns = [np.arange(CLASSES), tokens, np.bincount(own, minlength=CLASSES)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["class", "tokens", "words"])
+
+    sums = counts.mapInArrow(run, "class bigint, tokens bigint, words bigint").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
+    out = np.full(CLASSES, np.log(UNSEEN))
+    for r in sums.collect():  # CLASSES rows
+        out[r["class"]] = np.log(r["tokens"] + UNSEEN * (r["words"] + 1))
+    out[:FREQUENT] = 0
+    return out
+
+
+def head_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of all words above a count that leaves at most `HEAD`."""
+    level = F.floor(8 * F.log2("cnt"))
+    left, least = HEAD, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 8 rows for each doubling
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    table = counts.where(level >= least).toArrow()
+    words = table["word"].to_numpy().view(U)
+    order = np.argsort(words)
+    return words[order], table["cnt"].to_numpy()[order]
+
+
 def _warm(texts: pa.Array, frequent: np.ndarray, place: np.ndarray) -> Network:
     network, random = Network(), np.random.default_rng(2)
     seen = np.ones(CLASSES)
@@ -182,7 +232,7 @@ def _trainer(shared):
             for _, _, words, bounds, _ in word_slices(batch.column(0)):
                 ids = classes(words, frequent, place)
                 around = contexts(ids, bounds)
-                targets = np.flatnonzero(random.integers(0, MASKED, len(ids)) == 0)
+                targets = random.permutation(len(ids))
                 for at in range(0, len(targets), BATCH):
                     part = targets[at : at + BATCH]
                     network.train(around[part], ids[part], RATE / 8)
@@ -204,10 +254,11 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(df: DataFrame, key: str, text: str):
-    """(weights, frequent words, their classes) for a corpus."""
-    frequent, place = frequent_words(df, text)
+    """(weights, frequent words, their classes, counts of all words) for a corpus."""
+    counts = word_counts(df, text)
+    frequent, place = frequent_words(counts)
     ids = df.where(F.col(text).isNotNull()).select(F.col(key)).orderBy(F.xxhash64(key), key).limit(WARM_DOCUMENTS)
-    sample = df.select(key, text).join(F.broadcast(written(ids, "sample").distinct()), key, "left_semi").select(F.substring(text, 1, 20_000).alias("text"))
+    sample = df.select(key, text).join(F.broadcast(written(ids, "sample").distinct()), key, "left_semi").select(F.col(text).alias("text"))
     texts = sample.limit(4 * WARM_DOCUMENTS).toArrow()["text"].combine_chunks()
     warm = _warm(texts, frequent, place)
     spark = df.sparkSession
@@ -216,20 +267,32 @@ def fit(df: DataFrame, key: str, text: str):
     total, seen = np.zeros(len(warm.flat())), 0
     for row in parts.toLocalIterator():  # MERGERS networks at most, one at a time
         total, seen = total + np.frombuffer(bytes(row["weights"])) * row["targets"], seen + row["targets"]
-    return (total / seen if seen else warm.flat()), frequent, place
+    return (total / seen if seen else warm.flat()), frequent, place, counts
+
+
+def _rare(row: np.ndarray, words: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """For every row its distinct words and how often each stands there, as lists."""
+    order = np.lexsort((words, row))
+    row, words = row[order], words[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (words[1:] != words[:-1])]))
+    times = np.diff(np.append(first, len(row)))
+    offsets = pa.array(np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(words[first].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", model=None) -> DataFrame:
     """`key`, `n_tokens`, `pll` (sum of conditional log-probabilities) and `mean_pll` of every row."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, key, text) if model is None else model)
+    flat, frequent, place, counts = fit(df, key, text) if model is None else model
+    shared = df.sparkSession.sparkContext.broadcast((flat, frequent, place, class_sizes(counts, frequent, place), *head_counts(counts)))
 
     def run(batches):
-        flat, frequent, place = shared.value
-        probability = Network.of(flat).scorer()
+        flat, frequent, place, sizes, head, times = shared.value
+        probability, known = Network.of(flat).scorer(), np.log(times + UNSEEN)
         for batch in batches:
             counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j, words, bounds, _ in word_slices(batch.column(1), 1 << 18):
+            rare_rows, rare_words = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+            for i, j, words, bounds, _ in word_slices(batch.column(2), 1 << 18):
                 ids = classes(words, frequent, place)
                 around = contexts(ids, bounds)
                 row = np.repeat(np.arange(j - i), np.diff(bounds))
@@ -237,9 +300,24 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", model=None) ->
                     part = slice(at, at + BATCH)
                     sums[i:j] += np.bincount(row[part], weights=probability(around[part], ids[part]), minlength=j - i)
                 counts[i:j] = np.diff(bounds)
-            mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums), mean], [key, "n_tokens", "pll", "mean_pll"])
-
-    rows = df.select(key, F.col(text).alias("__text"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, pll double, mean_pll double")
+                # P(word | class), but for the logarithms of counts that are in the written table alone.
+                shares = -sizes[ids]
+                others = np.flatnonzero(ids >= FREQUENT)
+                at = np.minimum(np.searchsorted(head, words[others]), max(len(head) - 1, 0))
+                found = head[at] == words[others] if len(head) else np.zeros(len(others), bool)
+                shares[others[found]] += known[at[found]]
+                sums[i:j] += np.bincount(row, weights=shares, minlength=j - i)
+                rare_rows.append(i + row[others[~found]])
+                rare_words.append(words[others[~found]])
+            lists = _rare(np.concatenate(rare_rows), np.concatenate(rare_words), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(sums), *lists], ["row", "__key", "n_tokens", "pll", "words", "times"])
+
+    # Rows are numbered, since keys may repeat or be null; the numbers are written with what belongs to them.
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    kind = rows.schema["__key"].dataType.simpleString()
+    scored = written(rows.mapInArrow(run, f"row bigint, `__key` {kind}, n_tokens bigint, pll double, words array<bigint>, times array<bigint>"), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    more = F.sum(F.col("times") * F.log(F.coalesce("cnt", F.lit(0)) + UNSEEN))
+    added = rare.join(counts, "word", "left").groupBy("row").agg(more.alias("more"))
+    pll = F.col("pll") + F.coalesce("more", F.lit(0.0))
+    return scored.join(added, "row", "left").select(F.col("__key").alias(key), "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll"))

@@ -293,6 +293,43 @@ def test_pseudo_likelihood_is_a_sum_over_tokens(spark):
     assert pl.score(_none(spark)).count() == 0
 
 
+def test_pseudo_likelihood_knows_every_word(spark, monkeypatch):
+    from quadweave.llm import pseudo_likelihood as pl
+
+    random.seed(6)
+    vocabulary = [f"v{i}" for i in range(600)]
+    texts = [" ".join([*random.choices(vocabulary[:150], k=30), *(w for w in random.choices(vocabulary, k=10) if w != "v599")]) for _ in range(80)]
+    texts += ["v599 v599 v599 v599 v598"]
+    schema = "doc_id bigint, text string"
+    model = pl.fit(spark.createDataFrame(list(enumerate(texts)), schema), "doc_id", "text")
+    counts = {np.uint64(r["word"] & (2**64 - 1)): r["cnt"] for r in model[3].collect()}
+    assert sum(counts.values()) == sum(len(t.split()) for t in texts)
+    import pyarrow as pa
+
+    from quadweave.llm.kernels import word_slices
+
+    hashed = lambda ws: next(word_slices(pa.array([" ".join(ws)])))[2]
+    new = [f"zz{i}" for i in range(2000)]
+    other = dict(zip(new, pl.classes(hashed(new), *model[1:3]), strict=True))
+    rare = next(w for w in vocabulary if counts.get(hashed([w])[0], 0) and pl.classes(hashed([w]), *model[1:3])[0] >= pl.FREQUENT)
+    own = pl.classes(hashed([rare]), *model[1:3])[0]
+    gibberish = next(w for w in new if other[w] == own)  # the same class, so that the network cannot tell
+    pair = [f"v0 v1 {w} v2 v3" for w in (rare, gibberish)]
+    table = spark.createDataFrame([(1, pair[0]), (2, pair[1]), (2, pair[1] + " " + gibberish), (None, pair[0])], schema)
+    whole = _rows(pl.score(table, model=model))
+    got = {r[0]: r[2] for r in whole if r[1] == 5}
+    n = counts[hashed([rare])[0]]
+    assert got[1] - got[2] == pytest.approx(math.log((n + pl.UNSEEN) / pl.UNSEEN)) and got[None] == got[1] and len(whole) == 4
+    # Within a class the probabilities of all its words and of one unseen word sum to 1.
+    sizes = pl.class_sizes(model[3], *model[1:3])
+    members = [c for w, c in counts.items() if pl.classes(np.array([w]), *model[1:3])[0] == own]
+    assert (sum(members) + pl.UNSEEN * (len(members) + 1)) / math.exp(sizes[own]) == pytest.approx(1)
+    for head in (0, 120):  # the table of frequent words only saves a shuffle
+        monkeypatch.setattr(pl, "HEAD", head)
+        for a, b in zip(whole, _rows(pl.score(table, model=model)), strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
 # 7
 
 
