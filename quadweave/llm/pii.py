@@ -7,8 +7,7 @@ how many a term t stands next to an entity e, in how many either occurs, and wit
     PMI(t, e) = log2(N * n(t, e) / (n(t) * n(e))),   IC(e) = log2(N / n(e)).
 
 PMI equals IC where t occurs only with e, so that t alone reveals e.  A term next to e is added as a span of
-kind `term` where PMI >= threshold * IC and at least `support` distinct texts bear it out.  Copies of a text
-count once.  Sanitising generalises base spans to their kind, and removes disclosing terms.
+kind `term` where PMI >= threshold * IC, also if a single text bears it out.  Copies of a text count once.  Sanitising generalises base spans to their kind, and removes disclosing terms.
 
 Base matches are leftmost and do not overlap within a kind; one that fails its test is dropped and what it
 covers is not searched again.  The patterns below are those of the contract, written so that they need time
@@ -46,7 +45,6 @@ NEAR_WORDS = 5
 NEAR_CHARS = 80
 WORD = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{M}'’]{2,}+(?![\p{L}\p{N}_])"
 THRESHOLD = 0.9
-SUPPORT = 3
 #: Terms up to which the table of candidates is broadcast to the pass that counts words.
 BROADCAST_TERMS = 100_000
 #: Bytes of spans up to which they are broadcast to the texts.
@@ -144,13 +142,13 @@ def _near(text: Column, span: Column) -> Column:
     return F.concat(shift(last, left_at), shift(F.slice(right, 1, NEAR_WORDS), span["end"]))
 
 
-def _terms(df: DataFrame, found: DataFrame, key: str, text: str, threshold: float, support: int) -> DataFrame:
+def _terms(df: DataFrame, found: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """(key, hash, terms) for the rows that have disclosing terms next to an entity."""
     mentions = found.select(key, "hash", "base", F.explode("near").alias("m"))
     near = mentions.select(key, "hash", "base", F.col("m.entity").alias("entity"), F.explode("m.words").alias("w")).select(key, "hash", "base", "entity", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
     near = near.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base")
     near = written(near, "near")
-    pairs = near.select("term", "entity", "hash").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    pairs = near.select("term", "entity", "hash").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te"))
     entities = found.select("hash", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     texts = df.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
     total = F.lit(float(texts.select("hash").distinct().count()))
@@ -172,7 +170,7 @@ def _terms(df: DataFrame, found: DataFrame, key: str, text: str, threshold: floa
     return spans.groupBy(key, "hash").agg(F.array_sort(F.collect_set("span")).alias("terms"))
 
 
-def spans_by_row(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def spans_by_row(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, hash, base, terms), one row for each key and text that has base spans; hash is xxhash64 of the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
     found = df.select(F.col(key), F.xxhash64(whole).alias("hash"), whole.alias("text"), base_spans(F.col(text)).alias("base")).where(F.size("base") > 0)
@@ -180,7 +178,7 @@ def spans_by_row(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     near = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), _near(F.col("text"), s).alias("words")))
     found = written(found.select(key, "hash", "base", near.alias("near")), "found")
     once = found.select(key, "hash", "base").dropDuplicates([key, "hash"])
-    terms = _terms(df, found, key, text, threshold, support)
+    terms = _terms(df, found, key, text, threshold)
     return once.join(terms.withColumnRenamed(key, "k").withColumnRenamed("hash", "h"), F.col("k").eqNullSafe(F.col(key)) & (F.col("h") == F.col("hash")), "left").select(key, "hash", "base", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)).alias("terms"))
 
 

@@ -170,6 +170,17 @@ def test_telling_terms(spark):
     assert math.log2(n * near / (near * near)) >= pii.THRESHOLD * math.log2(n / near) > math.log2(n * near / (56 * near))
 
 
+def test_an_entity_of_one_text_has_telling_terms(spark):
+    from quadweave.llm import pii
+
+    texts = ["Contact agent Zorblax via z@corp.com about order", "Contact agent Yendor via y@corp.com about order", "Yendor sent one more order to y@corp.com"] + [f"the order about via contact agent number {i}" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert "Zorblax" not in clean[0] and "Yendor" not in clean[1] + clean[2]
+    assert all("Contact agent" in clean[i] and "[EMAIL]" in clean[i] and "order" in clean[i] for i in (0, 1))
+    assert all(clean[i] == texts[i] for i in range(3, 53))
+
+
 # 4
 
 
