@@ -1,13 +1,20 @@
 """Personal data: patterns, and terms that disclose what the patterns found. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  Each found value is a protected
-entity.  The method then asks which terms near an entity give it away.  Over all distinct texts it counts in
-how many a term t stands next to an entity e, in how many either occurs, and with N texts takes
+entity.  The method then asks which terms give an entity away.  Over all distinct texts it counts in how many
+a term t (a word outside base spans) stands together with an entity e, anywhere in the text, in how many either occurs,
+and with N texts takes
 
     PMI(t, e) = log2(N * n(t, e) / (n(t) * n(e))),   IC(e) = log2(N / n(e)).
 
-PMI equals IC where t occurs only with e, so that t alone reveals e.  A term next to e is added as a span of
-kind `term` where PMI >= threshold * IC, also if a single text bears it out.  Copies of a text count once.  Sanitising generalises base spans to their kind, and removes disclosing terms.
+PMI equals IC where t occurs only with e, so that t alone reveals e.  t discloses where PMI >= threshold * IC,
+also if a single text bears it out; but the m = n(t) - n(t, e) texts that have t without e weigh more the fewer
+bear the pair out: n(t) is taken as n(t) + `MISSES` * m / n(t, e)^2.  Every occurrence of a disclosing term, in
+every text that holds it, is a span of kind `term`.  Copies of a text count once.
+Sanitising generalises base spans to their kind, and removes disclosing terms.
+
+A term that fails with n(t, e) put as the number of texts that have it and any entity, and n(e) as 1, fails with every
+entity; that leaves out common words before pairs are made.  Entities of one text need no pairs at all.
 
 Base matches are leftmost and do not overlap within a kind; one that fails its test is dropped and what it
 covers is not searched again.  The patterns below are those of the contract, written so that they need time
@@ -40,12 +47,11 @@ PATTERNS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP_VALID = rf"\A{_BYTE}(?:\.{_BYTE}){{3}}\z"
 
-#: Words taken on either side of an entity, and the characters searched for them.
-NEAR_WORDS = 5
-NEAR_CHARS = 80
-WORD = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{M}'’]{2,}+(?![\p{L}\p{N}_])"
+#: Words of two and more letters, digits and marks.
+WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}][\p{L}\p{M}\p{N}'’]++(?![\p{L}\p{N}_])"
+MISSES = 4
 THRESHOLD = 0.9
-#: Terms up to which the table of candidates is broadcast to the pass that counts words.
+#: Rows up to which a list of terms or of texts is broadcast.
 BROADCAST_TERMS = 100_000
 #: Bytes of spans up to which they are broadcast to the texts.
 BROADCAST_BYTES = 48 << 20
@@ -132,64 +138,92 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """array<struct<start, end, value>> of the words on either side of a span."""
-    left_at = F.greatest(span["start"] - NEAR_CHARS, F.lit(0))
-    left = let(F.substring(text, left_at + 1, span["start"] - left_at), lambda t: F.filter(matches(t, WORD), lambda m: (m["start"] > 0) | (left_at == 0)))
-    right = let(F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS)), lambda t: F.filter(matches(t, WORD), lambda m: m["end"] < NEAR_CHARS))
-    shift = lambda words, by: F.transform(words, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("value")))
-    last = let(left, lambda w: F.slice(w, F.greatest(F.size(w) - NEAR_WORDS, F.lit(0)) + 1, F.lit(NEAR_WORDS)))
-    return F.concat(shift(last, left_at), shift(F.slice(right, 1, NEAR_WORDS), span["end"]))
-
-
-def _terms(df: DataFrame, found: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(key, hash, terms) for the rows that have disclosing terms next to an entity."""
-    mentions = found.select(key, "hash", "base", F.explode("near").alias("m"))
-    near = mentions.select(key, "hash", "base", F.col("m.entity").alias("entity"), F.explode("m.words").alias("w")).select(key, "hash", "base", "entity", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    near = near.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base")
-    near = written(near, "near")
-    pairs = near.select("term", "entity", "hash").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te"))
-    entities = found.select("hash", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    texts = df.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-    total = F.lit(float(texts.select("hash").distinct().count()))
-    information = F.log2(total / F.col("n_e"))
-
-    def disclosing(n_t: str) -> Column:
-        return (information > 0) & (F.log2(total * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) >= threshold * information)
-
-    # A term is in as many texts as it is next to entities, at least: pairs that fail by that fail by the whole corpus.
-    beside = near.select("term", "hash").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
-    pairs = written(pairs.join(entities, "entity").join(beside, "term").where(disclosing("m_t")), "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
-    candidates = terms.count()
-    words = texts.select("hash", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
-    held = words.join(F.broadcast(terms) if candidates <= BROADCAST_TERMS else terms, "term", "left_semi")
-    counts = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    telling = pairs.join(counts, "term").where(disclosing("n_t")).select("term", "entity")
-    spans = near.join(written(telling, "telling"), ["term", "entity"]).select(key, "hash", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("span"))
-    return spans.groupBy(key, "hash").agg(F.array_sort(F.collect_set("span")).alias("terms"))
-
-
-def spans_by_row(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, hash, base, terms), one row for each key and text that has base spans; hash is xxhash64 of the text."""
+def _masked(text: Column, base: Column) -> Column:
+    """The text with line ends in place of base spans, so that all else keeps its position."""
+
+    def step(state, s):
+        start = F.greatest(s["start"], state["at"])
+        shown = F.concat(F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit("\n"), F.greatest(s["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(shown)).alias("parts"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    done = F.aggregate(base, begin, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, done).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _term_spans(text: Column, terms: Column) -> Column:
+    """array<struct<start, kind, end, value>> of all occurrences of some terms."""
+    return F.filter(F.transform(matches(text, WORD), lambda m: F.struct(m["start"].cast("int").alias("start"), F.lit(4).alias("kind"), m["end"].cast("int").alias("end"), F.lower(m["value"]).alias("value"))), lambda m: F.array_contains(terms, m["value"]))
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_TERMS else table
+
+
+def _discloses(total: Column, n_te: Column, n_t: Column, n_e: Column, threshold: float) -> Column:
+    shrunk = n_t + MISSES * (n_t - n_te) / (n_te * n_te)
+    information = F.log2(total / n_e)
+    return (information > 0) & (F.log2(total * n_te / (shrunk * n_e)) >= threshold * information)
+
+
+def _told(found: DataFrame, others: DataFrame, total: Column, threshold: float) -> DataFrame:
+    """(hash, told): the disclosing terms of every distinct text that has some."""
+    one = F.lit(1)
+    held = found.select("hash", F.explode("words").alias("term"))
+    beside = held.groupBy("term").agg(F.count("*").alias("m_t"))
+    elsewhere = others.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_o"))
+    counts = beside.join(elsewhere, "term", "left").select("term", "m_t", (F.col("m_t") + F.coalesce("n_o", F.lit(0))).alias("n_t"))
+    possible = written(counts.where(_discloses(total, F.col("m_t"), F.col("n_t"), one, threshold) | (F.col("m_t") == F.col("n_t"))), "possible")
+    rare = written(held.join(_sized(possible), "term"), "rare")
+    mentions = written(found.select("hash", F.explode("entities").alias("entity")), "mentions")
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("hash").alias("hash"))
+    alone = written(entities.where("n_e = 1").select("hash").distinct(), "alone")
+    shared = written(mentions.join(entities.where("n_e > 1").select("entity", "n_e"), "entity"), "shared")
+    by_alone = rare.where(_discloses(total, one, F.col("n_t"), one, threshold)).join(_sized(alone), "hash", "left_semi").select("term", "m_t", "n_t")
+    pairs = rare.join(shared, "hash").groupBy("term", "entity").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("m_t").alias("m_t"), F.first("n_t").alias("n_t"))
+    by_pairs = pairs.where(_discloses(total, F.col("n_te"), F.col("n_t"), F.col("n_e"), threshold)).select("term", "m_t", "n_t")
+    telling = written(by_alone.unionByName(by_pairs).distinct(), "telling")
+    rows = rare.select("hash", "term").join(_sized(telling.select("term")), "term", "left_semi").select("hash", "term")
+    outside = written(telling.where("n_t > m_t").select("term"), "outside")
+    if not outside.isEmpty():
+        more = others.select("hash", F.explode(_words(F.col("text"))).alias("term")).join(_sized(outside), "term", "left_semi")
+        rows = rows.unionByName(more.select("hash", "term"))
+    return written(rows.groupBy("hash").agg(F.collect_set("term").alias("told")), "told")
+
+
+def spans_by_text(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(hash, base, terms) of every distinct text that has spans; hash is xxhash64 of the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = df.select(F.col(key), F.xxhash64(whole).alias("hash"), whole.alias("text"), base_spans(F.col(text)).alias("base")).where(F.size("base") > 0)
+    texts = df.select(F.xxhash64(whole).alias("hash"), whole.alias("text"))
     entity = lambda s: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(":"), F.lower(s["value"]))
-    near = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), _near(F.col("text"), s).alias("words")))
-    found = written(found.select(key, "hash", "base", near.alias("near")), "found")
-    once = found.select(key, "hash", "base").dropDuplicates([key, "hash"])
-    terms = _terms(df, found, key, text, threshold)
-    return once.join(terms.withColumnRenamed(key, "k").withColumnRenamed("hash", "h"), F.col("k").eqNullSafe(F.col(key)) & (F.col("h") == F.col("hash")), "left").select(key, "hash", "base", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)).alias("terms"))
+    held = written(texts.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0), "held").dropDuplicates(["hash"])
+    shown = held.select("hash", "base", _masked(F.col("text"), F.col("base")).alias("text"), F.array_distinct(F.transform("base", entity)).alias("entities"))
+    found = written(shown.withColumn("words", _words(F.col("text"))), "found")
+    copies = written(texts.groupBy("hash").agg(F.count("*").alias("n")), "copies")
+    rest = texts.join(_sized(found.select("hash")), "hash", "left_anti")
+    again = _sized(written(copies.where("n > 1").select("hash"), "again"))
+    others = rest.join(again, "hash", "left_anti").unionByName(rest.join(again, "hash", "left_semi").dropDuplicates(["hash"]))
+    told = _told(found, others, F.lit(float(copies.count())), threshold)
+    told_of = _sized(told)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    of_found = found.select("hash", "base", "text").join(told_of, "hash", "left").select("hash", "base", F.when(F.col("told").isNotNull(), _term_spans(F.col("text"), F.col("told"))).otherwise(none).alias("terms"))
+    of_others = others.join(told_of, "hash").select("hash", none.alias("base"), _term_spans(F.col("text"), F.col("told")).alias("terms"))
+    return of_found.unionByName(of_others)
 
 
 def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All columns, and `base` and `terms` (array<struct<start, kind, end, value>>)."""
-    spans = written(spans_by_row(df, key, text, **options), "spans").select(F.col(key).alias("k"), F.col("hash").alias("h"), F.col("base").alias("b"), F.col("terms").alias("t"))
+    spans = written(spans_by_text(df, text, **options), "spans").select(F.col("hash").alias("h"), F.col("base").alias("b"), F.col("terms").alias("t"))
     size = spans.agg(F.sum(64 + 48 * (F.size("b") + F.size("t")) + F.aggregate(F.concat("b", "t"), F.lit(0), lambda a, s: a + F.octet_length(s["value"])))).first()[0] or 0
     if size <= BROADCAST_BYTES:  # else texts and spans meet by a shuffle
         spans = F.broadcast(spans)
     rows = df.drop("base", "terms").withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = rows.join(spans, F.col(key).eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")), "left").drop("k", "h", "__hash")
+    joined = rows.join(spans, F.col("__hash") == F.col("h"), "left").drop("h", "__hash")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     return joined.withColumn("base", F.coalesce("b", none)).withColumn("terms", F.coalesce("t", none)).drop("b", "t")
 
@@ -208,7 +242,7 @@ def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     done = F.aggregate(F.array_sort(F.concat("base", "terms")), begin, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(whole, state["at"] + 1, F.length(whole))))
-    clean = F.when(F.size("base") > 0, done).otherwise(whole)
+    clean = F.when(F.size("base") + F.size("terms") > 0, done).otherwise(whole)
     return spans.withColumn(text, clean).drop("base", "terms")
 
 

@@ -181,6 +181,25 @@ def test_an_entity_of_one_text_has_telling_terms(spark):
     assert all(clean[i] == texts[i] for i in range(3, 53))
 
 
+def test_telling_terms_go_wherever_they_stand(spark):
+    from quadweave.llm import pii
+
+    far = "the order about via contact agent number " * 20
+    texts = [f"Write to z@corp.com {far} {i} then 李明 and Zorblax with A1234 {far}" for i in range(12)]
+    texts += [f"{far} Zorblax once more, zorblax@other.org {far}", f"Only Zorblax without an address {far} zorblax"]
+    texts += [f"{far} Only once more without an address then and with Write to number {i}" for i in range(80)]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id bigint, text string")
+    rows = pii.sanitised(df).collect()
+    clean = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == len(texts) + 1 and clean[None] == clean[0]
+    assert all(w not in clean[i] for i in range(12) for w in ("Zorblax", "李明", "A1234", "z@corp"))
+    assert all("zorblax" not in clean[i].lower() for i in (12, 13)) and "[EMAIL]" in clean[12]
+    assert all(clean[i] == texts[i] for i in range(14, 94))
+    spans = {r["doc_id"]: r["spans"] for r in pii.span_digests(df).collect()}
+    at = texts[13].index("Zorblax"), texts[13].rindex("zorblax")
+    assert spans[13] == ",".join(f"term:{a}:{a + 7}" for a in at)
+
+
 # 4
 
 
