@@ -177,8 +177,16 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
         yield value.as_py() or ""
 
 
+def _apart(keys: list[str], *added: str) -> None:
+    if clash := {k.lower() for k in keys} & set(added):
+        raise ValueError(f"key columns are called like added ones: {sorted(clash)}")
+
+
 def encode(df: DataFrame, path: str, pattern: str, keys: list[str], text: str = "text") -> DataFrame:
-    """`keys`, `ids` (array<int>) and `offsets` (array<struct<start,end>>, characters) of every row."""
+    """`keys`, `ids` (array<int>) and `offsets` (array<struct<start,end>>, characters) of every row.
+
+    Keys may not be called like the added columns."""
+    _apart(keys, "ids", "offsets")
 
     def run(bpe, batch):
         for i, value in enumerate(_texts(batch, "__text")):
@@ -197,7 +205,8 @@ def encode(df: DataFrame, path: str, pattern: str, keys: list[str], text: str =
 
 
 def decode(df: DataFrame, path: str, pattern: str, keys: list[str], ids: str = "ids") -> DataFrame:
-    """`keys` and `bytes` of every row of ids; null ids decode to nothing."""
+    """`keys` and `bytes` of every row of ids; null ids decode to nothing. No key may be called `bytes`."""
+    _apart(keys, "bytes")
 
     def run(bpe, batch):
         got = [bpe.decode(value.as_py() or ()) for value in batch.column("__ids")]

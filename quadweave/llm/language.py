@@ -152,30 +152,33 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def annotated(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """All columns, with `held_out`, `lang_pred` and `score`, which replace columns of these names.
+def annotated(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """All columns, with `held_out`, `lang_pred` and `score`, or as `names` has them; columns of these names are replaced.
 
     Held-out rows teach nothing; the text alone decides a prediction."""
+    of_held_out, of_language, of_score = names
     small_batches(df.sparkSession)
     labelled = df.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang)
-    names, masks = fit(labelled, key, text, lang)
-    rates = np.array([min(0.99, (((masks[i // 8] >> (i % 8)) & 1).mean()) ** HASHES) for i in range(len(names))])
-    shared = df.sparkSession.sparkContext.broadcast((names, masks, rates))
+    languages, masks = fit(labelled, key, text, lang)
+    rates = np.array([min(0.99, (((masks[i // 8] >> (i % 8)) & 1).mean()) ** HASHES) for i in range(len(languages))])
+    shared = df.sparkSession.sparkContext.broadcast((languages, masks, rates))
 
     def run(batches):
         model = shared.value
         for batch in batches:
             found, scores = [], []
-            for part in _slices(batch.column(text)):
+            for part in _slices(batch.column(place)):
                 f, s = predict(part, *model)
                 found += f
                 scores.append(s)
             added = [pa.array(found, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "lang_pred", "score"])
 
-    rows = df.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out(F.col(key)))
-    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(released(run), T.StructType(rows.schema.fields + added.fields))
+    rows = df.drop(*names).withColumn(of_held_out, held_out(F.col(key)))
+    place, numbered = rows.columns.index(text), rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))  # names with dots do not pass
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    found = numbered.mapInArrow(released(run), T.StructType(numbered.schema.fields + added))
+    return found.toDF(*rows.columns, of_language, of_score)
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

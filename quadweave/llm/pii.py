@@ -23,7 +23,7 @@ run of the same characters does not begin earlier.
 
 Defined results: a null or empty text has no spans (its digest is that of the empty string).  Repeated rows
 get the same spans.  Rows without doc_id are treated like others.  Extra columns are kept by `with_spans`
-and `sanitised`; columns named like the added ones are replaced.
+and `sanitised`; `with_spans` replaces columns named like the ones it adds, `sanitised` adds none.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.scratch import written
+from quadweave.llm.scratch import private, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -216,21 +216,24 @@ def spans_by_text(df: DataFrame, text: str = "text", threshold: float = THRESHOL
     return of_found.unionByName(of_others)
 
 
-def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """All columns, and `base` and `terms` (array<struct<start, kind, end, value>>)."""
-    spans = written(spans_by_text(df, text, **options), "spans").select(F.col("hash").alias("h"), F.col("base").alias("b"), F.col("terms").alias("t"))
-    size = spans.agg(F.sum(64 + 48 * (F.size("b") + F.size("t")) + F.aggregate(F.concat("b", "t"), F.lit(0), lambda a, s: a + F.octet_length(s["value"])))).first()[0] or 0
+def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, str] = ("base", "terms"), **options) -> DataFrame:
+    """All columns, and `base` and `terms` (array<struct<start, kind, end, value>>), or as `names` has them."""
+    spans = written(spans_by_text(df, text, **options), "spans")
+    size = spans.agg(F.sum(64 + 48 * (F.size("base") + F.size("terms")) + F.aggregate(F.concat("base", "terms"), F.lit(0), lambda a, s: a + F.octet_length(s["value"])))).first()[0] or 0
+    rows = df.drop(*names)
+    h, b, t = private(rows, "__hash", "__base", "__terms", taken=names)
+    spans = spans.select(F.col("hash").alias(h), F.col("base").alias(b), F.col("terms").alias(t))
     if size <= BROADCAST_BYTES:  # else texts and spans meet by a shuffle
         spans = F.broadcast(spans)
-    rows = df.drop("base", "terms").withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = rows.join(spans, F.col("__hash") == F.col("h"), "left").drop("h", "__hash")
+    joined = rows.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(spans, h, "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return joined.withColumn("base", F.coalesce("b", none)).withColumn("terms", F.coalesce("t", none)).drop("b", "t")
+    return joined.withColumn(names[0], F.coalesce(F.col(b), none)).withColumn(names[1], F.coalesce(F.col(t), none)).drop(h, b, t)
 
 
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All columns, with the text generalised: base spans become [KIND], disclosing terms are removed."""
-    spans = with_spans(df, key, text, **options)
+    base, terms = private(df, "__base", "__terms")
+    spans = with_spans(df, key, text, (base, terms), **options)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]), F.lit(""))
     whole = F.col(text)
 
@@ -241,9 +244,9 @@ def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(F.array_sort(F.concat("base", "terms")), begin, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(whole, state["at"] + 1, F.length(whole))))
-    clean = F.when(F.size("base") + F.size("terms") > 0, done).otherwise(whole)
-    return spans.withColumn(text, clean).drop("base", "terms")
+    done = F.aggregate(F.array_sort(F.concat(base, terms)), begin, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(whole, state["at"] + 1, F.length(whole))))
+    clean = F.when(F.size(base) + F.size(terms) > 0, done).otherwise(whole)
+    return spans.withColumn(text, clean).drop(base, terms)
 
 
 def _listed(spans: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: list[str] = []
@@ -16,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quadweave-"))
     return _own[0]
@@ -39,6 +43,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def private(df: DataFrame, *names: str, taken: tuple[str, ...] = ()) -> list[str]:
+    """Names for working columns that no column of df has, and that are not taken otherwise, whatever the case."""
+    taken = {c.lower() for c in [*df.columns, *taken]}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, also those with dots in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 #: Rows of an Arrow batch; Spark's default of 10,000 texts of any length is too much for a worker.
 BATCH_ROWS = 1_000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -600,3 +600,68 @@ def test_pipeline(spark, sf):
     assert 9003 not in kept["decontamination"] and 9004 in kept["decontamination"]
     assert kept["tokens"] == kept["personal_data"] == kept["decontamination"]
     assert df.where("NOT lossless").count() == 0
+
+
+ODD_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, base string, terms string, h bigint, k int, __hash string, `a.b` int, component_id int, Text_ string"
+
+
+def _odd_rows(spark, rows):
+    return spark.createDataFrame([(i, text, "en", "s", len(text or ""), 0.5, "b", "t", 7, 3, "x", 1, 2, "y") for i, text in rows], ODD_SCHEMA)
+
+
+@pytest.mark.parametrize("name", ["language", "near_copies", "decontamination", "personal_data"])
+def test_stages_on_odd_rows(spark, sf, name):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(pipeline.STAGES)[name]
+    prose = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(30).collect()]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [*enumerate(prose), (100, None), (100, ""), (101, "alpha beta gamma delta epsilon zeta"), (101, "one two three four five six"), (101, "one two three four five six"), (None, "alpha beta gamma delta epsilon zeta"), (None, f"here {item} there"), (102, f"here {item} there"), (103, "word " * 200_000), (104, "write to x@mail.example.com 10.1.2.3"), (None, None), (None, None)]
+    df = _odd_rows(spark, rows)
+    got = stage(spark, df, sf)
+    assert got.dtypes == df.dtypes
+    kept = got.collect()
+    others = [tuple(r)[5:] for r in kept]
+    assert set(others) <= {(0.5, "b", "t", 7, 3, "x", 1, 2, "y")}
+    texts = [(r["doc_id"], r["text"]) for r in kept]
+    if name == "language":
+        assert all(t for _, t in texts) and len([t for _, t in texts if t in prose]) == len(prose)
+    if name == "near_copies":
+        # Of one text the smallest doc_id that names one text; both texts of 101 stay unless another has them.
+        assert texts.count((101, "one two three four five six")) == 1
+        assert len([t for _, t in texts if t and t.startswith("alpha beta")]) == 1
+        assert len([t for _, t in texts if not t]) == 4
+        assert (102, rows[-6][1]) in texts and (None, rows[-6][1]) not in texts
+    if name == "decontamination":
+        assert not [t for _, t in texts if t and item in t] and len(texts) == len(rows) - 2
+    if name == "personal_data":
+        assert len(texts) == len(rows) and [t for i, t in texts if i == 104][0].endswith("[EMAIL] [IP]") and texts.count((None, None)) == 2
+    empty = stage(spark, df.limit(0), sf)
+    assert empty.dtypes == df.dtypes and empty.count() == 0
+
+
+def test_keys_called_like_added_columns(spark):
+    from quadweave.llm import bpe
+
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(spark.createDataFrame([(1, "a")], "ids int, text string"), "x", "y", ["ids"])
+
+
+def test_many_texts_with_one_common_line(spark, monkeypatch):
+    """Distinct texts that share a line, a group of near copies, and outsiders of it: large buckets go by hubs."""
+    from quadweave.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 3)
+    random = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    line = " ".join(f"common{i}" for i in range(25))
+    texts = {i: f"{line} " + " ".join(random.choice(words, 3)) for i in range(60)}
+    base = list(random.choice(words, 80))
+    for i in range(60, 160):
+        own = list(base)
+        for at in random.choice(80, random.integers(0, 6), replace=False):
+            own[at] = f"x{random.integers(0, 60)}"
+        texts[i] = " ".join(own)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for percent in (80, 90):
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(rows, 5, percent).collect()}
+        assert got == set(_components(texts, 5, percent))
