@@ -54,8 +54,8 @@ def scale_load(data: DataFrame, setpoint: float, cos_f: float | None = None, con
     rest = type_tableview(data, other, keys=[p]).agg(F.sum(number(p)).alias("p")).first()["p"] or 0.0
     if not sums["p"]:
         raise ValueError("there is no power to scale")
-    tangent = math.tan(math.acos(cos_f)) if cos_f is not None else math.tan(math.acos(math.cos(math.atan((sums["q"] or 0.0) / sums["p"]))))
-    factor = 1 + (setpoint - sums["p"] - rest) / sums["p"]
+    tangent = math.sqrt(1 / cos_f**2 - 1) if cos_f is not None else abs((sums["q"] or 0.0) / sums["p"])
+    factor = (setpoint - rest) / sums["p"]
     scaled = loads.select("ID", (number(p) * factor).alias(p), (number(p) * factor * tangent).alias(q))
     return update_from_view(data, scaled, update=True, add=False)
 

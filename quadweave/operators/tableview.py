@@ -98,7 +98,7 @@ def facts_of_view(view: DataFrame, instance_id: str | None = None, index: str =
     instance = F.lit(instance_id).cast("string") if instance_id is not None or "INSTANCE_ID" not in view.columns else F.col("INSTANCE_ID")
     cells = view.select(quoted(index).alias("ID"), instance.alias("INSTANCE_ID"), F.inline(F.array(*(cell(i, c) for i, c in enumerate(columns)))))
     rows = cells.select("ID", "KEY", "INSTANCE_ID", "place", F.posexplode("VALUES").alias("at", "VALUE")).where(F.col("VALUE").isNotNull())
-    return rows.select("ID", "KEY", "VALUE", "INSTANCE_ID", (F.col("place").cast("bigint") * 1_000_000 + F.col("at")).alias(ORDER))
+    return rows.select("ID", "KEY", "VALUE", "INSTANCE_ID", (F.shiftleft(F.col("place").cast("bigint"), 40) + F.col("at")).alias(ORDER))
 
 
 def facts_of_views(views: dict[str, DataFrame], instance_id: str | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quadweave.plans import formats, rules  # noqa: F401  their queries join these
+    from quadweave.plans import formats, models, rules  # noqa: F401  their queries join these
 
     return dict(_QUERIES)
 
@@ -54,12 +54,12 @@ _NO_ORDER = ("ID", "KEY", "VALUE")
 
 @_query("SELECT 'Region' AS type, count(*) AS count FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'Document', count(*) FROM documents")
 def types_count(spark, sf):
-    return counts.types_count(star.graph(spark, sf, *star.CLASSES))
+    return counts.types_count(star.graph(spark, sf, *star.CLASSES, keys=[TYPE]))
 
 
 @_query("SELECT 'Region' AS type, count(*) AS count FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer")
 def types_count_contains(spark, sf):
-    return counts.types_count(star.graph(spark, sf, "Region", "Nation", "Customer", "Supplier", "Part"), contains="O").where("type <> 'Part'")
+    return counts.types_count(star.graph(spark, sf, "Region", "Nation", "Customer", "Supplier", "Part", keys=[TYPE]), contains="O").where("type <> 'Part'")
 
 
 @_query(f"SELECT 'Customer-' || c_custkey AS ID, 'Customer' AS Type, c_name AS \"Customer.c_name\", {_MONEY.format('c_acctbal')} AS \"Customer.c_acctbal\", c_mktsegment AS \"Customer.c_mktsegment\", 'Nation-' || c_nationkey AS \"Customer.Nation\" FROM customer")
@@ -339,10 +339,10 @@ def pattern_union(spark, sf):
     return p.union(p.pattern(g, "?x", "Customer.c_name", "?name"), p.pattern(g, "?x", "Part.p_brand", "?brand"))
 
 
-@_query("SELECT 'Customer-' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@_query("SELECT 'Customer-' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def pattern_minus(spark, sf):
     g = star.graph(spark, sf, "Customer", "Order")
-    return p.minus(p.pattern(g, "?c", TYPE, "Customer"), p.pattern(g, "?o", "Order.Customer", "?c").select("c"))
+    return p.minus(p.pattern(g, "?c", TYPE, "Customer"), p.match(g, [("?o", "Order.Customer", "?c"), ("?o", "Order.o_orderpriority", "1-URGENT")]).select("c"))
 
 
 @_query("SELECT 'Customer-' || c_custkey AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

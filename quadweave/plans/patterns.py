@@ -49,7 +49,9 @@ def match(data: DataFrame, patterns: list[tuple], instance: str | None = None) -
 
 def optional(found: DataFrame, more: DataFrame) -> DataFrame:
     """Keeps bindings without a counterpart; a shared variable that is unbound on the left fits any value."""
-    shared = [c for c in more.columns if c in found.columns]
+    shared = _shared(found, more)
+    if not shared:
+        raise ValueError("patterns that share no variable are not joined")
     renamed = more.select(*(F.col(c).alias(f"_{c}") if c in shared else F.col(c) for c in more.columns))
     fits = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in shared])
     joined = found.join(renamed, fits, "left")
@@ -60,12 +62,20 @@ def union(*found: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
+def _shared(found: DataFrame, more: DataFrame) -> list[str]:
+    return [c for c in more.columns if c in found.columns]
+
+
 def exists(found: DataFrame, more: DataFrame) -> DataFrame:
-    return found.join(more, [c for c in more.columns if c in found.columns], "left_semi")
+    """Bindings with a counterpart; without a shared variable any row at all is one."""
+    shared = _shared(found, more)
+    return found.join(more, shared, "left_semi") if shared else found.join(F.broadcast(more.limit(1)), F.lit(True), "left_semi")
 
 
 def not_exists(found: DataFrame, more: DataFrame) -> DataFrame:
-    return found.join(more, [c for c in more.columns if c in found.columns], "left_anti")
+    """Bindings without a counterpart; without a shared variable any row at all is one."""
+    shared = _shared(found, more)
+    return found.join(more, shared, "left_anti") if shared else found.join(F.broadcast(more.limit(1)), F.lit(True), "left_anti")
 
 
 def minus(found: DataFrame, more: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XML = "http://www.w3.org/XML/1998/namespace"
 ID_PREFIXES = ("urn:uuid:", "#_", "_")
 BATCH = 50_000
+#: Bytes that the XML parser takes at a time.
+BLOCK = 1 << 20
 
 
 def clean_id(value: str | None) -> str:
@@ -104,36 +106,44 @@ def _no_entities(*_):
     raise ValueError("entity declarations are not accepted")
 
 
-def parse(name: str, content: bytes, shorten: bool = True) -> list[tuple[str, str, str, str]]:
-    """Facts of one document; the instance follows from its name, so that a retried task gives the same."""
+def parse(name: str, content: bytes, shorten: bool = True) -> Iterator[list[tuple[str, str, str, str]]]:
+    """Facts of one document, some at a time; the instance follows from its name, so that a retried task gives the same."""
     facts = _Facts(name, str(uuid.uuid5(uuid.NAMESPACE_URL, name)), shorten)
     parser = expat.ParserCreate(namespace_separator=" ")
     parser.buffer_text = True
     parser.StartNamespaceDeclHandler = facts.namespace
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = facts.start, facts.end, facts.data
     parser.EntityDeclHandler = _no_entities
-    parser.Parse(content, True)
-    return facts.rows
+    for at in range(0, len(content), BLOCK):
+        parser.Parse(content[at : at + BLOCK], False)
+        if len(facts.rows) >= BATCH:
+            yield facts.rows
+            facts.rows = []
+    parser.Parse(b"", True)
+    yield facts.rows
 
 
 def read_cimxml(spark: SparkSession, paths, shorten_resources: bool = True) -> DataFrame:
-    """The graph table of some files or folders."""
+    """The graph table of some files or folders; `_ord` follows the files by their paths, and the places in each.
+
+    Facts are given out while a document is read; the bytes of a file (2 GB at most, Spark's limit) are held whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    listed = sorted(r["path"] for r in files.select("path").collect())  # Spark's own listing is on the driver as well
+    places = spark.sparkContext.broadcast({path: i for i, path in enumerate(listed)})
 
     def run(batches):
         names = ["ID", "KEY", "VALUE", "INSTANCE_ID"]
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                at = 0
+                at = places.value[path.as_py()] << 40
                 for name, document in members(path.as_py(), content.as_py()):
-                    rows = parse(name, document, shorten_resources)
-                    for i in range(0, len(rows), BATCH):
-                        part = rows[i : i + BATCH]
-                        columns = [pa.array(c, pa.string()) for c in zip(*part, strict=True)]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(range(at + i, at + i + len(part)), pa.int64())], [*names, "_ord"])
-                    at += len(rows)
+                    for part in parse(name, document, shorten_resources):
+                        if part:
+                            columns = [pa.array(c, pa.string()) for c in zip(*part, strict=True)]
+                            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(at, at + len(part)), pa.int64())], [*names, "_ord"])
+                            at += len(part)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
-    return files.mapInArrow(run, "ID string, KEY string, VALUE string, INSTANCE_ID string, _ord bigint")
+    return files.select("path", "content").mapInArrow(run, "ID string, KEY string, VALUE string, INSTANCE_ID string, _ord bigint")
 
 
 _OBJECT = re.compile(rb"<[\w:.-]+\s[^>]*?rdf:(?:ID|about|nodeID)\s*=\s*[\"']([^\"']*)[\"']")

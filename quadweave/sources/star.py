@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +43,18 @@ def _text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("decimal(18,2)").cast("string") if kind in ("double", "float") else F.col(column).cast("string")
 
 
-def objects(df: DataFrame, m: Mapping) -> DataFrame:
-    """The facts of one table: a scan for each property, so that a selection of properties reads only their columns."""
+def objects(df: DataFrame, m: Mapping, keys: list[str] | None = None) -> DataFrame:
+    """The facts of one table, or those of some properties: one scan, which reads only the columns of these."""
     ID, place = F.concat(F.lit(f"{m.name}-"), F.col(m.key).cast("string")), F.col(m.key).cast("bigint") * 16
     values = [("Type", F.lit(m.name))] + [(f"{m.name}.{c}", _text(df, c)) for c in m.columns]
     values += [(f"{m.name}.{to}", F.concat(F.lit(f"{to}-"), F.col(c).cast("string"))) for c, to in m.references.items()]
-    parts = [df.select(ID.alias("ID"), F.lit(key).alias("KEY"), value.alias("VALUE"), F.lit(m.instance).alias("INSTANCE_ID"), (place + i).alias(ORDER)) for i, (key, value) in enumerate(values)]
-    return reduce(DataFrame.unionByName, parts)
+    wanted = [(i, key, value) for i, (key, value) in enumerate(values) if keys is None or key in keys]
+    if len(wanted) == 1:
+        i, key, value = wanted[0]
+        return df.select(ID.alias("ID"), F.lit(key).alias("KEY"), value.alias("VALUE"), F.lit(m.instance).alias("INSTANCE_ID"), (place + i).alias(ORDER))
+    cells = [F.struct(F.lit(key).alias("KEY"), value.alias("VALUE"), F.lit(m.instance).alias("INSTANCE_ID"), (place + i).alias(ORDER)) for i, key, value in wanted]
+    facts = F.array(*cells) if cells else F.array().cast(f"array<struct<KEY:string,VALUE:string,INSTANCE_ID:string,{ORDER}:bigint>>")
+    return df.select(ID.alias("ID"), F.inline(facts))
 
 
 def order_parts(lines: DataFrame) -> DataFrame:
@@ -60,14 +64,14 @@ def order_parts(lines: DataFrame) -> DataFrame:
     return lines.select(F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("ID"), F.lit("Order.Part").alias("KEY"), part.alias("VALUE"), F.lit("SV").alias("INSTANCE_ID"), order.alias(ORDER))
 
 
-def graph(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """The graph of some classes; `OrderParts` adds the parts of orders."""
+def graph(spark: SparkSession, sf_dir: str, *names: str, keys: list[str] | None = None) -> DataFrame:
+    """The graph of some classes, whole or of some properties; `OrderParts` adds the parts of orders."""
     found = None
     for name in names:
         if name == "OrderParts":
             part = order_parts(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
         else:
-            part = objects(spark.read.parquet(f"{sf_dir}/{CLASSES[name].table}.parquet"), CLASSES[name])
+            part = objects(spark.read.parquet(f"{sf_dir}/{CLASSES[name].table}.parquet"), CLASSES[name], keys)
         found = part if found is None else found.unionByName(part)
     if found is None:
         raise ValueError("no class is named")
