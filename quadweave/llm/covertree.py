@@ -35,42 +35,53 @@ SAMPLE = 2_000
 #: Rows of data, and of queries, that a task holds at once.
 DATA_BLOCK = 8_192
 QUERY_GROUP = 16_384
+#: Pairs of blocks and query groups up to which they are broadcast.
+BROADCAST_PAIRS = 1_000_000
 #: Queries that are indexed by one tree.
 QUERY_BLOCK = 2_048
 LEAF = 256
+LEAF_SHARE = 32
+#: Queries of a leaf, and of a cover at least; their leaves are small, since each is compared by its worst member.
+QUERY_LEAF = 16
+QUERY_SHARE = 2
 
 
 class CoverTree:
-    """Nested covers: children of a node are centres at most half its radius apart from what they cover."""
+    """Nested covers: the members of a child are at most half the node's radius away from the child's centre.
 
-    def __init__(self, points: np.ndarray, members: np.ndarray | None = None):
+    A node stays whole where halves would be too many to be worth it: more than one for every `share` members."""
+
+    def __init__(self, points: np.ndarray, members: np.ndarray | None = None, centre: np.ndarray | None = None, leaf: int = LEAF, share: int = LEAF_SHARE):
         self.members = np.arange(len(points)) if members is None else members
         own = points[self.members]
         self.centre = own.mean(0)
-        gaps = np.sqrt(np.maximum(((own - self.centre) ** 2).sum(1), 0))
+        gaps = np.sqrt(((own - self.centre) ** 2).sum(1))
+        if centre is not None and (around := np.sqrt(((own - centre) ** 2).sum(1))).max() < gaps.max():
+            self.centre, gaps = centre, around
         # Rounding may not shrink a bound.
         self.radius = float(gaps.max()) * (1 + 1e-9) + 1e-6
         self.norm = float(np.sqrt((self.centre**2).sum())) * (1 + 1e-9)
         self.children: list[CoverTree] = []
-        if len(own) > LEAF and self.radius > 1e-3:
-            groups = self._cover(own, self.radius / 2)
+        if len(own) > leaf and self.radius > 1e-3:
+            groups = self._cover(own, self.radius / 2, share)
             if len(groups) > 1:
-                self.children = [CoverTree(points, self.members[g]) for g in groups]
+                self.children = [CoverTree(points, self.members[g], own[c], leaf, share) for c, g in groups]
 
     @staticmethod
-    def _cover(own: np.ndarray, radius: float, most: int = 8) -> list[np.ndarray]:
-        """Farthest-first centres until all is covered; at most `most`, members go to the nearest."""
+    def _cover(own: np.ndarray, radius: float, share: int) -> list[tuple[int, np.ndarray]]:
+        """(centre, members): farthest-first centres until all is covered, members go to the nearest; nothing if that takes too many."""
         near = np.full(len(own), np.inf)
         to = np.zeros(len(own), np.int64)
-        at = 0
-        for number in range(most):
+        at, centres = 0, []
+        while near[at] > radius * radius:
+            if len(centres) * share > len(own):
+                return []
             gap = ((own - own[at]) ** 2).sum(1)
-            to[gap < near] = number
+            to[gap < near] = len(centres)
             near = np.minimum(near, gap)
+            centres.append(at)
             at = int(near.argmax())
-            if near[at] <= radius * radius:
-                break
-        return [g for g in (np.flatnonzero(to == n) for n in range(most)) if len(g)]
+        return [(c, g) for c, g in ((c, np.flatnonzero(to == n)) for n, c in enumerate(centres)) if len(g)]
 
     def bound(self, other: CoverTree) -> float:
         dot = float(self.centre @ other.centre)
@@ -113,14 +124,21 @@ class Best:
 
 def dual_tree(queries: np.ndarray, query_ids: np.ndarray, tree: CoverTree, data: np.ndarray, ids: np.ndarray, best: Best) -> None:
     """Adds to `best` what a block of data has for a block of queries."""
-    open_pairs = [(CoverTree(queries.astype(np.float64)), tree)]
+    points = queries.astype(np.float64)
+    norms = np.sqrt((points**2).sum(1)) * (1 + 1e-9)
+    open_pairs = [(CoverTree(points, leaf=QUERY_LEAF, share=QUERY_SHARE), tree)]
     while open_pairs:
         q, d = open_pairs.pop()
         if q.bound(d) < best.worst(q.members):
             continue
         if not q.children and not d.children:
-            scores = exact_scores(queries[q.members], data[d.members])
-            for i, row in enumerate(q.members):
+            # Every query of the leaf once more by itself, with no radius of its own.
+            dots = points[q.members] @ d.centre
+            rows = q.members[dots + np.abs(dots) * 1e-9 + norms[q.members] * d.radius >= best.floors[q.members]]
+            if not len(rows):
+                continue
+            scores = exact_scores(queries[rows], data[d.members])
+            for i, row in enumerate(rows):
                 best_of = np.flatnonzero((scores[i] >= best.floors[row]) & (ids[d.members] != query_ids[row]))
                 if len(best_of):
                     best.add(row, scores[i][best_of], ids[d.members][best_of])
@@ -217,13 +235,16 @@ def top_k(df: DataFrame, queries, k: int = 5, key: str = "vec_id", vector: str =
     dealt = placed.join(F.broadcast(nodes.select("size", "node", "blocks")), ["size", "node"])
     asked = written(placed.where(queries).select("size", F.col("node").alias("qnode"), "id", "vec", "gap").distinct(), "asked")
     groups = max(1, -(-asked.count() // QUERY_GROUP))
-    # Each block of data meets each group of queries in a task of its own.
-    data = dealt.select("size", "node", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "id", "vec")
+    data = dealt.select("size", "node", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec")
 
     def searched(wanted: DataFrame, name: str) -> DataFrame:
-        """wanted: queries (size, id, vec, floor) with the node to search; all its blocks are searched."""
+        """wanted: queries (size, id, vec, floor) with the node to search; all its blocks are searched.
+
+        A block of data goes to the groups that want its node, and meets each in a task of its own."""
         spread = wanted.join(F.broadcast(nodes.select("size", "node", "blocks")), ["size", "node"]).select("size", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "id", "vec", "floor")
-        both = data.withColumn("floor", F.lit(0.0)).withColumn("is_query", F.lit(False)).unionByName(spread.withColumn("is_query", F.lit(True)))
+        meet = written(spread.select("size", "node", "block", "group").distinct(), "meet")
+        sent = data.join(F.broadcast(meet) if meet.count() <= BROADCAST_PAIRS else meet, ["size", "node", "block"])
+        both = sent.withColumn("floor", F.lit(0.0)).withColumn("is_query", F.lit(False)).unionByName(spread.withColumn("is_query", F.lit(True)))
         return written(both.groupBy("size", "node", "block", "group").applyInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint"), name)
 
     low = F.lit(float("-inf"))
@@ -232,10 +253,12 @@ def top_k(df: DataFrame, queries, k: int = 5, key: str = "vec_id", vector: str =
     floors = _best(first, k).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("least")).select(F.col("query_id").alias("id"), F.when(F.col("found") >= k, F.col("least").cast("double")).otherwise(low).alias("floor"))
     known = written(asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", low)), "floors")
     sides = known.groupBy("size", "qnode").agg(F.max("gap").alias("qradius"), F.min("floor").alias("worst")).collect()  # at most PIVOTS for each length
-    kept = []
+    kept, of_size = [], {}
+    for n in nodes.collect():
+        of_size.setdefault(n["size"], []).append(n)
     for g in sides:
         centres = pivots.get(g["size"], np.zeros((1, g["size"])))
-        for n in nodes.where(F.col("size") == g["size"]).collect():
+        for n in of_size[g["size"]]:
             cq, cd = centres[g["qnode"]], centres[n["node"]]
             rq, rd = g["qradius"] * (1 + 1e-9) + 1e-6, n["radius"] * (1 + 1e-9) + 1e-6
             dot = float(cq @ cd)
