@@ -6,9 +6,9 @@ positions.  A text's n-grams (3 and 4 letters, with word borders) are counted by
 in a filter that reports absent n-grams with probability f is corrected to (s - f) / (1 - f); the language
 with the largest corrected share is predicted, and that share is the score.
 
-The filters are fitted on a bounded sample of the labelled rows: about `SAMPLE` rows for each of at most
-`MAX_LANGUAGES` languages (the most frequent), taken by a hash of the row; an n-gram enters a filter if
-`SUPPORT` rows of the language have it.  Every text is then predicted from the whole of it.
+The filters are fitted on a bounded sample of the labelled rows: about `SAMPLE` rows for each
+language, taken by a hash of the row; an n-gram enters a filter if `SUPPORT` rows of the language have it, and any row where
+fewer than `FEW` are sampled.  The table takes 128 KB a language.  Every text is then predicted from the whole of it.
 
 Defined results: a null text, or one without letters, is `und` with score 0; so is every text if no row is
 labelled.  Ties go to the language with more sampled rows, then to the smaller name.  Rows without key are
@@ -29,8 +29,8 @@ from quadweave.llm.kernels import mix
 from quadweave.llm.scratch import released, small_batches
 
 SAMPLE = 600
-MAX_LANGUAGES = 256
 SUPPORT = 3
+FEW = 10
 POSITIONS = 1 << 20
 HASHES = 2
 SIZES = (3, 4)
@@ -98,7 +98,7 @@ def positions(hashes: np.ndarray) -> list[np.ndarray]:
 def fit(labelled: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], list[np.ndarray]]:
     """Languages, and for every eight of them the masks by position."""
     spark = labelled.sparkSession
-    sizes = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()  # one row a language
     names = [r[0] for r in sizes]
     if not names:
         return [], []
@@ -116,7 +116,9 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str) -> tuple[list[str],
                     found = np.unique(grams([text])[0]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), place[name], np.int32)), pa.array(found)], ["lang", "gram"])
 
-    counted = sample.select(text, lang).mapInArrow(run, "lang int, gram bigint").groupBy("lang", "gram").count().where(F.col("count") >= SUPPORT)
+    counted = sample.select(text, lang).mapInArrow(run, "lang int, gram bigint").groupBy("lang", "gram").count()
+    supports = F.array(*(F.lit(1 if r[1] < FEW else SUPPORT) for r in sizes))
+    counted = counted.where(F.col("count") >= F.get(supports, F.col("lang")))
     at = F.explode(F.array(*(F.shiftrightunsigned("gram", 20 * i).bitwiseAND(F.lit(POSITIONS - 1)) for i in range(HASHES)))).alias("position")
     bits = counted.select("lang", at).groupBy((F.col("lang") / 8).cast("int").alias("part"), "position").agg(F.bit_or(F.expr("shiftleft(1, lang % 8)")).alias("mask"))
     masks = [np.zeros(POSITIONS, np.uint8) for _ in range(-(-len(names) // 8))]
