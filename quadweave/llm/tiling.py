@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of documents and benchmark items are compared as 64-bit hashes.  Five-word seeds that both share pick
-the pairs of document and item; each pair is tiled: the longest match of unmarked words is marked on both
+the pairs of document and item (an item of fewer words is one seed), as tiles of five words and more cannot cover enough of an item
+unless so many of its places are seeds of the document; each pair is tiled: the longest match of unmarked words is marked on both
 sides, then the next, down to five words.  Matches of a length are found by running Karp-Rabin hashes.  Tiles
 do not overlap and may come in any order, so that reordered passages are covered.  An item is leaked by a
 document if tiles cover at least `coverage` of its words.
@@ -9,7 +10,7 @@ document if tiles cover at least `coverage` of its words.
 The benchmark is broadcast while its texts are below `BROADCAST_BYTES`, which is checked; beyond that, seeds
 of both sides are joined by a shuffle.  Both ways give the same rows.
 
-Defined results: null and empty texts match nothing; items of fewer than five words take no part; rows
+Defined results: null and empty texts match nothing; items of fewer than five words are found whole; rows
 without key on either side take no part.  Rows that share a doc_id are reported each.  Equal items are
 reported each.  An empty table on either side gives no rows.  Extra columns are ignored.
 """
@@ -98,22 +99,36 @@ def tile(document: np.ndarray, item: np.ndarray, least: int = LEAST_WORDS) -> li
     return sorted(tiles, key=lambda t: (-t[2], t[0]))
 
 
+def _least(n: int) -> int:
+    """Words of a seed, and of the shortest tile, for an item of n words."""
+    return min(LEAST_WORDS, n)
+
+
+def _fewest(n: int, coverage: float) -> int:
+    """Places of an item of n words at which seeds begin that a document has at least, if tiles cover enough: one for every five words."""
+    return max(1, int(np.ceil(coverage * n / LEAST_WORDS - 1e-9)))
+
+
+def _seeds(own: np.ndarray, size: int) -> np.ndarray:
+    return shingles(own, size) if len(own) >= size else np.zeros(0, U)
+
+
 def _items(ids: list, texts: pa.Array):
-    """Words by item, and the sorted seeds with their items."""
-    words, seeds, owners = [], [], []
+    """Words by item, the sorted seeds with their items, one for each place, and the lengths of seeds that occur."""
+    words, seeds, owners, sizes = [], [], [], set()
     for i, j, hashes, bounds, _ in word_slices(texts):
         for r in range(j - i):
             own = hashes[bounds[r] : bounds[r + 1]]
             words.append(own)
-            if len(own) >= LEAST_WORDS:
-                own_seeds = np.unique(shingles(own, LEAST_WORDS))
-                seeds.append(own_seeds)
-                owners.append(np.full(len(own_seeds), len(words) - 1))
+            if len(own):
+                sizes.add(_least(len(own)))
+                seeds.append(shingles(own, _least(len(own))))
+                owners.append(np.full(len(seeds[-1]), len(words) - 1))
     if not seeds:
-        return ids, words, np.zeros(0, U), np.zeros(0, np.int64)
+        return ids, words, np.zeros(0, U), np.zeros(0, np.int64), []
     seeds, owners = np.concatenate(seeds), np.concatenate(owners)
     order = np.argsort(seeds, kind="stable")
-    return ids, words, seeds[order], owners[order]
+    return ids, words, seeds[order], owners[order], sorted(sizes)
 
 
 _SCHEMA = "doc_id bigint, item_id bigint, n_tiles int, covered_words bigint, item_words bigint, coverage double, tiles array<struct<doc_word:bigint,item_word:bigint,words:bigint>>"
@@ -121,18 +136,18 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tiles",
 
 
 def _row(doc_id, item_id, document: np.ndarray, item: np.ndarray, coverage: float) -> dict | None:
-    tiles = tile(document, item)
+    tiles = tile(document, item, _least(len(item)))
     covered = sum(t[2] for t in tiles)
     if not tiles or covered < coverage * len(item):
         return None
     return {"doc_id": doc_id, "item_id": item_id, "n_tiles": len(tiles), "covered_words": covered, "item_words": len(item), "coverage": covered / len(item), "tiles": [{"doc_word": d, "item_word": i, "words": n} for d, i, n in tiles]}
 
 
-def _near(document: np.ndarray, seed_at: np.ndarray) -> np.ndarray:
+def _near(document: np.ndarray, seed_at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of a document that lie in a seed; runs of others shrink to one word that matches nothing."""
     inside = np.zeros(len(document) + 1, np.int64)
     np.add.at(inside, seed_at, 1)
-    np.add.at(inside, np.minimum(seed_at + LEAST_WORDS, len(document)), -1)
+    np.add.at(inside, np.minimum(seed_at + sizes, len(document)), -1)
     inside = np.cumsum(inside)[:-1] > 0
     first = ~inside & np.concatenate([[True], inside[:-1]])
     return np.flatnonzero(inside | first), inside
@@ -154,7 +169,8 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, coverage: float) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(_items(table["item_id"].to_pylist(), table["item"].combine_chunks()))
 
     def run(batches):
-        ids, words, seeds, owners = shared.value
+        ids, words, seeds, owners, lengths = shared.value
+        fewest = np.array([_fewest(len(w), coverage) for w in words], np.int64)
         for batch in batches:
             out = []
             for i, j, hashes, bounds, _ in word_slices(batch.column(1)):
@@ -162,16 +178,24 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, coverage: float) -> DataFra
                     break
                 for r in range(j - i):
                     document = hashes[bounds[r] : bounds[r + 1]]
-                    if len(document) < LEAST_WORDS:
+                    begins, sizes, values = [], [], []
+                    for size in lengths:
+                        own = _seeds(document, size)
+                        at = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
+                        hit = np.flatnonzero(seeds[at] == own)
+                        begins.append(hit)
+                        sizes.append(np.full(len(hit), size))
+                        values.append(own[hit])
+                    begins, values = np.concatenate(begins), np.unique(np.concatenate(values))
+                    if not len(begins):
                         continue
-                    own = shingles(document, LEAST_WORDS)
-                    at = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
-                    hit = np.flatnonzero(seeds[at] == own)
-                    if not len(hit):
+                    # Places of every item that are seeds of the document.
+                    of = np.concatenate([owners[np.searchsorted(seeds, v) : np.searchsorted(seeds, v, "right")] for v in values])
+                    touched, places = np.unique(of, return_counts=True)
+                    touched = touched[places >= fewest[touched]]
+                    if not len(touched):
                         continue
-                    values = own[hit]
-                    touched = np.unique(np.concatenate([owners[np.searchsorted(seeds, v) : np.searchsorted(seeds, v, "right")] for v in np.unique(values)]))
-                    kept, inside = _near(document, hit)
+                    kept, inside = _near(document, begins, np.concatenate(sizes))
                     short = np.where(inside[kept], document[kept], U(0))
                     for o in touched:
                         if found := _row(batch.column(0)[i + r].as_py(), ids[o], short, words[o], coverage):
@@ -183,27 +207,40 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, coverage: float) -> DataFra
     return docs.mapInArrow(released(run), _SCHEMA)
 
 
-def _seed_rows(batches):
-    for batch in batches:
-        for i, j, hashes, bounds, _ in word_slices(batch.column(1)):
-            for r in range(j - i):
-                own = hashes[bounds[r] : bounds[r + 1]]
-                if len(own) >= LEAST_WORDS:
-                    seeds = np.unique(shingles(own, LEAST_WORDS)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), batch.column(0)[i + r].as_py(), np.int64)), pa.array(seeds)], ["id", "seed"])
+def _seed_rows(lengths: list[int] | None):
+    """(id, n, seed, places): n words of the text, places at which the seed begins; of items by their own length of seeds."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, hashes, bounds, _ in word_slices(batch.column(1)):
+                for r in range(j - i):
+                    own = hashes[bounds[r] : bounds[r + 1]]
+                    found = np.concatenate([np.zeros(0, U), *(_seeds(own, size) for size in ([_least(len(own))] if lengths is None else lengths) if size)])
+                    seeds, places = np.unique(found, return_counts=True)
+                    same = [np.full(len(seeds), x, np.int64) for x in (batch.column(0)[i + r].as_py(), len(own))]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(seeds.view(np.int64)), pa.array(places.astype(np.int64))], ["id", "n", "seed", "places"])
+
+    return run
+
+
+_SEEDS = "id bigint, n bigint, seed bigint, places bigint"
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
-    of_items = written(items.mapInArrow(_seed_rows, "id bigint, seed bigint").select(F.col("id").alias("item_id"), "seed"), "seeds")
-    of_docs = docs.mapInArrow(_seed_rows, "id bigint, seed bigint").select(F.col("id").alias("doc_id"), "seed")
-    pairs = written(of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct(), "pairs")
+    of_items = written(items.mapInArrow(_seed_rows(None), _SEEDS).select(F.col("id").alias("item_id"), "n", "seed", "places"), "seeds")
+    lengths = sorted(r["size"] for r in of_items.select(F.least("n", F.lit(LEAST_WORDS)).alias("size")).distinct().collect())  # LEAST_WORDS rows at most
+    of_docs = docs.mapInArrow(_seed_rows(lengths), _SEEDS).select(F.col("id").alias("doc_id"), "seed").distinct()
+    # Rows that share an id are counted together, which leaves no pair out.
+    fewest = F.greatest(F.lit(1), F.ceil(coverage * F.min("n") / LEAST_WORDS - F.lit(1e-9)))
+    pairs = of_docs.join(of_items, "seed").groupBy("doc_id", "item_id").agg(F.sum("places").alias("places"), fewest.alias("fewest"))
+    pairs = written(pairs.where("places >= fewest").select("doc_id", "item_id"), "pairs")
 
     def run(batches):
         for batch in batches:
             sides = []
             for name in ("text", "item"):
                 sides.append([hashes[bounds[r] : bounds[r + 1]] for i, j, hashes, bounds, _ in word_slices(batch.column(name)) for r in range(j - i)])
-            rows = [_row(d, i, a, b, coverage) for d, i, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), *sides, strict=True) if len(b) >= LEAST_WORDS]
+            rows = [_row(d, i, a, b, coverage) for d, i, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), *sides, strict=True) if len(b)]
             yield pa.RecordBatch.from_pylist([r for r in rows if r], _ARROW)
 
     return pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item").mapInArrow(run, _SCHEMA)
