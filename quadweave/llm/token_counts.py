@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -173,23 +174,24 @@ def frequent_lengths(df: DataFrame, path: str, text: str = "text", entries: int
     return {piece: len(got) for piece, got in zip(kept, counter.pieces_only.encode_batch_fast(kept, add_special_tokens=False), strict=True)}
 
 
-_made: dict[str, object] = {}
+_made: dict[str, tuple[str, object]] = {}
 
 
-def _worker_counter(path: str, table) -> JsonCounter | PieceCounter:
-    if path not in _made:
-        _made[path] = PieceCounter(path) if path.endswith(".model") else JsonCounter(path, table.value)
-    return _made[path]
+def _worker_counter(path: str, table, run_id: str) -> JsonCounter | PieceCounter:
+    """The worker's counter of a run: caches live as long as tasks of the same run come."""
+    if path not in _made or _made[path][0] != run_id:
+        _made[path] = run_id, PieceCounter(path) if path.endswith(".model") else JsonCounter(path, table.value)
+    return _made[path][1]
 
 
 def token_counts(df: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_bytes` (UTF-8), `n_tokens` and `over_limit` of every row."""
     small_batches(df.sparkSession)
     table = {} if path.endswith(".model") else frequent_lengths(df, path, text)
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared, run_id = df.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches):
-        counter = _worker_counter(path, shared)
+        counter = _worker_counter(path, shared, run_id)
         for batch in batches:
             sizes, counts = [], []
             for value in batch.column("__text"):

@@ -665,3 +665,57 @@ def test_many_texts_with_one_common_line(spark, monkeypatch):
     for percent in (80, 90):
         got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(rows, 5, percent).collect()}
         assert got == set(_components(texts, 5, percent))
+
+
+def test_pruning_of_clusters():
+    """Halving covers: tight clusters leave most scores uncomputed, and the results exact."""
+    from quadweave.llm import covertree
+
+    random_ = np.random.default_rng(3)
+    centres = random_.normal(size=(40, 8)) * 4000
+    data = np.floor(np.repeat(centres, 150, 0) + random_.normal(size=(6000, 8)) * 40).astype(np.int64)
+    ids, asked = np.arange(6000), np.arange(0, 6000, 50)
+    tree = covertree.CoverTree(data.astype(np.float64))
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        assert all(c.radius <= node.radius / 2 + 2e-6 for c in node.children)
+        todo += node.children
+    computed = []
+    whole = covertree.exact_scores
+
+    def counted(a, b):
+        computed.append(len(a) * len(b))
+        return whole(a, b)
+
+    covertree.exact_scores = counted
+    try:
+        best = covertree.Best(5, np.full(len(asked), -np.inf))
+        covertree.dual_tree(data[asked], asked, tree, data, ids, best)
+    finally:
+        covertree.exact_scores = whole
+    scores = data[asked] @ data.T
+    for row, q in enumerate(asked):
+        want = sorted((-int(s), int(i)) for i, s in enumerate(scores[row]) if i != q)[:5]
+        assert [(-int(s), int(i)) for s, i in zip(best.scores[row], best.ids[row])] == want
+    assert sum(computed) < 0.35 * len(asked) * len(data)
+
+
+def test_a_language_with_one_labelled_row(spark):
+    from quadweave.llm import language
+
+    es = ["la casa blanca estaba cerca del puente viejo y nadie hablaba con los vecinos"] + ["nadie estaba cerca de la casa y los vecinos hablaban del puente blanco"] * 3
+    en = ["the white house stood near the old bridge and nobody talked with the people"] * 12
+    rows = [(i, t, "en") for i, t in enumerate(en)] + [(100, es[0], "es")] + [(200 + i, t, None) for i, t in enumerate(es[1:])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i][0] == "es" and got[i][1] >= 0.25 for i in (200, 201, 202))
+
+
+def test_short_items_are_found_whole(spark):
+    from quadweave.llm.tiling import leaks
+
+    docs = spark.createDataFrame([(1, "so the quick fox said nothing"), (2, "the fox was quick"), (3, "one two three four five six seven and more"), (4, "fox")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "the quick fox"), (2, "one two three four five six seven eight nine"), (3, ""), (4, None)], "item_id bigint, text string")
+    for limit in (1 << 20, -1):
+        got = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in leaks(docs, items, broadcast_bytes=limit).collect()}
+        assert got == {(1, 1, 3), (3, 2, 7)}
