@@ -34,15 +34,16 @@ from pyspark.sql import functions as F
 from quadweave.llm.kernels import mix, word_slices
 from quadweave.llm.scratch import small_batches, written
 
-FREQUENT = 96
+FREQUENT = 128
 SHARED = 32
 WINDOW = 2
 WIDTH = 16
-HIDDEN = 16
+HIDDEN = 32
 WARM_DOCUMENTS = 256
-WARM_PASSES = 4
+WARM_PASSES = 8
+WARM_BATCH = 256
 BATCH = 2048
-RATE = 0.5
+RATE = 0.05
 MERGERS = 16
 COUNT_AT_ONCE = 1 << 21
 HEAD = 1 << 17
@@ -55,28 +56,39 @@ U = np.uint64
 class Network:
     """Embeddings of the neighbours, one hidden layer, a softmax over classes; plain numpy."""
 
+    PARTS = ("embed", "into", "bias", "out", "prior")
+
     def __init__(self, seed: int = 1):
         random = np.random.default_rng(seed)
-        self.embed = random.normal(0, 0.1, (CLASSES + 1, WIDTH)).astype(np.float32)
+        self.embed = random.normal(0, 1, (CLASSES + 1, WIDTH)).astype(np.float32)
         self.into = random.normal(0, 1 / np.sqrt(2 * WINDOW * WIDTH), (2 * WINDOW * WIDTH, HIDDEN)).astype(np.float32)
         self.bias = np.zeros(HIDDEN, np.float32)
         self.out = random.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32)
         self.prior = np.zeros(CLASSES, np.float32)
+        self.squares = {name: np.full_like(getattr(self, name), 1e-6) for name in self.PARTS}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in (self.embed, self.into, self.bias, self.out, self.prior)])
+        return np.concatenate([getattr(self, name).ravel() for name in self.PARTS])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
+    def of(cls, flat: np.ndarray, squares: dict[str, np.ndarray] | None = None) -> Network:
         made, at = cls(), 0
-        for name in ("embed", "into", "bias", "out", "prior"):
+        for name in cls.PARTS:
             p = getattr(made, name)
             setattr(made, name, flat[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
+        if squares is not None:
+            made.squares = {name: s.copy() for name, s in squares.items()}
         return made
 
+    def _step(self, name: str, gradient: np.ndarray, rate: float, rows=slice(None)) -> None:
+        """Steps shrink with the squared gradients that a weight has seen, so that rare classes learn as well."""
+        squares = self.squares[name]
+        squares[rows] += gradient * gradient
+        getattr(self, name)[rows] -= rate * gradient / np.sqrt(squares[rows])
+
     def train(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent."""
+        """One step of gradient descent, with a rate of its own for each weight."""
         n = len(target)
         x = self.embed[context].reshape(n, -1)
         h = np.tanh(x @ self.into + self.bias)
@@ -84,19 +96,19 @@ class Network:
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(n), target] -= 1
-        p *= rate / n
+        p /= n
         back = (p @ self.out.T) * (1 - h * h)
         dx = (back @ self.into.T).reshape(n, 2 * WINDOW, WIDTH)
-        self.out -= h.T @ p
-        self.prior -= p.sum(0)
-        self.into -= x.T @ back
-        self.bias -= back.sum(0)
+        self._step("out", h.T @ p, rate)
+        self._step("prior", p.sum(0), rate)
+        self._step("into", x.T @ back, rate)
+        self._step("bias", back.sum(0), rate)
         # Steps of the same embedding are summed before they are applied.
         own = context.ravel().astype(np.uint8)  # as bytes they are sorted by radix
         order = np.argsort(own, kind="stable")
         own = own[order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        self.embed[own[first]] -= np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
+        self._step("embed", np.add.reduceat(dx.reshape(-1, WIDTH)[order], first), rate, own[first])
 
     def scorer(self):
         """A function from context classes and targets to log-probabilities."""
@@ -210,14 +222,14 @@ def _warm(texts: pa.Array, frequent: np.ndarray, place: np.ndarray) -> Network:
     for _, _, words, _, _ in word_slices(texts):
         seen += np.bincount(classes(words, frequent, place), minlength=CLASSES)
     network.prior = np.log(seen / seen.sum()).astype(np.float32)  # the frequencies are not left to be learnt
-    for number in range(WARM_PASSES):
+    for _ in range(WARM_PASSES):
         for _, _, words, bounds, _ in word_slices(texts):
             ids = classes(words, frequent, place)
             around = contexts(ids, bounds)
             order = random.permutation(len(ids))
-            for at in range(0, len(order), BATCH):
-                part = order[at : at + BATCH]
-                network.train(around[part], ids[part], RATE / (1 + number / 2))
+            for at in range(0, len(order), WARM_BATCH):
+                part = order[at : at + WARM_BATCH]
+                network.train(around[part], ids[part], RATE)
     return network
 
 
@@ -226,8 +238,8 @@ _WEIGHTS = "targets bigint, weights binary"
 
 def _trainer(shared):
     def run(batches):
-        flat, frequent, place = shared.value
-        network, random, seen = Network.of(flat), np.random.default_rng(3), 0
+        flat, squares, frequent, place = shared.value
+        network, random, seen = Network.of(flat, squares), np.random.default_rng(3), 0
         for batch in batches:
             for _, _, words, bounds, _ in word_slices(batch.column(0)):
                 ids = classes(words, frequent, place)
@@ -235,7 +247,7 @@ def _trainer(shared):
                 targets = random.permutation(len(ids))
                 for at in range(0, len(targets), BATCH):
                     part = targets[at : at + BATCH]
-                    network.train(around[part], ids[part], RATE / 8)
+                    network.train(around[part], ids[part], RATE)
                 seen += len(targets)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([network.flat().astype(np.float64).tobytes()], pa.binary())], ["targets", "weights"])
@@ -262,7 +274,7 @@ def fit(df: DataFrame, key: str, text: str):
     texts = sample.limit(4 * WARM_DOCUMENTS).toArrow()["text"].combine_chunks()
     warm = _warm(texts, frequent, place)
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((warm.flat(), frequent, place))
+    shared = spark.sparkContext.broadcast((warm.flat(), warm.squares, frequent, place))
     parts = df.select(text).mapInArrow(_trainer(shared), _WEIGHTS).repartition(MERGERS).mapInArrow(_average, _WEIGHTS)
     total, seen = np.zeros(len(warm.flat())), 0
     for row in parts.toLocalIterator():  # MERGERS networks at most, one at a time

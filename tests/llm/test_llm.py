@@ -719,3 +719,17 @@ def test_short_items_are_found_whole(spark):
     for limit in (1 << 20, -1):
         got = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in leaks(docs, items, broadcast_bytes=limit).collect()}
         assert got == {(1, 1, 3), (3, 2, 7)}
+
+
+def test_context_beats_frequencies_on_held_out_texts(spark, sf):
+    from quadweave.llm import pseudo_likelihood as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    flat, frequent, place, counts = p.fit(docs.where("doc_id % 2 = 0"), "doc_id", "text")
+    held_out = docs.where("doc_id % 2 = 1")
+    seen = counts.toPandas()
+    own = np.bincount(p.classes(seen["word"].to_numpy().view(np.uint64), frequent, place), weights=seen["cnt"], minlength=p.CLASSES)
+    plain = p.Network.of(flat)
+    plain.out[:], plain.prior = 0, np.log((own + 1) / (own + 1).sum()).astype(np.float32)
+    means = [r["pll"] / r["n"] for r in (p.score(held_out, model=(w, frequent, place, counts)).selectExpr("sum(pll) pll", "sum(n_tokens) n").first() for w in (flat, plain.flat()))]
+    assert means[0] > means[1] + 0.1
