@@ -209,7 +209,8 @@ def spans_by_text(df: DataFrame, text: str = "text", threshold: float = THRESHOL
     again = _sized(written(copies.where("n > 1").select("hash"), "again"))
     others = rest.join(again, "hash", "left_anti").unionByName(rest.join(again, "hash", "left_semi").dropDuplicates(["hash"]))
     told = _told(found, others, F.lit(float(copies.count())), threshold)
-    told_of = _sized(told)
+    told_bytes = told.agg(F.sum(64 + F.aggregate("told", F.lit(0), lambda a, t: a + 24 + F.octet_length(t)))).first()[0] or 0
+    told_of = F.broadcast(told) if told_bytes <= BROADCAST_BYTES else told
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     of_found = found.select("hash", "base", "text").join(told_of, "hash", "left").select("hash", "base", F.when(F.col("told").isNotNull(), _term_spans(F.col("text"), F.col("told"))).otherwise(none).alias("terms"))
     of_others = others.join(told_of, "hash").select("hash", none.alias("base"), _term_spans(F.col("text"), F.col("told")).alias("terms"))
