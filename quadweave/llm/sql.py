@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadweave.llm.licenses import CONTAINMENT, NOTICES, SHINGLE
+from quadweave.llm import licenses
 from quadweave.llm.warc import CHUNK_BYTES
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -37,16 +37,22 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, w.doc_id) AS
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY 1) m ON m.doc_id = w.doc_id
 """
 
-_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES.items())
+def _row(name: str, text: str) -> str:
+    words = licenses._split(text)
+    size, m = min(licenses.SHINGLE, len(words)), len(licenses._shingles(words))
+    return f"('{name}', '{text.replace(chr(39), chr(39) * 2)}', {licenses.step(len(words))}, {size}, {licenses.enough(m)})"
+
+
 _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_PARTS = f"list_distinct(list_transform(range(1, len({{0}}) - {SHINGLE - 2}), lambda i: array_to_string({{0}}[i:i + {SHINGLE - 1}], ' ')))"
+_PARTS = "list_distinct(list_transform(range(1, len({0}) - size + 2), lambda i: array_to_string({0}[i:i + size - 1], ' ')))"
 
+#: Windows with fewer words than a match has are left out, as they cannot match.
 LICENSES = f"""
-WITH t AS (SELECT license, {_WORDS.format("template")} AS tw FROM (VALUES {_TEMPLATES}) v(license, template)),
-u AS (SELECT license, len(tw) AS n, {_PARTS.format("tw")} AS wanted FROM t),
-d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents WHERE regexp_matches(lower(text), 'licen|released|granted|redistribution|source|permi')),
-x AS (SELECT doc_id, license, n, wanted, words, unnest(range(0, len(words), n)) AS place FROM d, u),
-y AS (SELECT doc_id, license, place, wanted, words[place + 1:place + 2 * n] AS win FROM x),
-z AS (SELECT doc_id, license, place, len(list_intersect({_PARTS.format("win")}, wanted)) / len(wanted) AS containment FROM y WHERE len(win) >= {SHINGLE})
-SELECT doc_id, license, CAST(min(place) AS INTEGER) AS first_word, count(*) AS windows, max(containment) AS containment FROM z WHERE containment >= {CONTAINMENT} GROUP BY 1, 2
+WITH t AS (SELECT license, step, size, enough, {_WORDS.format("template")} AS tw FROM (VALUES {", ".join(_row(*t) for t in licenses.default_templates().items())}) v(license, template, step, size, enough)),
+u AS (SELECT license, step, size, enough, {_PARTS.format("tw")} AS wanted FROM t),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+x AS (SELECT doc_id, license, step, size, wanted, words, unnest(range(0, len(words) - enough - size + 2, step)) AS place FROM d, u),
+y AS (SELECT doc_id, license, size, place, wanted, words[place + 1:place + 2 * step] AS win FROM x),
+z AS (SELECT doc_id, license, place, len(list_intersect({_PARTS.format("win")}, wanted)) / len(wanted) AS containment FROM y)
+SELECT doc_id, license, CAST(min(place) AS INTEGER) AS first_word, count(*) AS windows, max(containment) AS containment FROM z WHERE containment >= {licenses.CONTAINMENT} GROUP BY 1, 2
 """

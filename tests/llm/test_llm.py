@@ -237,46 +237,95 @@ def test_bounds_hold():
 # 5
 
 
-def test_license_notices(spark):
+def _licenses(df, templates):
+    """Matches by comparing every window with every template."""
     from quadweave.llm import licenses
 
-    notices = licenses.NOTICES
-    random.seed(7)
-    filler = [f"w{i}" for i in range(500)]
-    texts = list(ODD)
-    for i in range(60):
-        words = [random.choice(filler) for _ in range(random.randint(0, 80))]
-        if i % 2:
-            at = random.randint(0, len(words))
-            words[at:at] = random.choice(list(notices.values())).split()
-        texts.append(" ".join(words))
-    df = _table(spark, texts)
     want: dict = {}
+    split = {name: licenses._split(template) for name, template in templates.items()}
     grouped = defaultdict(list)
     for r in df.collect():
         grouped[r["doc_id"]].append(r["text"])
     for i, own in grouped.items():
         for text in own[:1]:
             words = licenses._split(text or "")
-            for name, template in notices.items():
-                wanted = licenses._split(template)
-                size, shingles, n = min(5, len(wanted)), set(licenses._shingles(wanted)), len(wanted)
+            for name, wanted in split.items():
+                size, shingles, n = min(5, len(wanted)), set(licenses._shingles(wanted)), licenses.step(len(wanted))
                 for at in range(0, max(1, len(words)), n):
                     window = words[at : at + 2 * n]
                     share = len({" ".join(window[x : x + size]) for x in range(len(window) - size + 1)} & shingles) / len(shingles)
                     if share >= 0.8:
                         first, count, best = want.get((i, name), (at, 0, 0))
                         want[i, name] = (first, count + 1, max(best, share))
-    got = {(r["doc_id"], r["license"]): (r["first_word"], r["windows"], r["containment"]) for r in licenses.find(df).collect()}
-    assert got == want and len(want) >= 20
+    return want
+
+
+def _found_licenses(df, templates=None):
+    from quadweave.llm import licenses
+
+    return {(r["doc_id"], r["license"]): (r["first_word"], r["windows"], r["containment"]) for r in licenses.find(df, templates).collect()}
+
+
+def test_license_notices(spark):
+    from quadweave.llm import licenses
+
+    notices = licenses.NOTICES
+    random.seed(7)
+    filler = [f"w{i}" for i in range(500)]
+    texts = list(ODD)
+    for i in range(60):
+        words = [random.choice(filler) for _ in range(random.randint(0, 80))]
+        if i % 2:
+            at = random.randint(0, len(words))
+            words[at:at] = random.choice(list(notices.values())).split()
+        texts.append(" ".join(words))
+    df = _table(spark, texts)
+    want = _licenses(df, notices)
+    assert _found_licenses(df, notices) == want and len(want) >= 20
     assert licenses.find(_none(spark)).count() == 0 and licenses.find(df, {}).count() == 0
 
 
+def test_edited_license_texts(spark):
+    """Whole texts with edits, about the border of 0.8: what comparing every window finds, and nothing else."""
+    from quadweave.llm import licenses
+
+    templates = licenses.default_templates()
+    whole = {name: text for name, text in templates.items() if name.endswith("-whole") and len(text) < 20_000} | {"AGPL-3.0-header": templates["AGPL-3.0-header"]}
+    random.seed(11)
+    filler, texts = [f"w{i}" for i in range(500)], list(ODD)
+    for name in whole:
+        for every in (13, 20, 22, 24, 26, 30, 60):
+            words = whole[name].split()
+            for at in range(random.randrange(every), len(words), every):
+                words[at] = random.choice(filler)
+            before = [random.choice(filler) for _ in range(random.randint(0, 300))]
+            texts.append(" ".join(before + words + before[:50]))
+    df = _table(spark, texts)
+    want = _licenses(df, whole)
+    got = _found_licenses(df, whole)
+    assert got == want and len({name for _, name in want}) == len(whole)
+    assert any(share < 0.85 for *_, share in want.values()) and len({i for i, _ in want}) < len(whole) * 7
+    # Other templates of the default list change nothing.
+    assert {at: row for at, row in _found_licenses(df).items() if at[1] in whole} == want
+
+
+def test_anchors_are_in_every_match():
+    from quadweave.llm import licenses
+
+    for template in licenses.default_templates().values():
+        words = licenses._split(template)
+        shingles, chosen = licenses._shingles(words), set(licenses.anchors(words))
+        held = sum(not chosen.isdisjoint(s.split()) for s in shingles)
+        assert len(shingles) - held < 0.8 * len(shingles)
+
+
 def test_bands_are_certain_enough():
     from quadweave.llm import licenses
 
-    for n in (5, 8, 20, 200):
-        m, w = n - 4, 2 * n - 4
+    for n in (4, 5, 8, 9, 20, 200, 5644):
+        size, step = min(5, n), licenses.step(n)
+        assert n <= step <= 1.25 * n + 1
+        m, w = n - size + 1, 2 * step - size + 1
         j = 0.8 * m / (w + 0.2 * m)
         assert 1 - (1 - j) ** licenses.bands(n) >= licenses.CERTAINTY
 
