@@ -39,20 +39,21 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(other) A
 
 def _row(name: str, text: str) -> str:
     words = licenses._split(text)
-    size, m = min(licenses.SHINGLE, len(words)), len(licenses._shingles(words))
-    return f"('{name}', '{text.replace(chr(39), chr(39) * 2)}', {licenses.step(len(words))}, {size}, {licenses.enough(m)})"
+    return f"('{name}', '{text.replace(chr(39), chr(39) * 2)}', {licenses.step(len(words))}, {min(licenses.SHINGLE, len(words))})"
 
 
 _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_PARTS = "list_distinct(list_transform(range(1, len({0}) - size + 2), lambda i: array_to_string({0}[i:i + size - 1], ' ')))"
+_PARTS = "list_transform(range(1, len({0}) - size + 2), lambda i: {{'start': i - 1, 'shingle': array_to_string({0}[i:i + size - 1], ' ')}})"
 
-#: Windows with fewer words than a match has are left out, as they cannot match.
+#: All shingles of all texts meet those of the templates; each hit lies in at most two windows.
 LICENSES = f"""
-WITH t AS (SELECT license, step, size, enough, {_WORDS.format("template")} AS tw FROM (VALUES {", ".join(_row(*t) for t in licenses.default_templates().items())}) v(license, template, step, size, enough)),
-u AS (SELECT license, step, size, enough, {_PARTS.format("tw")} AS wanted FROM t),
+WITH t AS (SELECT license, step, size, {_WORDS.format("template")} AS tw FROM (VALUES {", ".join(_row(*t) for t in licenses.default_templates().items())}) v(license, template, step, size)),
+u AS (SELECT DISTINCT license, step, size, shingle FROM (SELECT license, step, size, unnest({_PARTS.format("tw")}, recursive := true) FROM t)),
+m AS (SELECT license, count(*) AS m FROM u GROUP BY 1),
 d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
-x AS (SELECT doc_id, license, step, size, wanted, words, unnest(range(0, len(words) - enough - size + 2, step)) AS place FROM d, u),
-y AS (SELECT doc_id, license, size, place, wanted, words[place + 1:place + 2 * step] AS win FROM x),
-z AS (SELECT doc_id, license, place, len(list_intersect({_PARTS.format("win")}, wanted)) / len(wanted) AS containment FROM y)
-SELECT doc_id, license, CAST(min(place) AS INTEGER) AS first_word, count(*) AS windows, max(containment) AS containment FROM z WHERE containment >= {licenses.CONTAINMENT} GROUP BY 1, 2
+s AS (SELECT doc_id, size, unnest({_PARTS.format("words")}, recursive := true) FROM d, (SELECT DISTINCT size FROM t)),
+h AS (SELECT doc_id, license, step, size, start, shingle FROM s JOIN u USING (size, shingle)),
+w AS (SELECT *, unnest([start // step * step, start // step * step - step]) AS place FROM h),
+c AS (SELECT doc_id, license, place, count(DISTINCT shingle) / any_value(m) AS containment FROM w JOIN m USING (license) WHERE place >= 0 AND start + size <= place + 2 * step GROUP BY 1, 2, 3)
+SELECT doc_id, license, CAST(min(place) AS INTEGER) AS first_word, count(*) AS windows, max(containment) AS containment FROM c WHERE containment >= {licenses.CONTAINMENT} GROUP BY 1, 2
 """
