@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadweave.plans.catalogue import _query, _with_gaps
+from quadweave.plans.paths import text_of
 from quadweave.plans.shapes import Rule, enriched, grouped, report_lines, rules_of_schema, validate
 from quadweave.sources import star
 
@@ -98,6 +99,35 @@ def shape_closed(spark, sf):
     return _check(spark, sf, ("Nation",), Rule("s", "closed", "Nation", values=("Nation.n_name",)), columns=("ID", "KEY", "VALUE"))
 
 
+def _along(shape: str, component: str, target: str, way: tuple, value=None, values=()) -> Rule:
+    return Rule(shape, component, target, text_of(way), value, values, way=way)
+
+
+@_query("SELECT 'Order-' || o_orderkey AS ID, 'Order.Customer/Type' AS KEY, 'Customer' AS VALUE FROM orders WHERE o_custkey % 7 <> 0")
+def shape_path_via_type(spark, sf):
+    way = ("sequence", "Order.Customer", "Type")
+    rules = [_along("a", "in", "Order", way, values=("Nation", "Region")), _along("b", "nodeKind", "Order", way, "IRI")]
+    return validate(_with_gaps(spark, sf), rules).select("ID", "KEY", "VALUE")
+
+
+@_query("SELECT 'Order-' || o_orderkey AS ID, n_name AS VALUE FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE length(n_name) < 9")
+def shape_path_sequence(spark, sf):
+    way = ("sequence", "Order.Customer", "Customer.Nation", "Nation.n_name")
+    return _check(spark, sf, ("Order", "Customer", "Nation"), _along("s", "minLength", "Order", way, 9))
+
+
+@_query("SELECT 'Nation-' || n_nationkey AS ID FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(c_custkey) + 1 < 60")
+def shape_path_alternative(spark, sf):
+    way = ("alternative", "Nation.Region", ("inverse", "Customer.Nation"))
+    return _check(spark, sf, ("Nation", "Customer"), _along("s", "minCount", "Nation", way, 60), columns=("ID",))
+
+
+@_query("SELECT DISTINCT 'Nation-' || n_nationkey AS ID, n_name AS VALUE FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE length(n_name) < 9 UNION ALL SELECT 'Nation-' || n_nationkey, n_name FROM nation WHERE n_nationkey = 3 AND length(n_name) > 4")
+def shape_targets(spark, sf):
+    rules = [Rule("a", "minLength", "Customer.Nation", "Nation.n_name", 9, objects_of=True), Rule("b", "maxLength", "Nation-3", "Nation.n_name", 4, target_node=True)]
+    return _check(spark, sf, ("Nation", "Customer"), *rules)
+
+
 def _parts(component: str) -> list[Rule]:
     whole = Rule("s", component, "Customer", name="whole")
     rich = Rule("s", "minInclusive", "Customer", "Customer.c_acctbal", 5000, parent="whole", alternative=0)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quadweave.model import TYPE
 from quadweave.operators.filters import in_scope
 from quadweave.operators.tableview import NUMBER
+from quadweave.plans import paths
 
 VIOLATIONS = ("ID", "KEY", "VALUE", "VIOLATION_TYPE", "MESSAGE", "SEVERITY", "SOURCE_SHAPE")
 #: Rules up to which their table is broadcast.
@@ -47,7 +48,10 @@ REFERENCE_LIKE = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{
 
 @dataclass(frozen=True)
 class Rule:
-    """One condition of a shape.  `parent` names the rule it is a part of, `alternative` which part."""
+    """One condition of a shape.  `parent` names the rule it is a part of, `alternative` which part.
+
+    `target` is a class, or (as flags tell) a property whose subjects or objects are meant, or one object.  `way` is a path of
+    several steps (see `paths`), whose text is then the rule's `path`."""
 
     shape: str
     component: str
@@ -57,11 +61,14 @@ class Rule:
     values: tuple[str, ...] = ()
     inverse: bool = False
     subjects_of: bool = False
+    objects_of: bool = False
+    target_node: bool = False
     severity: str = "Violation"
     message: str | None = None
     parent: str | None = None
     alternative: int = 0
     name: str | None = None
+    way: tuple | None = None
 
     @property
     def label(self) -> str:
@@ -89,7 +96,8 @@ def _row(i: int, r: Rule):
         text, narrow = LEXICAL.get(str(r.value), (None, None))
         items = [narrow] if narrow else []
         text = rf"^(?:{text})\z" if text else None
-    target = f"subjects of {r.target}" if r.subjects_of else r.target
+    flags = {"subjects of": r.subjects_of, "objects of": r.objects_of, "node": r.target_node}
+    target = next((f"{said} {r.target}" for said, on in flags.items() if on), r.target)
     return (r.shape, r.component, target, r.path, text, r.severity, r.message, r.parent, r.label, _number(r.value), items, r.inverse, r.alternative, i)
 
 
@@ -130,10 +138,16 @@ class _Run:
         table = spark.createDataFrame([_row(i, r) for i, r in enumerate(rules)], _RULES)
         self.table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
         typed = self.data.where(F.col("KEY") == TYPE).select("ID", F.col("VALUE").alias("target"))
-        keys = sorted({r.target for r in rules if r.subjects_of})
-        if keys:
-            typed = typed.unionByName(self.data.where(F.col("KEY").isin(keys)).select("ID", F.concat(F.lit("subjects of "), "KEY").alias("target")))
+        for said, column, keys in (("subjects of ", "ID", {r.target for r in rules if r.subjects_of}), ("objects of ", "VALUE", {r.target for r in rules if r.objects_of})):
+            if keys:
+                typed = typed.unionByName(self.data.where(F.col("KEY").isin(sorted(keys))).select(F.col(column).alias("ID"), F.concat(F.lit(said), "KEY").alias("target")))
+        nodes = sorted({r.target for r in rules if r.target_node})
+        if nodes:
+            typed = typed.unionByName(spark.createDataFrame([(n, f"node {n}") for n in nodes], "ID string, target string"))
         self.members = typed.distinct()
+        ways = {r.path: r.way for r in rules if r.way}
+        self.along = self.data.unionByName(paths.facts(self.data, list(ways.values()))) if ways else self.data
+        self.to_classes = sorted(name for name, way in ways.items() if paths.ends_in_type(way))
 
     def of(self, *components: str) -> DataFrame:
         return self.table.where(F.col("component").isin(list(components)))
@@ -147,7 +161,7 @@ class _Run:
 
     def values(self, rules: DataFrame, members: DataFrame | None = None) -> DataFrame:
         """Values along the rules' paths of the objects they are for."""
-        forward = self.data.join(rules.where("not inverse"), F.col("KEY") == F.col("path"))
+        forward = self.along.join(rules.where("not inverse"), F.col("KEY") == F.col("path"))
         back = self.data.select(F.col("VALUE").alias("ID"), "KEY", F.col("ID").alias("VALUE")).join(rules.where("inverse"), F.col("KEY") == F.col("path"))
         rows = forward.unionByName(back) if any(r.inverse for r in self.rules) else forward
         return rows.join(self.members if members is None else members, ["ID", "target"], "left_semi")
@@ -161,7 +175,7 @@ class _Run:
         rows = self.values(self.of(*VALUE_COMPONENTS))
         if self.has("nodeKind"):
             ids = self.data.select(F.col("ID").alias("VALUE")).distinct().withColumn("known", F.lit(True))
-            rows = rows.join(ids, "VALUE", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+            rows = rows.join(ids, "VALUE", "left").withColumn("known", F.coalesce("known", F.lit(False)) | F.col("path").isin(self.to_classes))
         else:
             rows = rows.withColumn("known", F.lit(False))
         narrow = (F.col("component") == "datatype") & (F.size("items") > 0) & F.expr("VALUE rlike concat('^(?:', get(items, 0), ')\\\\z')") if self.lexical else F.lit(False)

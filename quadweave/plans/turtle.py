@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+from quadweave.model import TYPE
+from quadweave.plans.paths import text_of
 from quadweave.plans.shapes import PARTS, Rule
+from quadweave.sources.cimxml import clean_id
 
 # Vocabularies.
 SH = "http://www.w3.org/ns/shacl#"
@@ -122,23 +125,37 @@ class _Shapes:
             node = self.of[node][RDF + "rest"][0]
         return found
 
-    def path(self, node: str) -> tuple[str, bool] | None:
-        """A property and its direction; other paths are not rules of this kind."""
+    def path(self, node: str) -> str | tuple | None:
+        """A property, or a path of `paths`; repeated steps (such as zeroOrMorePath) have no length and are not rules."""
         if not node.startswith("_:"):
-            return _local(node), False
-        inverse = self.of[node].get("inversePath")
-        return (_local(inverse[0]), True) if inverse and not inverse[0].startswith("_:") else None
-
-    def add(self, node: str, shape: str, target: str, subjects_of: bool, parent: str | None, alternative: int) -> None:
+            return TYPE if node == RDF + "type" else _local(node)
+        own = self.of[node]
+        if own.get("inversePath"):
+            kind, parts = "inverse", own["inversePath"]
+        elif own.get("alternativePath"):
+            kind, parts = "alternative", self.items(own["alternativePath"][0])
+        elif own.get(RDF + "first"):
+            kind, parts = "sequence", self.items(node)
+        else:
+            return None
+        steps = [self.path(p) for p in parts]
+        return None if None in steps or not steps else (kind, *steps)
+
+    def add(self, node: str, shape: str, target: str, how: str, parent: str | None, alternative: int) -> None:
         own = self.of[node]
-        path, inverse = None, False
+        path, inverse, way = None, False, None
         if own.get("path"):
             found = self.path(own["path"][0])
             if found is None:
                 self.skipped.append(shape)
                 return
-            path, inverse = found
-        common = {"path": path, "inverse": inverse, "subjects_of": subjects_of, "parent": parent, "alternative": alternative, "severity": _local(own["severity"][0]) if own.get("severity") else "Violation", "message": own["message"][0] if own.get("message") else None}
+            if isinstance(found, str):
+                path = found
+            elif found[0] == "inverse" and isinstance(found[1], str):
+                path, inverse = found[1], True
+            else:
+                path, way = text_of(found), found
+        common = {"path": path, "inverse": inverse, "way": way, **({how: True} if how else {}), "parent": parent, "alternative": alternative, "severity": _local(own["severity"][0]) if own.get("severity") else "Violation", "message": own["message"][0] if own.get("message") else None}
         make = lambda component, **k: self.rules.append(Rule(shape, component, target, **(common | k)))
         for component in sorted(_VALUE & own.keys()):
             for value in own[component]:
@@ -148,24 +165,24 @@ class _Shapes:
         if own.get("closed") == ["true"]:
             ignored = [_local(i) for ignore in own.get("ignoredProperties", []) for i in self.items(ignore)]
             paths = [self.path(self.of[p]["path"][0]) for p in own.get("property", []) if self.of[p].get("path")]
-            make("closed", values=tuple(p[0] for p in paths if p and not p[1]) + tuple(ignored))
+            make("closed", values=tuple(p for p in paths if isinstance(p, str)) + tuple(ignored))
         for component in PARTS:
             for number, value in enumerate(own.get(component, [])):
                 label = f"{shape}|{node}|{component}|{number}"
                 make(component, name=label)
                 inner = f"nodes of {label}" if component == "node" else target
                 for i, part in enumerate([value] if component in ("not", "node") else self.items(value)):
-                    self.add(part, shape, inner, subjects_of and component != "node", label, i)
+                    self.add(part, shape, inner, how if component != "node" else "", label, i)
         for p in own.get("property", []):
-            self.add(p, shape if p.startswith("_:") else _local(p), target, subjects_of, parent, alternative)
-        if own.get("sparql") or own.get("target") or own.get("targetNode"):
+            self.add(p, shape if p.startswith("_:") else _local(p), target, how, parent, alternative)
+        if own.get("sparql") or own.get("target"):
             self.skipped.append(shape)
 
     def compile(self) -> list[Rule]:
         for node in list(self.of):
-            for key, subjects_of in (("targetClass", False), ("targetSubjectsOf", True)):
+            for key, how in (("targetClass", ""), ("targetSubjectsOf", "subjects_of"), ("targetObjectsOf", "objects_of"), ("targetNode", "target_node")):
                 for target in self.of[node].get(key, []):
-                    self.add(node, _local(node), _local(target), subjects_of, None, 0)
+                    self.add(node, _local(node), clean_id(target) if how == "target_node" else _local(target), how, None, 0)
         return self.rules
 
 

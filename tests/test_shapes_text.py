@@ -61,6 +61,24 @@ def test_shapes_that_are_no_rules():
     assert rules_of_turtle(SHAPES.replace("sh:closed true", 'sh:sparql [ sh:select "q" ]'))[1] == ["SwitchShape"]
 
 
+def test_paths_and_targets(spark):
+    head = SHAPES[: SHAPES.index("# a comment")] + "@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .\n"
+    text = head + """
+cim:A sh:targetClass cim:Terminal ; sh:property [ sh:path ( cim:Terminal.Equipment rdf:type ) ; sh:in ( cim:Bay ) ; sh:nodeKind sh:IRI ] .
+cim:B sh:targetObjectsOf cim:Terminal.Equipment ; sh:property [ sh:path [ sh:alternativePath ( cim:odd [ sh:inversePath cim:Terminal.Equipment ] ) ] ; sh:maxCount 0 ] .
+cim:C sh:targetNode <urn:uuid:b2> , <urn:uuid:gone> ; sh:property [ sh:path cim:odd ; sh:minCount 2 ] ; sh:property [ sh:path [ sh:inversePath ( cim:Terminal.Equipment cim:state ) ] ; sh:minCount 0 ] .
+cim:D sh:targetClass cim:Bay ; sh:property [ sh:path [ sh:zeroOrMorePath cim:odd ] ; sh:minCount 1 ] .
+"""
+    rules, skipped = rules_of_turtle(text)
+    assert skipped == ["D"]
+    data = model.graph(spark, [*ROWS, ("t2", "Type", "Terminal", "i"), ("t2", "Terminal.Equipment", "nowhere", "i")])
+    assert _set(validate(data, rules), "ID", "KEY", "VALUE", "VIOLATION_TYPE", "SOURCE_SHAPE") == {
+        ("t1", "Terminal.Equipment/Type", "Breaker", "in", "A"),
+        ("b1", "(odd|^Terminal.Equipment)", None, "maxCount", "B"), ("nowhere", "(odd|^Terminal.Equipment)", None, "maxCount", "B"),
+        ("b2", "odd", None, "minCount", "C"), ("gone", "odd", None, "minCount", "C"),
+    }
+
+
 def test_profiles(spark):
     schema = rdfs.schema(model.graph(spark, PROFILE))
     assert schema == {"Line": {"Base.name": {"min": 1, "max": 1, "datatype": "integer"}, "Line.to": {"min": 0, "max": None, "range": ["Line"]}}}
