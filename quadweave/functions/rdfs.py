@@ -45,6 +45,14 @@ def properties(data: DataFrame) -> DataFrame:
     return rows.select(local(F.col("class")).alias("class"), local(F.col("ID")).alias("property"), "m.min", "m.max", local(F.col("datatype")).alias("datatype"), local(F.col("range")).alias("range"), F.coalesce(F.col("used") != "No", F.lit(True)).alias("used"))
 
 
+def descriptions(data: DataFrame) -> DataFrame:
+    """(name, description, multiplicity) of classes and properties by local name; the first by load order counts."""
+    first = lambda key, value: F.min_by(value, F.when(F.col("KEY") == key, F.col("_ord")))
+    rows = data.where(F.col("KEY").isin("comment", "multiplicity"))
+    text = F.substring_index("VALUE", "M:", -1)
+    return rows.groupBy(local(F.col("ID")).alias("name")).agg(first("comment", F.col("VALUE")).alias("description"), first("multiplicity", text).alias("multiplicity"))
+
+
 def schema(data: DataFrame) -> dict[str, dict[str, dict]]:
     """The declared schema of concrete classes: what rules_of_schema takes.  A profile fits the driver."""
     concrete = {r[0] for r in classes(data).where("concrete").select(local(F.col("ID"))).collect()}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadweave.functions.rdfs import descriptions
 from quadweave.model import TYPE
 from quadweave.operators.filters import in_scope
 from quadweave.operators.tableview import NUMBER
@@ -69,6 +70,8 @@ class Rule:
     alternative: int = 0
     name: str | None = None
     way: tuple | None = None
+    shape_name: str | None = None
+    shape_description: str | None = None
 
     @property
     def label(self) -> str:
@@ -297,12 +300,38 @@ def rules_of_schema(schema: dict[str, dict[str, dict]], closed: bool = False) ->
     return rules
 
 
-def enriched(violations: DataFrame, data: DataFrame) -> DataFrame:
-    """Adds OBJECT_TYPE, OBJECT_NAME, INSTANCE_ID and INSTANCE_LABEL; the first by load order counts."""
+def _said_of_shapes(violations: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds SHAPE_NAME and SHAPE_DESCRIPTION: of the shape's rules for the property in KEY, or else of those for no property."""
+    said: dict[tuple[str, str], list] = {}
+    for r in rules:
+        names = said.setdefault((r.shape, r.path or ""), [None, None])
+        names[:] = [old if old is not None else new for old, new in zip(names, (r.shape_name, r.shape_description), strict=True)]
+    spark, out = violations.sparkSession, violations
+    for i, own in enumerate((True, False)):
+        rows = [(shape, path, *names) for (shape, path), names in said.items() if bool(path) == own]
+        table = spark.createDataFrame(rows, f"SOURCE_SHAPE string, __path string, __name{i} string, __text{i} string")
+        table = table if own else table.drop("__path")
+        out = out.withColumn("__path", F.col("KEY")) if own else out
+        out = out.join(F.broadcast(table) if len(rows) <= BROADCAST_RULES else table, ["SOURCE_SHAPE", "__path"] if own else "SOURCE_SHAPE", "left")
+    out = out.withColumns({"SHAPE_NAME": F.coalesce("__name0", "__name1"), "SHAPE_DESCRIPTION": F.coalesce("__text0", "__text1")})
+    return out.select(*violations.columns, "SHAPE_NAME", "SHAPE_DESCRIPTION")
+
+
+def enriched(violations: DataFrame, data: DataFrame, rules: list[Rule] = (), profile: DataFrame | None = None) -> DataFrame:
+    """Adds what is known of the object, the shape and the schema; the first by load order counts.
+
+    OBJECT_TYPE, OBJECT_NAME, INSTANCE_ID and INSTANCE_LABEL are of the data, SHAPE_NAME and SHAPE_DESCRIPTION of the rules, and
+    SCHEMA_DESCRIPTION, SCHEMA_MULTIPLICITY and CLASS_DESCRIPTION of the profile, a graph; null where nothing is given."""
     pick = lambda key, name: F.min_by(F.when(F.col("KEY") == key, F.col("VALUE")), F.when(F.col("KEY") == key, F.col("_ord"))).alias(name)
     about = data.groupBy("ID").agg(pick(TYPE, "OBJECT_TYPE"), pick("IdentifiedObject.name", "OBJECT_NAME"), F.min_by("INSTANCE_ID", "_ord").alias("INSTANCE_ID"))
     labels = data.where(F.col("KEY") == "label").groupBy("INSTANCE_ID").agg(F.min_by("VALUE", "_ord").alias("INSTANCE_LABEL"))
-    return violations.join(about, "ID", "left").join(labels, "INSTANCE_ID", "left")
+    rows = _said_of_shapes(violations, list(rules)).join(about, "ID", "left").join(labels, "INSTANCE_ID", "left")
+    if profile is None:
+        return rows.withColumns({c: F.lit(None).cast("string") for c in ("SCHEMA_DESCRIPTION", "SCHEMA_MULTIPLICITY", "CLASS_DESCRIPTION")})
+    known = descriptions(profile)
+    of_keys = known.select(F.col("name").alias("KEY"), F.col("description").alias("SCHEMA_DESCRIPTION"), F.col("multiplicity").alias("SCHEMA_MULTIPLICITY"))
+    of_classes = known.select(F.col("name").alias("OBJECT_TYPE"), F.col("description").alias("CLASS_DESCRIPTION"))
+    return rows.join(of_keys, "KEY", "left").join(of_classes, "OBJECT_TYPE", "left")
 
 
 def grouped(violations: DataFrame, samples: int = 3) -> DataFrame:

@@ -141,8 +141,9 @@ class _Shapes:
         steps = [self.path(p) for p in parts]
         return None if None in steps or not steps else (kind, *steps)
 
-    def add(self, node: str, shape: str, target: str, how: str, parent: str | None, alternative: int) -> None:
+    def add(self, node: str, shape: str, target: str, how: str, parent: str | None, alternative: int, said: tuple[str | None, str | None] = (None, None)) -> None:
         own = self.of[node]
+        said = tuple(own[key][0] if own.get(key) else inherited for key, inherited in zip(("name", "description"), said, strict=True))
         path, inverse, way = None, False, None
         if own.get("path"):
             found = self.path(own["path"][0])
@@ -155,7 +156,7 @@ class _Shapes:
                 path, inverse = found[1], True
             else:
                 path, way = text_of(found), found
-        common = {"path": path, "inverse": inverse, "way": way, **({how: True} if how else {}), "parent": parent, "alternative": alternative, "severity": _local(own["severity"][0]) if own.get("severity") else "Violation", "message": own["message"][0] if own.get("message") else None}
+        common = {"path": path, "inverse": inverse, "way": way, "shape_name": said[0], "shape_description": said[1], **({how: True} if how else {}), "parent": parent, "alternative": alternative, "severity": _local(own["severity"][0]) if own.get("severity") else "Violation", "message": own["message"][0] if own.get("message") else None}
         make = lambda component, **k: self.rules.append(Rule(shape, component, target, **(common | k)))
         for component in sorted(_VALUE & own.keys()):
             for value in own[component]:
@@ -172,9 +173,9 @@ class _Shapes:
                 make(component, name=label)
                 inner = f"nodes of {label}" if component == "node" else target
                 for i, part in enumerate([value] if component in ("not", "node") else self.items(value)):
-                    self.add(part, shape, inner, how if component != "node" else "", label, i)
+                    self.add(part, shape, inner, how if component != "node" else "", label, i, said)
         for p in own.get("property", []):
-            self.add(p, shape if p.startswith("_:") else _local(p), target, how, parent, alternative)
+            self.add(p, shape if p.startswith("_:") else _local(p), target, how, parent, alternative, said)
         if own.get("sparql") or own.get("target"):
             self.skipped.append(shape)
 

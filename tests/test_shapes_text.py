@@ -6,7 +6,7 @@ from quadweave import model
 from quadweave.cli import main
 from quadweave.functions import rdfs
 from quadweave.graph import Graph
-from quadweave.plans.shapes import rules_of_schema, validate
+from quadweave.plans.shapes import enriched, rules_of_schema, validate
 from quadweave.plans.turtle import rules_of_turtle, triples
 from quadweave.sinks import files, xlsx
 from quadweave.streaming import landing
@@ -79,6 +79,22 @@ cim:D sh:targetClass cim:Bay ; sh:property [ sh:path [ sh:zeroOrMorePath cim:odd
     }
 
 
+def test_what_is_said_of_violations(spark):
+    text = SHAPES.replace("sh:targetClass cim:Breaker ;", 'sh:targetClass cim:Breaker ; sh:name "switches" ; sh:description "all of them" ;').replace("sh:path cim:name ;", 'sh:path cim:name ; sh:name "naming" ;')
+    rules, _ = rules_of_turtle(text)
+    data = model.graph(spark, [*ROWS, ("i", "label", "file.xml", "i")])
+    profile = model.graph(spark, [(U + "name", "comment", "its name", "p"), (U + "name", "multiplicity", "http://y#M:0..1", "p"), (U + "Breaker", "comment", "a switch", "p")])
+    violations = validate(data, rules)
+    found = enriched(violations, data, rules, profile).where("ID = 'b2'")
+    columns = ("VIOLATION_TYPE", "INSTANCE_LABEL", "SHAPE_NAME", "SHAPE_DESCRIPTION", "SCHEMA_DESCRIPTION", "SCHEMA_MULTIPLICITY", "CLASS_DESCRIPTION")
+    rows = _set(found, *columns)
+    assert ("maxLength", "file.xml", "naming", "all of them", "its name", "0..1", "a switch") in rows
+    assert ("closed", "file.xml", "switches", "all of them", None, None, "a switch") in rows
+    assert ("or", "file.xml", "switches", "all of them", None, None, "a switch") in rows
+    bare = enriched(violations, data)
+    assert bare.count() == violations.count() and _set(bare, "SHAPE_NAME", "CLASS_DESCRIPTION") == {(None, None)}
+
+
 def test_profiles(spark):
     schema = rdfs.schema(model.graph(spark, PROFILE))
     assert schema == {"Line": {"Base.name": {"min": 1, "max": 1, "datatype": "integer"}, "Line.to": {"min": 0, "max": None, "range": ["Line"]}}}
