@@ -148,17 +148,42 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, tree: CoverTree, data:
         open_pairs += sorted(pairs, key=lambda p: p[0].bound(p[1]))  # the best bound is taken first
 
 
-def quantised(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vec): floor(256 * x) of every component; rows that take no part are left out."""
+def quantised(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
+    """(id, vec): floor(256 * x) of every component, with the columns `more`; rows that take no part are left out."""
     x = F.col(vector).cast("array<double>")
     sound = F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return df.where(sound).select(F.col(key).cast("bigint").alias("id"), F.transform(x, lambda v: F.floor(256 * v)).alias("vec"))
+    return df.where(sound).select(F.col(key).cast("bigint").alias("id"), F.transform(x, lambda v: F.floor(256 * v)).alias("vec"), *more)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.int64) if len(column) else np.zeros((0, 1), np.int64)
 
 
+def far_pivots(rows: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
+    """For every length of vectors in a bounded sample, centres that are far from each other."""
+    sample = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    by_size: dict[int, list] = {}
+    for vec in sample["vec"].to_pylist():
+        by_size.setdefault(len(vec), []).append(vec)
+    pivots = {}
+    for size, vectors in by_size.items():
+        points = np.array(vectors, np.float64)
+        chosen = [0]  # farthest-first
+        near = ((points - points[0]) ** 2).sum(1)
+        while len(chosen) < min(most, len(points)) and near.max() > 0:
+            chosen.append(int(near.argmax()))
+            near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
+        pivots[size] = points[chosen]
+    return pivots
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A near centre of every point (the nearest but for rounding), and the distance to it; takes one number for each pair."""
+    squares = (points**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * points @ centres.T
+    place = squares.argmin(1)
+    return place, np.sqrt(((points - centres[place]) ** 2).sum(1))
+
+
 def _nodes(pivots):
     def run(batches):
         import pyarrow.compute as pc
@@ -172,9 +197,7 @@ def _nodes(pivots):
                 if centres is None:  # a length outside the sample has one node, around the origin
                     centres = np.zeros((1, int(size)))
                 points = _matrix(batch.column("vec").take(pa.array(rows))).astype(np.float64)
-                gaps = ((points[:, None, :] - centres[None]) ** 2).sum(2)
-                node[rows] = gaps.argmin(1)
-                gap[rows] = np.sqrt(gaps.min(1))
+                node[rows], gap[rows] = nearest(points, centres)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(group), pa.array(node), pa.array(gap)], ["id", "vec", "size", "node", "gap"])
 
     return run
@@ -213,19 +236,7 @@ def top_k(df: DataFrame, queries, k: int = 5, key: str = "vec_id", vector: str =
     """(query_id, rank, vec_id, score) of the k best for every row where `queries` (of column `id`) holds."""
     spark = df.sparkSession
     rows = written(quantised(df, key, vector), "vectors")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    pivots: dict[int, np.ndarray] = {}
-    by_size: dict[int, list] = {}
-    for vec in sample["vec"].to_pylist():
-        by_size.setdefault(len(vec), []).append(vec)
-    for size, vectors in by_size.items():
-        points = np.array(vectors, np.float64)
-        chosen = [0]  # farthest-first
-        near = ((points - points[0]) ** 2).sum(1)
-        while len(chosen) < min(PIVOTS, len(points)) and near.max() > 0:
-            chosen.append(int(near.argmax()))
-            near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
-        pivots[size] = points[chosen]
+    pivots = far_pivots(rows)
     shared = spark.sparkContext.broadcast(pivots)
     placed = written(rows.mapInArrow(_nodes(shared), "id bigint, vec array<bigint>, size int, node int, gap double"), "placed")
     sizes = placed.groupBy("size", "node").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))

@@ -76,6 +76,28 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_gnat_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import vector_codes
+
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quadweave.llm import hard_negatives
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), "id % 50 = 0")
+
+
+def op13_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadweave.llm import quality
+
+    return quality.scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
@@ -84,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from quadweave.llm import sql
 
-    return {"op2_warc_round_trip": sql.WARC, "op4_cover_tree_top_k": sql.TOP_K, "op5_license_windows": sql.LICENSES, "op7_jaccard_join": sql.JACCARD}
+    return {"op2_warc_round_trip": sql.WARC, "op4_cover_tree_top_k": sql.TOP_K, "op5_license_windows": sql.LICENSES, "op7_jaccard_join": sql.JACCARD, "op11_gnat_codebooks": sql.CODEBOOKS, "op12_cover_tree_negatives": sql.NEGATIVES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadweave.llm import licenses
+from quadweave.llm import licenses, vector_codes
 from quadweave.llm.warc import CHUNK_BYTES
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -57,3 +57,33 @@ w AS (SELECT *, unnest([start // step * step, start // step * step - step]) AS p
 c AS (SELECT doc_id, license, place, count(DISTINCT shingle) / any_value(m) AS containment FROM w JOIN m USING (license) WHERE place >= 0 AND start + size <= place + 2 * step GROUP BY 1, 2, 3)
 SELECT doc_id, license, CAST(min(place) AS INTEGER) AS first_word, count(*) AS windows, max(containment) AS containment FROM c WHERE containment >= {licenses.CONTAINMENT} GROUP BY 1, 2
 """
+
+#: As op12 has it: labels of every seventh row move on.
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = d.label AS same, d.vec_id, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * d.e[i])) AS BIGINT) AS score FROM v a JOIN v d ON a.vec_id <> d.vec_id AND len(a.e) = len(d.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def _codebooks() -> str:
+    parts, rounds = vector_codes.PARTS, vector_codes.ROUNDS
+    near = "SELECT p.part, p.row, min(struct_pack(gap := list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))), entry := c.entry)) AS best FROM p JOIN c{0} c USING (part) GROUP BY 1, 2"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT row, part, list_slice(e, part * (len(e) // {parts}) + 1, (part + 1) * (len(e) // {parts})) AS x FROM v, range({parts}) t(part))",
+        f"c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM p WHERE row <= {vector_codes.ENTRIES})",
+    ]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r)})")
+        steps.append(f"m{r} AS (SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x FROM (SELECT part, best.entry AS entry, i, sum(x[i]) AS total, count(*) AS n FROM a{r} JOIN p USING (part, row), range(1, len(x) + 1) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (part, entry))")
+    steps.append(f"a{rounds} AS ({near.format(rounds)})")
+    steps.append(f"b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})")
+    steps.append(f"r AS (SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.gap) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (row), b"
+
+
+CODEBOOKS = _codebooks()
