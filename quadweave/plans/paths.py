@@ -5,6 +5,7 @@ A path is a property, or one of ("inverse", path), ("sequence", path, path, ...)
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -31,20 +32,22 @@ def ends_in_type(path: str | tuple) -> bool:
     return {"inverse": lambda p: False, "sequence": lambda p: ends_in_type(p[-1]), "alternative": lambda p: all(map(ends_in_type, p))}[path[0]](path[1:])
 
 
-def pairs(data: DataFrame, path: str | tuple) -> DataFrame:
-    """(ID, VALUE) for each value of a path, once; a reference to an object without facts ends a sequence."""
+def pairs(data: DataFrame, path: str | tuple, within: Sequence[str] = ()) -> DataFrame:
+    """(ID, VALUE, *within) for each value of a path, once; a reference to an object without facts ends a sequence.
+
+    Steps stay among facts that agree in the columns `within`."""
     if isinstance(path, str):
-        return data.where(F.col("KEY") == path).select("ID", "VALUE").distinct()
+        return data.where(F.col("KEY") == path).select("ID", "VALUE", *within).distinct()
     kind, *parts = path
-    found = [pairs(data, p) for p in parts]
+    found = [pairs(data, p, within) for p in parts]
     if kind == "inverse":
-        return found[0].select(F.col("VALUE").alias("ID"), F.col("ID").alias("VALUE"))
+        return found[0].select(F.col("VALUE").alias("ID"), F.col("ID").alias("VALUE"), *within)
     if kind == "alternative":
         return reduce(DataFrame.unionByName, found).distinct()
-    step = lambda a, b: a.withColumnRenamed("VALUE", "over").join(b.withColumnRenamed("ID", "over"), "over").select("ID", "VALUE").distinct()
+    step = lambda a, b: a.withColumnRenamed("VALUE", "over").join(b.withColumnRenamed("ID", "over"), ["over", *within]).select("ID", "VALUE", *within).distinct()
     return reduce(step, found)
 
 
-def facts(data: DataFrame, paths: list[str | tuple]) -> DataFrame:
-    """(ID, KEY, VALUE) of all paths."""
-    return reduce(DataFrame.unionByName, (pairs(data, p).select("ID", F.lit(text_of(p)).alias("KEY"), "VALUE") for p in paths))
+def facts(data: DataFrame, paths: list[str | tuple], within: Sequence[str] = ()) -> DataFrame:
+    """(ID, KEY, VALUE, *within) of all paths."""
+    return reduce(DataFrame.unionByName, (pairs(data, p, within).select("ID", F.lit(text_of(p)).alias("KEY"), "VALUE", *within) for p in paths))

@@ -162,6 +162,55 @@ def shape_node(spark, sf):
     return _check(spark, sf, ("Order", "Customer"), whole, part)
 
 
+@_query("SELECT 'Customer-' || c_custkey AS ID, 'mix-' || i AS SOURCE_SHAPE FROM customer, range(200) t(i) WHERE CASE i % 4 WHEN 0 THEN NOT (c_acctbal >= 50 * i OR c_mktsegment = 'BUILDING') WHEN 1 THEN NOT (c_acctbal >= 50 * i AND c_mktsegment = 'BUILDING') WHEN 2 THEN c_acctbal >= 50 * i ELSE (c_acctbal >= 50 * i) = (c_mktsegment = 'BUILDING') END")
+def shape_parts_many(spark, sf):
+    rules = []
+    for i in range(200):
+        kind, name = ("or", "and", "not", "xone")[i % 4], f"mix-{i}"
+        rules += [Rule(name, kind, "Customer", name=name), Rule(name, "minInclusive", "Customer", "Customer.c_acctbal", 50 * i, parent=name, alternative=0)]
+        if kind != "not":
+            rules.append(Rule(name, "in", "Customer", "Customer.c_mktsegment", values=("BUILDING",), parent=name, alternative=1))
+    return _check(spark, sf, ("Customer",), *rules, columns=("ID", "SOURCE_SHAPE"))
+
+
+@_query("SELECT 'Order-' || o_orderkey AS ID, 'Customer-' || o_custkey AS VALUE FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE NOT (c_acctbal >= 0 OR length(n_name) > 6)")
+def shape_node_nested(spark, sf):
+    """Orders whose customer neither has a balance nor is of a nation with a long name."""
+    rules = [
+        Rule("s", "node", "Order", "Order.Customer", name="customer"),
+        Rule("s", "or", "nodes of customer", parent="customer", name="either"),
+        Rule("s", "minInclusive", "nodes of customer", "Customer.c_acctbal", 0, parent="either", alternative=0),
+        Rule("s", "node", "nodes of customer", "Customer.Nation", parent="either", alternative=1, name="nation"),
+        Rule("s", "minLength", "nodes of nation", "Nation.n_name", 7, parent="nation"),
+    ]
+    return _check(spark, sf, ("Order", "Customer", "Nation"), *rules)
+
+
+def _cheap_parts(component: str, bound: int, name: str = "cheap", least: int = 10, values: tuple[str, ...] = ()) -> list[Rule]:
+    whole = Rule("s", component, "Order", "Order.Part", bound, values, name=name)
+    return [whole, Rule("s", "minInclusive", f"nodes of {name}", "Part.p_size", least, parent=name)]
+
+
+_PARTS_OF = "SELECT 'Order-' || o_orderkey AS ID FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, p_partkey, p_size FROM lineitem JOIN part ON p_partkey = l_partkey) ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING "
+
+
+@_query(_PARTS_OF + "count(CASE WHEN p_size >= 10 THEN 1 END) < 2")
+def shape_qualified_min(spark, sf):
+    return _check(spark, sf, ("Order", "OrderParts", "Part"), *_cheap_parts("qualifiedMinCount", 2), columns=("ID",))
+
+
+@_query(_PARTS_OF + "count(CASE WHEN p_size >= 10 THEN 1 END) > 4")
+def shape_qualified_max(spark, sf):
+    return _check(spark, sf, ("Order", "OrderParts", "Part"), *_cheap_parts("qualifiedMaxCount", 4), columns=("ID",))
+
+
+@_query(_PARTS_OF + "count(CASE WHEN p_size >= 10 AND p_size < 30 THEN 1 END) < 2 OR count(CASE WHEN p_size >= 30 THEN 1 END) > 3")
+def shape_qualified_disjoint(spark, sf):
+    """Parts of size 30 and more are claimed by a sibling and do not count as parts of size 10 and more."""
+    rules = _cheap_parts("qualifiedMinCount", 2, "some", 10, ("large",)) + _cheap_parts("qualifiedMaxCount", 3, "large", 30)
+    return _check(spark, sf, ("Order", "OrderParts", "Part"), *rules, columns=("ID",)).distinct()
+
+
 def _many() -> list[Rule]:
     return [
         Rule("balance", "minInclusive", "Customer", "Customer.c_acctbal", 0),

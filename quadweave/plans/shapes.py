@@ -2,8 +2,12 @@
 
 A rule names the objects it is for (a class, or those with a property), a property path and a condition.  The
 rules are a small table; values meet them by property and class, in one plan for all conditions on single
-values, and one each for counts, sets, pairs and closed classes.  Rules with parts (and, or, not, xone, node)
-combine what their parts found, innermost first.
+values, and one each for counts, sets, pairs and closed classes.  Rules with parts (and, or, not, xone, node, qualified
+counts) are data as well: all of one depth are combined in one step from what was found a level deeper, innermost first, and what
+is found is written between levels, so that a plan grows with the depth of nesting and not with the number of rules.
+
+With `pairs` of instances and profiles, both are further keys of every join: facts meet only facts of their instance, and only the
+rules of the profiles that it is paired with, all in the one run.
 """
 
 from __future__ import annotations
@@ -20,12 +24,16 @@ from quadweave.model import TYPE
 from quadweave.operators.filters import in_scope
 from quadweave.operators.tableview import NUMBER
 from quadweave.plans import paths
+from quadweave.steps import written
 
 VIOLATIONS = ("ID", "KEY", "VALUE", "VIOLATION_TYPE", "MESSAGE", "SEVERITY", "SOURCE_SHAPE")
 #: Rules up to which their table is broadcast.
 BROADCAST_RULES = 50_000
 VALUE_COMPONENTS = ("datatype", "pattern", "minLength", "maxLength", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "in", "nodeKind")
-PARTS = ("and", "or", "not", "xone", "node")
+QUALIFIED = ("qualifiedMinCount", "qualifiedMaxCount")
+#: Rules whose parts are for the values of their path, not for their own objects.
+NESTS = ("node", *QUALIFIED)
+PARTS = ("and", "or", "not", "xone", *NESTS)
 
 # Lexical forms of the XSD types, and the narrower form that is worth a warning.
 _INTEGER = "[+-]?[0-9]+"
@@ -49,7 +57,10 @@ REFERENCE_LIKE = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{
 
 @dataclass(frozen=True)
 class Rule:
-    """One condition of a shape.  `parent` names the rule it is a part of, `alternative` which part.
+    """One condition of a shape.  `parent` names the rule it is a part of, `alternative` which part; `profile` is the one it belongs to.
+
+    Parts of `node` and of qualified counts have the target "nodes of <label>".  The `values` of a qualified count name rules whose
+    shapes claim values before it.
 
     `target` is a class, or (as flags tell) a property whose subjects or objects are meant, or one object.  `way` is a path of
     several steps (see `paths`), whose text is then the rule's `path`."""
@@ -72,6 +83,7 @@ class Rule:
     way: tuple | None = None
     shape_name: str | None = None
     shape_description: str | None = None
+    profile: str | None = None
 
     @property
     def label(self) -> str:
@@ -80,8 +92,9 @@ class Rule:
 
 
 _RULES = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("shape", "component", "target", "path", "text", "severity", "message", "parent", "label")]
-    + [T.StructField("number", T.DoubleType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("inverse", T.BooleanType()), T.StructField("alternative", T.IntegerType()), T.StructField("rule", T.IntegerType())]
+    [T.StructField(n, T.StringType()) for n in ("shape", "component", "target", "path", "text", "severity", "message", "parent", "label", "PROFILE")]
+    + [T.StructField("number", T.DoubleType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("inverse", T.BooleanType())]
+    + [T.StructField(n, T.IntegerType()) for n in ("depth", "alternatives", "rule")]
 )
 
 
@@ -92,7 +105,7 @@ def _number(value) -> float | None:
         return None
 
 
-def _row(i: int, r: Rule):
+def _row(i: int, r: Rule, depth: int, alternatives: int):
     text = None if r.value is None else str(r.value)
     items = list(r.values)
     if r.component == "datatype":
@@ -101,7 +114,7 @@ def _row(i: int, r: Rule):
         text = rf"^(?:{text})\z" if text else None
     flags = {"subjects of": r.subjects_of, "objects of": r.objects_of, "node": r.target_node}
     target = next((f"{said} {r.target}" for said, on in flags.items() if on), r.target)
-    return (r.shape, r.component, target, r.path, text, r.severity, r.message, r.parent, r.label, _number(r.value), items, r.inverse, r.alternative, i)
+    return (r.shape, r.component, target, r.path, text, r.severity, r.message, r.parent, r.label, r.profile, _number(r.value), items, r.inverse, depth, alternatives, i)
 
 
 def _as_number(c: Column) -> Column:
@@ -131,54 +144,105 @@ def _fails() -> Column:
     return F.coalesce(chain, F.lit(False))
 
 
+def _depths(rules: list[Rule]) -> list[int]:
+    """How many rules with parts stand around each rule."""
+    outer = {r.label: r.parent for r in rules if r.component in PARTS}
+    known: dict[str | None, int] = {}
+
+    def depth(label: str | None) -> int:
+        chain, seen = [], set()
+        while label in outer and label not in known:
+            if label in seen:
+                raise ValueError(f"rule {label} is a part of itself")
+            seen.add(label)
+            chain.append(label)
+            label = outer[label]
+        base = known.get(label, 0)
+        for inner in reversed(chain):
+            base += 1
+            known[inner] = base
+        return base
+
+    return [depth(r.parent) for r in rules]
+
+
 class _Run:
-    """The plans of one validation; every one gives (rule, ID, KEY, VALUE, kind)."""
+    """The plans of one validation; every one gives (rule, scope, ID, KEY, VALUE, kind)."""
 
-    def __init__(self, data: DataFrame, rules: list[Rule], lexical: bool):
+    def __init__(self, data: DataFrame, rules: list[Rule], lexical: bool, pairs: DataFrame | None = None):
         spark = data.sparkSession
-        self.data = data.select("ID", "KEY", "VALUE").where(F.col("VALUE").isNotNull())
+        #: Keys that facts share, and that a focus has besides its ID.
+        self.instance = ["INSTANCE_ID"] if pairs is not None else []
+        self.scope = ["INSTANCE_ID", "PROFILE"] if pairs is not None else []
+        self.data = data.select("ID", "KEY", "VALUE", *self.instance).where(F.col("VALUE").isNotNull())
         self.rules, self.lexical = rules, lexical
-        table = spark.createDataFrame([_row(i, r) for i, r in enumerate(rules)], _RULES)
-        self.table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
-        typed = self.data.where(F.col("KEY") == TYPE).select("ID", F.col("VALUE").alias("target"))
+        depths, parts = _depths(rules), {}
+        for i, r in enumerate(rules):
+            if r.component in PARTS:
+                parts.setdefault(r.label, ([], set()))[0].append(i)
+        for r in rules:
+            if r.parent in parts:
+                parts[r.parent][1].add(r.alternative)
+        self.deepest = max((d for d, r in zip(depths, rules, strict=True) if r.component in PARTS), default=-1)
+        rows = [_row(i, r, depth, len(parts[r.label][1]) if r.component in PARTS else 0) for i, (r, depth) in enumerate(zip(rules, depths, strict=True))]
+        table = spark.createDataFrame(rows, _RULES)
+        self.table = self.sized(table if pairs is not None else table.drop("PROFILE"), len(rows))
+        rows = [(i, parent, r.alternative, depths[parent]) for i, r in enumerate(rules) if r.parent in parts for parent in parts[r.parent][0]]
+        self.parts = self.sized(spark.createDataFrame(rows, "rule int, parent int, alternative int, of_depth int"), len(rows))
+        typed = self.data.where(F.col("KEY") == TYPE).select("ID", F.col("VALUE").alias("target"), *self.instance)
         for said, column, keys in (("subjects of ", "ID", {r.target for r in rules if r.subjects_of}), ("objects of ", "VALUE", {r.target for r in rules if r.objects_of})):
             if keys:
-                typed = typed.unionByName(self.data.where(F.col("KEY").isin(sorted(keys))).select(F.col(column).alias("ID"), F.concat(F.lit(said), "KEY").alias("target")))
+                typed = typed.unionByName(self.data.where(F.col("KEY").isin(sorted(keys))).select(F.col(column).alias("ID"), F.concat(F.lit(said), "KEY").alias("target"), *self.instance))
         nodes = sorted({r.target for r in rules if r.target_node})
         if nodes:
-            typed = typed.unionByName(spark.createDataFrame([(n, f"node {n}") for n in nodes], "ID string, target string"))
+            named = spark.createDataFrame([(n, f"node {n}") for n in nodes], "ID string, target string")
+            typed = typed.unionByName(named.join(self.data.select("ID", *self.instance).distinct(), "ID") if self.instance else named)
         self.members = typed.distinct()
+        if pairs is not None:
+            self.members = self.members.join(pairs.select("INSTANCE_ID", "PROFILE").distinct(), "INSTANCE_ID")
         ways = {r.path: r.way for r in rules if r.way}
-        self.along = self.data.unionByName(paths.facts(self.data, list(ways.values()))) if ways else self.data
+        self.along = self.data.unionByName(paths.facts(self.data, list(ways.values()), self.instance)) if ways else self.data
         self.to_classes = sorted(name for name, way in ways.items() if paths.ends_in_type(way))
 
+    @staticmethod
+    def sized(table: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(table) if rows <= BROADCAST_RULES else table
+
     def of(self, *components: str) -> DataFrame:
         return self.table.where(F.col("component").isin(list(components)))
 
     def has(self, *components: str) -> bool:
         return any(r.component in components for r in self.rules)
 
-    def focus(self, *components: str) -> DataFrame:
+    def focus(self, rules: DataFrame) -> DataFrame:
         """Objects that rules are for, with the rules' columns."""
-        return self.members.join(self.of(*components), "target")
+        return self.members.join(rules, ["target", *self.scope[1:]])
 
-    def values(self, rules: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    def values(self, rules: DataFrame) -> DataFrame:
         """Values along the rules' paths of the objects they are for."""
-        forward = self.along.join(rules.where("not inverse"), F.col("KEY") == F.col("path"))
-        back = self.data.select(F.col("VALUE").alias("ID"), "KEY", F.col("ID").alias("VALUE")).join(rules.where("inverse"), F.col("KEY") == F.col("path"))
-        rows = forward.unionByName(back) if any(r.inverse for r in self.rules) else forward
-        return rows.join(self.members if members is None else members, ["ID", "target"], "left_semi")
-
-    @staticmethod
-    def found(rows: DataFrame, key="path", value="VALUE", kind="component") -> DataFrame:
+        rows = self.along.join(rules.where("not inverse"), F.col("KEY") == F.col("path"))
+        if any(r.inverse for r in self.rules):
+            back = self.data.select(F.col("VALUE").alias("ID"), "KEY", F.col("ID").alias("VALUE"), *self.instance)
+            rows = rows.unionByName(back.join(rules.where("inverse"), F.col("KEY") == F.col("path")))
+        return rows.join(self.members, [*self.scope, "ID", "target"], "left_semi")
+
+    def nest(self) -> None:
+        """Values of rules with nested shapes become members of a class of their own, from outside in."""
+        for depth in sorted({d for d, r in zip(_depths(self.rules), self.rules, strict=True) if r.component in NESTS}):
+            rows = self.values(self.of(*NESTS).where(F.col("depth") == depth))
+            labels = F.explode(F.concat(F.array("label"), "items")).alias("label")
+            nodes = rows.select(F.col("VALUE").alias("ID"), labels, *self.scope).select("ID", F.concat(F.lit("nodes of "), "label").alias("target"), *self.scope)
+            self.members = written(self.members.unionByName(nodes).distinct(), "members")
+
+    def found(self, rows: DataFrame, key="path", value="VALUE", kind="component") -> DataFrame:
         part = lambda c: F.lit(None).cast("string") if c is None else F.col(c)
-        return rows.select("rule", "ID", part(key).alias("KEY"), part(value).alias("VALUE"), part(kind).alias("kind"))
+        return rows.select("rule", *self.scope, "ID", part(key).alias("KEY"), part(value).alias("VALUE"), part(kind).alias("kind"))
 
     def single_values(self) -> list[DataFrame]:
         rows = self.values(self.of(*VALUE_COMPONENTS))
         if self.has("nodeKind"):
-            ids = self.data.select(F.col("ID").alias("VALUE")).distinct().withColumn("known", F.lit(True))
-            rows = rows.join(ids, "VALUE", "left").withColumn("known", F.coalesce("known", F.lit(False)) | F.col("path").isin(self.to_classes))
+            ids = self.data.select(F.col("ID").alias("VALUE"), *self.instance).distinct().withColumn("known", F.lit(True))
+            rows = rows.join(ids, ["VALUE", *self.instance], "left").withColumn("known", F.coalesce("known", F.lit(False)) | F.col("path").isin(self.to_classes))
         else:
             rows = rows.withColumn("known", F.lit(False))
         narrow = (F.col("component") == "datatype") & (F.size("items") > 0) & F.expr("VALUE rlike concat('^(?:', get(items, 0), ')\\\\z')") if self.lexical else F.lit(False)
@@ -186,39 +250,42 @@ class _Run:
         return [self.found(rows.withColumn("kind", kind).where(F.col("kind").isNotNull()), kind="kind")]
 
     def counts(self) -> list[DataFrame]:
-        counted = self.values(self.of("minCount", "maxCount")).groupBy("rule", "ID").agg(F.count("*").alias("n"))
-        out = [self.found(self.focus("maxCount").join(counted, ["rule", "ID"]).where("n > number"), value=None)]
-        out.append(self.found(self.focus("minCount").join(counted, ["rule", "ID"], "left").where("coalesce(n, 0) < number"), value=None))
+        own = ["rule", *self.scope, "ID"]
+        counted = self.values(self.of("minCount", "maxCount")).groupBy(*own).agg(F.count("*").alias("n"))
+        out = [self.found(self.focus(self.of("maxCount")).join(counted, own).where("n > number"), value=None)]
+        out.append(self.found(self.focus(self.of("minCount")).join(counted, own, "left").where("coalesce(n, 0) < number"), value=None))
         return out
 
     def has_value(self) -> list[DataFrame]:
-        there = self.values(self.of("hasValue")).where("VALUE = text").select("rule", "ID")
-        return [self.found(self.focus("hasValue").join(there, ["rule", "ID"], "left_anti"), value=None)]
+        own = ["rule", *self.scope, "ID"]
+        there = self.values(self.of("hasValue")).where("VALUE = text").select(own)
+        return [self.found(self.focus(self.of("hasValue")).join(there, own, "left_anti"), value=None)]
 
     def classes(self) -> list[DataFrame]:
-        types = self.data.where(F.col("KEY") == TYPE).select(F.col("ID").alias("VALUE"), F.col("VALUE").alias("class")).distinct()
-        wrong = self.values(self.of("class")).join(types.withColumnRenamed("class", "text"), ["VALUE", "text"], "left_anti")
-        ranged = self.values(self.of("range")).join(types.select("VALUE").distinct(), "VALUE", "left_semi")
-        allowed = self.of("range").select("rule", F.explode("items").alias("class")).join(types, "class").select("rule", "VALUE").distinct() if self.has("range") else None
-        outside = ranged.join(allowed, ["rule", "VALUE"], "left_anti") if allowed is not None else None
+        types = self.data.where(F.col("KEY") == TYPE).select(F.col("ID").alias("VALUE"), F.col("VALUE").alias("class"), *self.instance).distinct()
+        wrong = self.values(self.of("class")).join(types.withColumnRenamed("class", "text"), ["VALUE", "text", *self.instance], "left_anti")
+        ranged = self.values(self.of("range")).join(types.select("VALUE", *self.instance).distinct(), ["VALUE", *self.instance], "left_semi")
+        allowed = self.of("range").select("rule", F.explode("items").alias("class")).join(types, "class").select("rule", "VALUE", *self.instance).distinct() if self.has("range") else None
+        outside = ranged.join(allowed, ["rule", "VALUE", *self.instance], "left_anti") if allowed is not None else None
         return [self.found(wrong), *([self.found(outside)] if outside is not None else [])]
 
     def pairs(self) -> list[DataFrame]:
         names = ("equals", "disjoint", "lessThan", "lessThanOrEquals")
-        a = self.values(self.of(*names)).select("rule", "component", "path", "ID", "VALUE").distinct()
-        b = self.values(self.of(*names).withColumn("path", F.col("text"))).select("rule", "component", "path", "ID", "VALUE").distinct()
+        own = ["rule", *self.scope, "ID"]
+        a = self.values(self.of(*names)).select(*own, "component", "path", "VALUE").distinct()
+        b = self.values(self.of(*names).withColumn("path", F.col("text"))).select(*own, "component", "path", "VALUE").distinct()
         of = lambda rows, *c: rows.where(F.col("component").isin(*c))
-        on = ["rule", "ID", "VALUE"]
+        on = [*own, "VALUE"]
         only = of(a, "equals").join(of(b, "equals"), on, "left_anti").unionByName(of(b, "equals").join(of(a, "equals"), on, "left_anti"))
         both = of(a, "disjoint").join(of(b, "disjoint"), on, "left_semi")
-        other = of(b, "lessThan", "lessThanOrEquals").select("rule", "ID", F.col("VALUE").alias("other"))
+        other = of(b, "lessThan", "lessThanOrEquals").select(*own, F.col("VALUE").alias("other"))
         x, y = _as_number(F.col("VALUE")), _as_number(F.col("other"))
         ordered = F.when(F.col("component") == "lessThan", x < y).otherwise(x <= y)
-        unordered = of(a, "lessThan", "lessThanOrEquals").join(other, ["rule", "ID"]).where(~F.coalesce(ordered, F.lit(False)))
+        unordered = of(a, "lessThan", "lessThanOrEquals").join(other, own).where(~F.coalesce(ordered, F.lit(False)))
         return [self.found(only), self.found(both), self.found(unordered)]
 
     def closed(self) -> list[DataFrame]:
-        rows = self.focus("closed").join(self.data, "ID").where((F.col("KEY") != TYPE) & ~F.expr("array_contains(items, KEY)"))
+        rows = self.focus(self.of("closed")).join(self.data, ["ID", *self.instance]).where((F.col("KEY") != TYPE) & ~F.expr("array_contains(items, KEY)"))
         return [self.found(rows, key="KEY")]
 
     def leaves(self) -> DataFrame:
@@ -227,56 +294,67 @@ class _Run:
             if self.has(*components):
                 parts += plan()
         if not parts:
-            return self.data.sparkSession.createDataFrame([], "rule int, ID string, KEY string, VALUE string, kind string")
+            names = ", ".join(f"{c} string" for c in (*self.scope, "ID", "KEY", "VALUE", "kind"))
+            return self.data.sparkSession.createDataFrame([], f"rule int, {names}")
         return reduce(DataFrame.unionByName, parts)
 
-    def combined(self, found: DataFrame, label: str) -> DataFrame:
-        """What a rule with parts finds, given what its parts have found."""
-        number = next(i for i, r in enumerate(self.rules) if r.component in PARTS and r.label == label)
-        rule = self.rules[number]
-        parts = {i: r.alternative for i, r in enumerate(self.rules) if r.parent == label}
-        place = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)) if parts else F.create_map().cast("map<int,int>")
-        failed = found.where(F.col("rule").isin(list(parts))).select("ID", F.try_element_at(place, F.col("rule")).alias("part")).distinct()
-        own = self.table.where(F.col("rule") == number)
-        focus = self.members.join(own, "target")
-        n = len(set(parts.values()))
-        if rule.component == "node":
-            return self.found(self.values(own).join(failed.select(F.col("ID").alias("VALUE")).distinct(), "VALUE", "left_semi"))
-        if rule.component == "not":
-            return self.found(focus.join(failed.select("ID").distinct(), "ID", "left_anti"), key=None, value=None)
-        counted = failed.groupBy("ID").agg(F.count("*").alias("failed"))
-        wrong = {"and": "coalesce(failed, 0) > 0", "or": f"coalesce(failed, 0) = {n}", "xone": f"coalesce(failed, 0) <> {n - 1}"}[rule.component]
-        return self.found(focus.join(counted, "ID", "left").where(wrong), key=None, value=None)
-
-
-def _depth(rules: list[Rule], rule: Rule) -> int:
-    by_label = {r.label: r for r in rules if r.component in PARTS}
-    depth, at = 0, rule
-    while at.parent is not None and at.parent in by_label and depth <= len(rules):
-        depth, at = depth + 1, by_label[at.parent]
-    return depth
-
-
-def _node_members(run: _Run) -> DataFrame:
-    """Values of `node` rules are objects of a class of their own, which their parts are for."""
-    rows = run.values(run.of("node"))
-    return rows.select(F.col("VALUE").alias("ID"), F.concat(F.lit("nodes of "), "label").alias("target")).distinct()
-
-
-def validate(data: DataFrame, rules: list[Rule], scope=None, lexical: bool = True) -> DataFrame:
-    """Violations of all rules by the facts in scope.  Parts of a `node` rule have the target "nodes of <label>"."""
-    run = _Run(in_scope(data, scope), rules, lexical)
-    if run.has("node"):
-        run.members = run.members.unionByName(_node_members(run)).distinct()
+    def combined(self, depth: int, found: DataFrame) -> DataFrame:
+        """What the rules with parts of one depth find, given what was found a level deeper; a warning of form is no failure."""
+        parts = self.parts.where(F.col("of_depth") == depth)
+        failed = found.where("kind <> 'lexicalForm'").join(parts, "rule").select(F.col("parent").alias("rule"), "alternative", *self.scope, "ID").distinct()
+        at = F.col("depth") == depth
+        own = ["rule", *self.scope, "ID"]
+        out = []
+        if self.has("and", "or", "not", "xone"):
+            counted = failed.groupBy(*own).agg(F.count("*").alias("failed"))
+            n, all_of, is_ = F.coalesce("failed", F.lit(0)), F.col("alternatives"), F.col("component")
+            wrong = F.when(is_ == "and", n > 0).when(is_ == "or", n == all_of).when(is_ == "not", n == 0).otherwise(n != all_of - 1)
+            focus = self.focus(self.of("and", "or", "not", "xone").where(at))
+            out.append(self.found(focus.join(counted, own, "left").where(wrong), key=None, value=None))
+        nodes = failed.select("rule", *self.scope, F.col("ID").alias("VALUE")).distinct()
+        if self.has("node"):
+            out.append(self.found(self.values(self.of("node").where(at)).join(nodes, ["rule", *self.scope, "VALUE"], "left_semi")))
+        if self.has(*QUALIFIED):
+            out.append(self.qualified(self.of(*QUALIFIED).where(at), nodes))
+        return reduce(DataFrame.unionByName, out)
+
+    def qualified(self, rules: DataFrame, failed: DataFrame) -> DataFrame:
+        """Bounds on how many values conform to a shape; values that conform to one of the shapes in `items` do not count.
+
+        failed: (rule, VALUE) of values that do not conform to the shape of a rule."""
+        node = [*self.scope, "VALUE"]
+        rows = self.values(rules).select("rule", *node, "ID", "items").distinct().join(failed, ["rule", *node], "left_anti")
+        if any(r.values for r in self.rules if r.component in QUALIFIED):
+            siblings = self.table.select(F.col("label").alias("sibling"), F.col("rule").alias("other"))
+            asked = rows.select("rule", *node, F.explode("items").alias("sibling")).distinct().join(siblings, "sibling")
+            claimed = asked.join(failed.withColumnRenamed("rule", "other"), ["other", *node], "left_anti").select("rule", *node).distinct()
+            rows = rows.join(claimed, ["rule", *node], "left_anti")
+        own = ["rule", *self.scope, "ID"]
+        counted = rows.groupBy(*own).agg(F.count("*").alias("n"))
+        n = F.coalesce("n", F.lit(0))
+        wrong = F.when(F.col("component") == "qualifiedMinCount", n < F.col("number")).otherwise(n > F.col("number"))
+        return self.found(self.focus(rules).join(counted, own, "left").where(wrong), value=None)
+
+
+def validate(data: DataFrame, rules: list[Rule], scope=None, lexical: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+    """Violations of all rules by the facts in scope.
+
+    pairs (INSTANCE_ID, PROFILE): every instance by itself against the rules of each of its profiles; both are columns of the result."""
+    run = _Run(in_scope(data, scope), rules, lexical, pairs)
+    if run.has(*NESTS):
+        run.nest()
     found = run.leaves()
-    with_parts = sorted((r for r in rules if r.component in PARTS), key=lambda r: -_depth(rules, r))
-    for rule in with_parts:
-        found = found.unionByName(run.combined(found, rule.label))
+    if run.deepest >= 0:
+        leaves = found = written(found, "found")
+        below = None
+        for depth in range(run.deepest, -1, -1):
+            below = written(run.combined(depth, leaves if below is None else leaves.unionByName(below)), "combined")
+            found = found.unionByName(below)
     top = run.table.where(F.col("parent").isNull()).select("rule", "shape", "component", "severity", "message", "text", "items")
     rows = found.join(top, "rule")
     said = F.coalesce("message", F.concat(F.lit("sh:"), F.col("component"), F.coalesce(F.concat(F.lit(" "), F.col("text")), F.lit(""))))
     severity = F.when(F.col("kind") == "lexicalForm", F.lit("Warning")).otherwise(F.col("severity"))
-    return rows.select("ID", "KEY", "VALUE", F.col("kind").alias("VIOLATION_TYPE"), said.alias("MESSAGE"), severity.alias("SEVERITY"), F.col("shape").alias("SOURCE_SHAPE"))
+    return rows.select("ID", "KEY", "VALUE", F.col("kind").alias("VIOLATION_TYPE"), said.alias("MESSAGE"), severity.alias("SEVERITY"), F.col("shape").alias("SOURCE_SHAPE"), *run.scope)
 
 
 def rules_of_schema(schema: dict[str, dict[str, dict]], closed: bool = False) -> list[Rule]:

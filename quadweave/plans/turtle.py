@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Sequence
 
 from quadweave.model import TYPE
 from quadweave.plans.paths import text_of
-from quadweave.plans.shapes import PARTS, Rule
+from quadweave.plans.shapes import QUALIFIED, Rule
 from quadweave.sources.cimxml import clean_id
 
 # Vocabularies.
@@ -141,7 +142,16 @@ class _Shapes:
         steps = [self.path(p) for p in parts]
         return None if None in steps or not steps else (kind, *steps)
 
-    def add(self, node: str, shape: str, target: str, how: str, parent: str | None, alternative: int, said: tuple[str | None, str | None] = (None, None)) -> None:
+    @staticmethod
+    def label(shape: str, node: str, component: str, number: int, target: str, parent: str | None) -> str:
+        """A name of its own for each rule with parts: targets and outer rules have rules of their own."""
+        return "|".join((shape, node, component, str(number), parent or target))
+
+    def add(self, node: str, shape: str, target: str, how: str, parent: str | None, alternative: int, said: tuple[str | None, str | None] = (None, None), within: tuple[str, ...] = (), claims: Sequence[str] = ()) -> None:
+        if node in within:  # a shape that is a part of itself has no depth
+            self.skipped.append(shape)
+            return
+        within = (*within, node)
         own = self.of[node]
         said = tuple(own[key][0] if own.get(key) else inherited for key, inherited in zip(("name", "description"), said, strict=True))
         path, inverse, way = None, False, None
@@ -167,15 +177,25 @@ class _Shapes:
             ignored = [_local(i) for ignore in own.get("ignoredProperties", []) for i in self.items(ignore)]
             paths = [self.path(self.of[p]["path"][0]) for p in own.get("property", []) if self.of[p].get("path")]
             make("closed", values=tuple(p for p in paths if isinstance(p, str)) + tuple(ignored))
-        for component in PARTS:
+        for component in ("and", "or", "not", "xone", "node"):
             for number, value in enumerate(own.get(component, [])):
-                label = f"{shape}|{node}|{component}|{number}"
+                label = self.label(shape, node, component, number, target, parent)
                 make(component, name=label)
                 inner = f"nodes of {label}" if component == "node" else target
                 for i, part in enumerate([value] if component in ("not", "node") else self.items(value)):
-                    self.add(part, shape, inner, how if component != "node" else "", label, i, said)
+                    self.add(part, shape, inner, how if component != "node" else "", label, i, said, within)
+        for component in QUALIFIED:
+            for value in own.get(component, []):
+                label = self.label(shape, node, component, 0, target, parent)
+                make(component, name=label, value=value, values=tuple(claims))
+                for part in own.get("qualifiedValueShape", []):
+                    self.add(part, shape, f"nodes of {label}", "", label, 0, said, within)
+        of = lambda p: shape if p.startswith("_:") else _local(p)
+        counted = {p: self.label(of(p), p, next(c for c in QUALIFIED if self.of[p].get(c)), 0, target, parent) for p in own.get("property", []) if any(self.of[p].get(c) for c in QUALIFIED)}
         for p in own.get("property", []):
-            self.add(p, shape if p.startswith("_:") else _local(p), target, how, parent, alternative, said)
+            others = [label for q, label in counted.items() if self.of[q].get("qualifiedValueShape") != self.of[p].get("qualifiedValueShape")]
+            disjoint = self.of[p].get("qualifiedValueShapesDisjoint") == ["true"]
+            self.add(p, of(p), target, how, parent, alternative, said, within, others if disjoint else ())
         if own.get("sparql") or own.get("target"):
             self.skipped.append(shape)
 
