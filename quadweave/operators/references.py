@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadweave.model import COLUMNS, ORDER, TYPE
+from quadweave.operators.reach import reach
 from quadweave.operators.tableview import wide
+from quadweave.steps import written
 
-#: Levels after which a walk's frontier is checkpointed, so that its plan stays small.
+#: Levels after which a walk's frontier is written, so that its plan stays small.
 CUT = 4
 
 
@@ -44,8 +46,7 @@ def _walk(data: DataFrame, object_id: str, levels: int, inbound: bool) -> DataFr
     for level in range(1, levels + 1):
         frontier = _step(data, frontier, level, inbound)
         if level % CUT == 0:
-            if data.sparkSession.sparkContext.getCheckpointDir() is not None:
-                frontier = frontier.checkpoint()
+            frontier = written(frontier, "frontier")
             if frontier.isEmpty():
                 break
         found = found.unionByName(frontier)
@@ -105,20 +106,7 @@ def dangling_references(data: DataFrame, detailed: bool = False, pattern: str =
     return loose.select(*(none.alias(f"{c}_TO") for c in COLUMNS), *(F.col(c).alias(f"{c}_FROM") for c in COLUMNS), F.lit("right_only").alias("_merge"))
 
 
-def dependency_closure(links: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
+def dependency_closure(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, ID) for everything that roots (ID) reach over links (ID, VALUE), themselves included; cycles end."""
-    reached = frontier = roots.select(F.col("ID").alias("root"), "ID").distinct()
-    steps = links.select(F.col("ID").alias("at"), F.col("VALUE").alias("next")).distinct()
-    cut = data_cut(roots)
-    for _ in range(most):
-        further = frontier.join(steps, F.col("ID") == F.col("at")).select("root", F.col("next").alias("ID")).distinct()
-        frontier = cut(further.join(reached, ["root", "ID"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.unionByName(frontier))
-    return reached
-
-
-def data_cut(df: DataFrame):
-    """checkpoint() where the session names a folder for it; else the plan is kept whole."""
-    return (lambda d: d.checkpoint()) if df.sparkSession.sparkContext.getCheckpointDir() is not None else (lambda d: d.cache())
+    steps = links.select(F.col("ID").alias("s"), F.col("VALUE").alias("o"))
+    return reach(steps, roots.select(F.col("ID").alias("s")), zero=True).select(F.col("s").alias("root"), F.col("o").alias("ID"))

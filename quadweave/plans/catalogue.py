@@ -399,3 +399,65 @@ def pattern_ask(spark, sf):
 @_query("SELECT 'Order-' || o_orderkey AS x FROM orders")
 def pattern_graph_scope(spark, sf):
     return p.match(star.graph(spark, sf, "Customer", "Order"), [("?x", TYPE, "?t")], instance="SSH").select("x")
+
+
+_HIERARCHY = "SELECT 'Customer-' || c_custkey AS a, 'Nation-' || c_nationkey AS b FROM customer UNION ALL SELECT 'Nation-' || n_nationkey, 'Region-' || n_regionkey FROM nation"
+
+
+@_query(f"SELECT a AS s, b AS o FROM ({_HIERARCHY}) WHERE a LIKE 'Customer%' UNION ALL SELECT 'Customer-' || c_custkey, 'Customer-' || c_custkey FROM customer")
+def pattern_path_optional(spark, sf):
+    g = star.graph(spark, sf, "Customer", "Nation")
+    return p.zero_or_one(g, p.path(g, ["Customer.Nation", "Nation.Region"]), p.pattern(g, "?s", TYPE, "Customer"))
+
+
+@_query("SELECT 'Nation-' || n_nationkey AS s, 'Region-' || n_regionkey AS o FROM nation UNION ALL SELECT 'Nation-' || c_nationkey, 'Customer-' || c_custkey FROM customer")
+def pattern_path_negated(spark, sf):
+    g = star.graph(spark, sf, "Customer", "Nation")
+    links = p.negated(g, [TYPE, "Nation.n_name"], [TYPE, "Nation.Region", "Nation.n_name", "Customer.c_name", "Customer.c_acctbal", "Customer.c_mktsegment"])
+    return p.exists(links, p.pattern(g, "?s", TYPE, "Nation"))
+
+
+@_query("SELECT 'Region-' || r_regionkey AS s, 'Customer-' || c_custkey AS o FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'ASIA' OR r_regionkey = 1 UNION ALL SELECT 'Region-' || r_regionkey, 'Nation-' || n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' OR r_regionkey = 1 UNION ALL SELECT 'Region-' || r_regionkey, 'Region-' || r_regionkey FROM region WHERE r_name = 'ASIA' OR r_regionkey = 1")
+def pattern_path_star_from_end(spark, sf):
+    """What leads to some regions: the walk starts where the path is bound, at its end."""
+    g = star.graph(spark, sf, "Customer", "Nation", "Region")
+    ends = g.where((F.col("KEY") == "Region.r_name") & ((F.col("VALUE") == "ASIA") | (F.col("ID") == "Region-1"))).select(F.col("ID").alias("s"))
+    return p.zero_or_more(g, p.reversed_links(p.path(g, ["Customer.Nation", "Nation.Region"])), ends)
+
+
+def _sparse(spark, sf):
+    """Customers with their segment where the key is even; nations of those whose key is no multiple of 3."""
+    g = star.graph(spark, sf, "Customer")
+    segments = p.optional(p.pattern(g, "?c", TYPE, "Customer"), p.pattern(g.where(F.substring_index("ID", "-", -1).cast("bigint") % 2 == 0), "?c", "Customer.c_mktsegment", "?v"))
+    nations = p.optional(p.pattern(g, "?c", TYPE, "Customer"), p.pattern(g.where(F.substring_index("ID", "-", -1).cast("bigint") % 3 > 0), "?c", "Customer.Nation", "?w"))
+    return g, segments, nations
+
+
+@_query("SELECT 'Customer-' || c_custkey AS c, CASE WHEN c_custkey % 2 = 0 OR c_mktsegment = 'BUILDING' THEN c_mktsegment END AS v FROM customer")
+def pattern_optional_unbound(spark, sf):
+    """Where v is unbound the second pattern binds it, where it is bound both have to agree."""
+    g, segments, _ = _sparse(spark, sf)
+    return p.optional(segments, p.match(g, [("?c", "Customer.c_mktsegment", "?v"), ("?c", "Customer.c_mktsegment", "BUILDING")]))
+
+
+@_query("SELECT 'Customer-' || c_custkey AS c, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS v FROM customer WHERE c_custkey % 3 > 0 AND c_nationkey <> 7 AND NOT (c_custkey % 2 = 0 AND c_mktsegment = 'BUILDING')")
+def pattern_minus_unbound(spark, sf):
+    """Takes away customers of nation 7 whatever their v, and those with v = BUILDING; keys that are multiples of 3 go by their unbound w."""
+    g, segments, nations = _sparse(spark, sf)
+    of_seven = nations.where("w = 'Nation-7'").select("c", F.lit(None).cast("string").alias("v"))
+    unbound = nations.where("w IS NULL").select("c", F.lit(None).cast("string").alias("v"))
+    builds = segments.where("v = 'BUILDING'")
+    return p.minus(segments, p.union(of_seven, unbound, builds))
+
+
+@_query("SELECT 'Order-' || o_orderkey AS ID, 'Order.o_orderstatus' AS KEY, o_orderstatus AS VALUE FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT '_:' || o_orderkey, 'price', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'Order-' || o_orderkey, 'Order.detail', '_:' || o_orderkey FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT '_:' || o_orderkey, 'inner', '_:in' || o_orderkey FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT '_:in' || o_orderkey, 'priority', o_orderpriority FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT '_:in' || o_orderkey, 'of', 'Customer-' || o_custkey FROM orders WHERE o_orderkey % 4 = 0")
+def pattern_describe_nested(spark, sf):
+    """Orders with a blank node for details, which has another; the description takes both, but not the customer."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    fact = lambda s, k, v: F.struct(s.alias("ID"), F.lit(k).alias("KEY"), v.alias("VALUE"))
+    order, blank, inner = F.concat(F.lit("Order-"), key), F.concat(F.lit("_:"), key), F.concat(F.lit("_:in"), key)
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    rows = orders.select(F.inline(F.array(fact(order, "Order.o_orderstatus", F.col("o_orderstatus")), fact(order, "Order.detail", blank), fact(blank, "price", price), fact(blank, "inner", inner), fact(inner, "priority", F.col("o_orderpriority")), fact(inner, "of", F.concat(F.lit("Customer-"), F.col("o_custkey").cast("string"))))))
+    wanted = orders.where("o_orderkey % 4 = 0").select(order.alias("o"))
+    return p.describe(rows.unionByName(star.graph(spark, sf, "Customer").select("ID", "KEY", "VALUE")), wanted, "o")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quadweave.functions import terms
@@ -13,15 +10,12 @@ from quadweave.operators import tableview as t
 from quadweave.plans.catalogue import _CUSTOMER, _NATION, _query
 from quadweave.sinks import files
 from quadweave.sources import cimxml, nquads, sheets, star
+from quadweave.steps import new_path
 
 
 def _folder(spark) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is named."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadweave-")
-    path = f"{where.rstrip('/')}/formats-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
+    """A new path in the folder that driver and executors share."""
+    return new_path(spark, "formats")
 
 
 @_query("SELECT '<urn:uuid:' || ID || '> <' || CASE WHEN KEY = 'Type' THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' ELSE 'http://iec.ch/TC57/CIM100#' || KEY END || '> ' || CASE WHEN KEY = 'Type' THEN '<http://iec.ch/TC57/CIM100#' || VALUE || '>' ELSE '\"' || VALUE || '\"' END || ' <urn:uuid:EQ> .' AS line FROM (" + _NATION + ")")

@@ -105,6 +105,11 @@ def _number(value) -> float | None:
         return None
 
 
+def _target(r: Rule) -> str:
+    flags = {"subjects of": r.subjects_of, "objects of": r.objects_of, "node": r.target_node}
+    return next((f"{said} {r.target}" for said, on in flags.items() if on), r.target)
+
+
 def _row(i: int, r: Rule, depth: int, alternatives: int):
     text = None if r.value is None else str(r.value)
     items = list(r.values)
@@ -112,9 +117,7 @@ def _row(i: int, r: Rule, depth: int, alternatives: int):
         text, narrow = LEXICAL.get(str(r.value), (None, None))
         items = [narrow] if narrow else []
         text = rf"^(?:{text})\z" if text else None
-    flags = {"subjects of": r.subjects_of, "objects of": r.objects_of, "node": r.target_node}
-    target = next((f"{said} {r.target}" for said, on in flags.items() if on), r.target)
-    return (r.shape, r.component, target, r.path, text, r.severity, r.message, r.parent, r.label, r.profile, _number(r.value), items, r.inverse, depth, alternatives, i)
+    return (r.shape, r.component, _target(r), r.path, text, r.severity, r.message, r.parent, r.label, r.profile, _number(r.value), items, r.inverse, depth, alternatives, i)
 
 
 def _as_number(c: Column) -> Column:
@@ -200,8 +203,9 @@ class _Run:
         self.members = typed.distinct()
         if pairs is not None:
             self.members = self.members.join(pairs.select("INSTANCE_ID", "PROFILE").distinct(), "INSTANCE_ID")
-        ways = {r.path: r.way for r in rules if r.way}
-        self.along = self.data.unionByName(paths.facts(self.data, list(ways.values()), self.instance)) if ways else self.data
+        ways = self.ways = {r.path: r.way for r in rules if r.way}
+        self.walked = sorted({_target(r) for r in rules if r.way and paths.repeats(r.way)})
+        self.walk()
         self.to_classes = sorted(name for name, way in ways.items() if paths.ends_in_type(way))
 
     @staticmethod
@@ -226,6 +230,14 @@ class _Run:
             rows = rows.unionByName(back.join(rules.where("inverse"), F.col("KEY") == F.col("path")))
         return rows.join(self.members, [*self.scope, "ID", "target"], "left_semi")
 
+    def walk(self) -> None:
+        """Lays out the values of paths of several steps; those of repeated steps from the members of their rules' targets."""
+        if self.ways:
+            starts = self.members.where(F.col("target").isin(self.walked)).select("ID", *self.instance).distinct() if self.walked else None
+            self.along = self.data.unionByName(paths.facts(self.data, list(self.ways.values()), self.instance, starts))
+        else:
+            self.along = self.data
+
     def nest(self) -> None:
         """Values of rules with nested shapes become members of a class of their own, from outside in."""
         for depth in sorted({d for d, r in zip(_depths(self.rules), self.rules, strict=True) if r.component in NESTS}):
@@ -233,6 +245,8 @@ class _Run:
             labels = F.explode(F.concat(F.array("label"), "items")).alias("label")
             nodes = rows.select(F.col("VALUE").alias("ID"), labels, *self.scope).select("ID", F.concat(F.lit("nodes of "), "label").alias("target"), *self.scope)
             self.members = written(self.members.unionByName(nodes).distinct(), "members")
+            if self.walked:
+                self.walk()
 
     def found(self, rows: DataFrame, key="path", value="VALUE", kind="component") -> DataFrame:
         part = lambda c: F.lit(None).cast("string") if c is None else F.col(c)

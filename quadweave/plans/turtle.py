@@ -111,6 +111,10 @@ def _local(uri: str) -> str:
     return re.split(r"[#/]", uri)[-1]
 
 
+# Names of repeated steps.
+_REPEATED = {"zeroOrMorePath": "zero_or_more", "oneOrMorePath": "one_or_more", "zeroOrOnePath": "zero_or_one"}
+
+
 class _Shapes:
     def __init__(self, text: str):
         self.of: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
@@ -127,7 +131,7 @@ class _Shapes:
         return found
 
     def path(self, node: str) -> str | tuple | None:
-        """A property, or a path of `paths`; repeated steps (such as zeroOrMorePath) have no length and are not rules."""
+        """A property, or a path of `paths`."""
         if not node.startswith("_:"):
             return TYPE if node == RDF + "type" else _local(node)
         own = self.of[node]
@@ -137,6 +141,8 @@ class _Shapes:
             kind, parts = "alternative", self.items(own["alternativePath"][0])
         elif own.get(RDF + "first"):
             kind, parts = "sequence", self.items(node)
+        elif repeated := next((name for name in _REPEATED if own.get(name)), None):
+            kind, parts = _REPEATED[repeated], own[repeated]
         else:
             return None
         steps = [self.path(p) for p in parts]
