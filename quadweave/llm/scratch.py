@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -60,26 +62,35 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
-#: Rows of an Arrow batch; Spark's default of 10,000 texts of any length is too much for a worker.
-BATCH_ROWS = 1_000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch; Spark's defaults are too much for whole texts, in a worker and outside the heap of its executor.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch, for columns of whole texts; a lower setting stays."""
-    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
-        spark.conf.set(_ROWS, BATCH_ROWS)
+    """Lowers the session's limits of Arrow batches, for columns of whole texts; lower settings stay."""
+    for name, most in _LIMITS.items():
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
+def _returned() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def released(run):
-    """A function of Arrow batches that gives unused Arrow memory back when its task ends: workers live on."""
+    """A function of Arrow batches that gives unused memory back when its task ends: workers live on."""
 
     def whole(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _returned()
 
     return whole
