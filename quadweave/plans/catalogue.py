@@ -32,7 +32,7 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quadweave.plans import formats, models, profiling, rules  # noqa: F401  their queries join these
+    from quadweave.plans import documents, formats, models, profiling, rules  # noqa: F401  their queries join these
 
     return dict(_QUERIES)
 

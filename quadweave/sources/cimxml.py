@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XML = "http://www.w3.org/XML/1998/namespace"
 ID_PREFIXES = ("urn:uuid:", "#_", "_")
-BATCH = 50_000
+BATCH = 20_000
 #: Bytes that the XML parser takes at a time.
 BLOCK = 1 << 20
 
@@ -54,6 +54,8 @@ class _Facts:
 
     def __init__(self, name: str, instance: str, shorten: bool):
         self.rows: list[tuple[str, str, str, str]] = []
+        self.places: list[tuple[int | None, int | None]] = []  # line and byte of each fact's element
+        self.parser, self.at = None, (None, None)
         self.instance, self.shorten = instance, shorten
         self.depth, self.object, self.namespaces, self.text = 0, "", {}, None
         self.name, self.attributes, self.begun = name, {}, False
@@ -71,19 +73,25 @@ class _Facts:
 
     def add(self, ID: str, key: str, value: str) -> None:
         self.rows.append((ID, key, value, self.instance))
+        self.places.append(self.at)
 
     def namespace(self, prefix, uri) -> None:
         if self.depth == 0:
             self.namespaces[prefix] = uri
 
+    def here(self) -> None:
+        self.at = (self.parser.CurrentLineNumber, self.parser.CurrentByteIndex)
+
     def start(self, name: str, attributes: dict) -> None:
         if self.depth == 0:
             self.meta(attributes)
         elif self.depth == 1:
+            self.here()
             self.object = clean_id(attributes.get(f"{RDF} ID") or attributes.get(f"{RDF} about") or attributes.get(f"{RDF} nodeID"))
             self.add(self.object, "Type", local_name(name))
         elif self.depth == 2:
             self.text, self.attributes = None, attributes
+            self.here()
         self.depth += 1
 
     def data(self, text: str) -> None:
@@ -106,27 +114,36 @@ def _no_entities(*_):
     raise ValueError("entity declarations are not accepted")
 
 
-def parse(name: str, content: bytes, shorten: bool = True) -> Iterator[list[tuple[str, str, str, str]]]:
-    """Facts of one document, some at a time; the instance follows from its name, so that a retried task gives the same."""
+def parse_stream(name: str, stream, shorten: bool = True) -> Iterator[tuple[list[tuple[str, str, str, str]], list[tuple[int | None, int | None]]]]:
+    """Facts of one document and where they stand (line, byte), some at a time, from anything with read(); a block of bytes is held.
+
+    The instance follows from the name, so that a retried task gives the same."""
     facts = _Facts(name, str(uuid.uuid5(uuid.NAMESPACE_URL, name)), shorten)
-    parser = expat.ParserCreate(namespace_separator=" ")
+    parser = facts.parser = expat.ParserCreate(namespace_separator=" ")
     parser.buffer_text = True
     parser.StartNamespaceDeclHandler = facts.namespace
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = facts.start, facts.end, facts.data
     parser.EntityDeclHandler = _no_entities
-    for at in range(0, len(content), BLOCK):
-        parser.Parse(content[at : at + BLOCK], False)
+    while block := stream.read(BLOCK):
+        parser.Parse(block, False)
         if len(facts.rows) >= BATCH:
-            yield facts.rows
-            facts.rows = []
+            yield facts.rows, facts.places
+            facts.rows, facts.places = [], []
     parser.Parse(b"", True)
-    yield facts.rows
+    yield facts.rows, facts.places
+
+
+def parse(name: str, content: bytes, shorten: bool = True) -> Iterator[list[tuple[str, str, str, str]]]:
+    """Facts of one document that is held whole, some at a time."""
+    for rows, _ in parse_stream(name, io.BytesIO(content), shorten):
+        yield rows
 
 
 def read_cimxml(spark: SparkSession, paths, shorten_resources: bool = True) -> DataFrame:
     """The graph table of some files or folders; `_ord` follows the files by their paths, and the places in each.
 
-    Facts are given out while a document is read; the bytes of a file (2 GB at most, Spark's limit) are held whole."""
+    Facts are given out while a document is read; the bytes of a file (2 GB at most, Spark's limit) are held whole.  `sources/xmlfiles` reads
+    files of any size in blocks, from stores that pyarrow reaches."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     listed = sorted(r["path"] for r in files.select("path").collect())  # Spark's own listing is on the driver as well
     places = spark.sparkContext.broadcast({path: i for i, path in enumerate(listed)})
