@@ -32,17 +32,27 @@ def diff_by_instance(data: DataFrame, first: str, second: str) -> DataFrame:
     return once.select(*COLUMNS)
 
 
+def diff_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(ID, place, line) of all differences: for each object its head (place 0), then - for old and + for new, by property."""
+    rows = diff(old, new)
+    names = rows.where(F.col("KEY") == TYPE).groupBy("ID").agg(F.max("VALUE").alias("class"))
+    heads = rows.select("ID").distinct().join(names, "ID", "left").select("ID", F.struct(F.lit(0).alias("kind"), F.lit("").alias("key"), F.lit("").alias("side"), F.lit("").alias("value")).alias("place"), F.concat(F.lit("@@ "), F.coalesce("class", F.lit("object")), F.lit(" "), "ID").alias("line"))
+    value = F.coalesce("VALUE", F.lit(""))
+    facts = rows.select("ID", F.struct(F.lit(1).alias("kind"), F.col("KEY").alias("key"), F.col("_merge").alias("side"), value.alias("value")).alias("place"), F.concat(F.when(F.col("_merge") == "left_only", "-").otherwise("+"), F.lit(" "), "KEY", F.lit(": "), value).alias("line"))
+    return heads.unionByName(facts)
+
+
+def write_diff(old: DataFrame, new: DataFrame, folder: str) -> None:
+    """All differences as text, in files that follow each other by object; however many there are."""
+    diff_lines(old, new).repartitionByRange("ID").sortWithinPartitions("ID", "place").select(F.col("line").alias("value")).write.text(folder)
+
+
 def diff_text(old: DataFrame, new: DataFrame, most: int = 10_000) -> str:
-    """The differences as lines by object, - for old and + for new; at most `most` facts are fetched."""
-    rows = diff(old, new).orderBy("ID", "KEY", "_merge").limit(most).collect()
-    names = {r["ID"]: r["VALUE"] for r in rows if r["KEY"] == TYPE}
-    lines, last = [], None
-    for r in rows:
-        if r["ID"] != last:
-            lines.append(f"@@ {names.get(r['ID'], 'object')} {r['ID']}")
-            last = r["ID"]
-        lines.append(f"{'-' if r['_merge'] == 'left_only' else '+'} {r['KEY']}: {'' if r['VALUE'] is None else r['VALUE']}")
-    return "\n".join(lines)
+    """The differences as one text on the driver, for people; more than `most` lines are an error, and go to `write_diff`."""
+    rows = diff_lines(old, new).orderBy("ID", "place").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} lines of differences; write them with write_diff")
+    return "\n".join(r["line"] for r in rows)
 
 
 def row_hash(columns=COLUMNS):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadweave.model import ORDER, TYPE, quoted
 from quadweave.operators.filters import filter_by_facts, filter_by_type
+from quadweave.steps import new_path
 
 #: Numbers as the views accept them (a fixed pattern: optional sign, digits, fraction, exponent).
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
@@ -82,12 +83,20 @@ def id_tableview(data: DataFrame, ids, string_to_number: bool = False, multivalu
 
 
 def tableviews(data: DataFrame, multivalue: bool = False) -> dict[str, DataFrame]:
-    """A view for every class; the classes and their properties are found in one job."""
-    types = data.where(F.col("KEY") == TYPE).select("ID", F.col("VALUE").alias("class")).distinct()
+    """A view for every class, all from one pass over the facts: the cells of objects are written by class, and a view reads its class alone."""
+    spark = data.sparkSession
+    types = data.where(F.col("KEY") == TYPE).select("ID", F.col("VALUE").alias("class")).where("class is not null").distinct()
+    rows = data.where(F.col("KEY").isNotNull()).join(types, "ID").repartition("class", "ID")
+    cells = rows.groupBy("class", "ID", "KEY").agg(_cell(multivalue).alias("cell")).groupBy("class", "ID").agg(F.map_from_entries(F.collect_list(F.struct("KEY", "cell"))).alias("cells"))
+    where = new_path(spark, "views")
+    cells.write.partitionBy("class").parquet(where)
+    kind = "array<string>" if multivalue else "string"
+    kept = spark.read.schema(f"ID string, cells map<string,{kind}>, class string").parquet(where)
     found: dict[str, list[str]] = {}
-    for r in data.join(types, "ID").groupBy("class", "KEY").count().collect():  # classes times properties
+    for r in kept.select("class", F.explode(F.map_keys("cells")).alias("KEY")).distinct().collect():  # classes times properties
         found.setdefault(r["class"], []).append(r["KEY"])
-    return {c: type_tableview(data, c, multivalue=multivalue, keys=sorted(keys)) for c, keys in sorted(found.items())}
+    view = lambda c, keys: kept.where(F.col("class") == c).select("ID", *(F.try_element_at("cells", F.lit(k)).alias(k) for k in keys))
+    return {c: view(c, sorted(keys)) for c, keys in sorted(found.items())}
 
 
 def facts_of_view(view: DataFrame, instance_id: str | None = None, index: str = "ID") -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from quadweave.functions import terms
 from quadweave.model import TYPE
+from quadweave.operators.tableview import rendered, tableviews
 from quadweave.plans.catalogue import _CUSTOMER, _NATION, _query
 from quadweave.plans.shapes import Rule, validate
 from quadweave.sinks import xmlfiles as sink
-from quadweave.sources import star, versions, xmlfiles
+from quadweave.sinks.xlsx import write_workbook
+from quadweave.sources import star, versions, workbooks, xmlfiles
 from quadweave.steps import new_path
 
 
@@ -55,6 +57,16 @@ def violation_places(spark, sf):
     return xmlfiles.places(found, scan).select("ID", "VALUE", "SOURCE_LINE")
 
 
+@_query("SELECT ID, KEY, VALUE FROM (" + _CUSTOMER + ") UNION ALL SELECT ID, KEY, VALUE FROM (" + _NATION + ") UNION ALL SELECT 'Order-' || o_orderkey, 'Type', 'Order' FROM orders UNION ALL SELECT 'Order-' || l_orderkey, 'Order.Part', 'Part-' || l_partkey FROM lineitem")
+def xlsx_tableview(spark, sf):
+    """Views as sheets of a workbook, which are read back; orders with several parts have them in one cell, and go on in further sheets."""
+    folder = new_path(spark, "workbooks")
+    data = star.graph(spark, sf, "Customer", "Nation").unionByName(star.graph(spark, sf, "Order", "OrderParts").where(F.col("KEY").isin(TYPE, "Order.Part")))
+    views = {name: rendered(view) for name, view in tableviews(data, multivalue=True).items()}
+    write_workbook(views, f"{folder}/all.xlsx", most_rows=700)
+    return workbooks.read_sheets(spark, folder).select("ID", "KEY", "VALUE")
+
+
 @_query("SELECT ID, KEY, VALUE FROM (" + _CUSTOMER + ") UNION ALL SELECT ID, KEY, VALUE FROM (" + _NATION + ")")
 def versions_replaced(spark, sf):
     """A table that is replaced whole and then added to; what a reader began with before is not what it has now."""

@@ -177,6 +177,7 @@ def join_members(path: str, target: str) -> int:
     with store.open_input_stream(f"{where}/_parts/{MANIFEST}") as stream:
         members = json.loads(stream.readall())
     directory, at = [], 0
+    # Written aside; if this task is done again, the parts are still there.
     with store.open_output_stream(f"{where}/_parts/archive", compression=None) as out:
         for name, part, crc, size, packed in members:
             header = _header(b"PK\x03\x04", name.encode(), crc, size, packed)
@@ -223,9 +224,19 @@ def write_documents(data: DataFrame, folder: str, namespaces: dict[str, str], pa
     rows = dealt.select("document", "place", "xml").unionByName(ends).repartition("document").sortWithinPartitions("document", "place", "xml")
     rows.select("document", "xml").write.format("xmldocuments").mode("overwrite" if overwrite else "append").option("path", folder).option("packaging", packaging).save()
     if packaging == "zip_all":
+        _joined(spark, folder, archive)
 
-        def joined(batches):
-            for _ in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([join_members(folder, archive)], pa.int64())], ["members"])
 
-        spark.range(1, numPartitions=1).mapInArrow(joined, "members bigint").collect()  # a retried task does it anew
+def _joined(spark: SparkSession, folder: str, archive: str) -> None:
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([join_members(folder, archive)], pa.int64())], ["members"])
+
+    spark.range(1, numPartitions=1).mapInArrow(run, "members bigint").collect()  # a retried task does it anew
+
+
+def write_archive(rows: DataFrame, folder: str, archive: str) -> None:
+    """One archive of documents, of rows (document, xml) that come together and in order; other files of the folder stay."""
+    spark = registered(rows.sparkSession)
+    rows.write.format("xmldocuments").mode("append").option("path", folder).option("packaging", "zip_all").save()
+    _joined(spark, folder, archive)

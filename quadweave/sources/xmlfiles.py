@@ -70,8 +70,8 @@ def _members(stream, before: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
                     yield from _members(inner, (*before, member))
 
 
-def files_of(path: str) -> list[str]:
-    """URIs of the documents and archives of a file or folder, in order."""
+def files_of(path: str, endings: tuple[str, ...] = (*_ENDINGS, ".zip")) -> list[str]:
+    """URIs of the files of some endings of a file or folder, in order."""
     store, where = _at(path)
     address = urlsplit(path)
     # Paths of an object store begin with the bucket; those of other stores leave out the host.
@@ -79,7 +79,7 @@ def files_of(path: str) -> list[str]:
     infos = [store.get_file_info(where)]
     if infos[0].type == fs.FileType.Directory:
         infos = store.get_file_info(fs.FileSelector(where, recursive=True))
-    kept = [i.path for i in infos if i.type == fs.FileType.File and i.path.lower().endswith((*_ENDINGS, ".zip"))]
+    kept = [i.path for i in infos if i.type == fs.FileType.File and i.path.lower().endswith(endings)]
     return sorted(f"{begin}{p}" for p in kept if not any(part.startswith(("_", ".")) for part in p[len(where) :].split("/")))
 
 

@@ -172,3 +172,59 @@ def test_versions_are_seen_whole(spark, tmp_path):
     assert versions.replace(spark.range(1), table) == 4
     gone = versions.clean(spark, table, keep=1)
     assert len(gone) == 3 and versions.numbers(spark, table) == [4] and versions.read(spark, table).count() == 1
+
+
+def test_sheets_with_gaps_shared_texts_and_kinds(spark, tmp_path):
+    from quadweave.sources import workbooks
+
+    main, rel, package = workbooks._MAIN, workbooks._REL, workbooks._PACKAGE
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="a" Type="x/officeDocument" Target="/xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Bay" sheetId="1" r:id="q"/><sheet name="Raw" sheetId="2" r:id="w"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}"><Relationship Id="q" Type="s" Target="worksheets/s1.xml"/><Relationship Id="w" Type="s" Target="/xl/worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>ID</t></si><si><r><t>na</t></r><r><t>me</t></r><rPh><t>zz</t></rPh></si><si><t>b1</t></si></sst>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="B1" t="s"><v>0</v></c><c t="s"><v>1</v></c><c r="AA1" t="str"><v>on</v></c><c r="AC1" t="inlineStr"><is><t>many</t></is></c></row><row><c r="A2"><v>9</v></c><c r="B2" t="s"><v>2</v></c><c r="AA2" t="b"><v>1</v></c><c><v>4.5</v></c><c t="inlineStr"><is><t>[\'a\', \'b\']</t></is></c></row><row><c r="C3"><v>1</v></c></row><row/></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet xmlns="{main}"><sheetData><row>{"".join(f"<c t=\'inlineStr\'><is><t>{n}</t></is></c>" for n in ("ID", "KEY", "VALUE"))}</row><row><c t="inlineStr"><is><t>r</t></is></c><c t="inlineStr"><is><t>k</t></is></c><c><v>7</v></c></row></sheetData></worksheet>')
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        z.writestr("book.xlsx", inner.getvalue())
+        z.writestr("sub/Line.csv", '\ufeffID,name,,Type\r\nl1,"a ""b""\nc",x,Pole\r\nl2,,,\r\n,lost,,\r\n')
+    g = workbooks.read_sheets(spark, str(tmp_path), facts_sheet="Raw", instance_id="i")
+    assert _set(g, "ID", "KEY", "VALUE", "INSTANCE_ID") == {
+        ("b1", "on", "true", "i"), ("b1", "many", "a", "i"), ("b1", "many", "b", "i"), ("b1", "Type", "Bay", "i"), ("r", "k", "7", "i"),
+        ("l1", "name", 'a "b"\nc', "i"), ("l1", "Type", "Pole", "i"),
+    }
+    assert _set(workbooks.read_sheets(spark, str(tmp_path), sheets=["Bay"], multivalue=False).where("KEY = 'many'"), "VALUE") == {("['a', 'b']",)}
+    assert [workbooks.column_number(c) for c in ("A1", "Z9", "AA1", "XFD1")] == [0, 25, 26, 16383]
+    assert workbooks.registered(spark).read.format("sheets").load(str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_workbooks_go_on_in_further_sheets(spark, tmp_path):
+    from quadweave.sinks import xlsx
+    from quadweave.sources import workbooks
+
+    view = spark.range(25).selectExpr("concat('o', id) AS ID", "id AS n", "CASE WHEN id % 2 = 0 THEN concat('<', id, char(7)) END AS text").repartition(4)
+    name = "a/very long name that is longer than a sheet's"
+    xlsx.write_workbook({name: view, name + "!": view.limit(0)}, str(tmp_path / "w.xlsx"), most_rows=10)
+    cells = workbooks.registered(spark).read.format("sheets").load(str(tmp_path))
+    assert {r["SHEET"]: r["n"] for r in cells.groupBy("SHEET").agg({"ROW": "max"}).toDF("SHEET", "n").collect()} == {"a_very long name that is longer": 11, "a_very long name that is lo (2)": 11, "a_very long name that is lo (3)": 6}
+    assert _set(cells.where("KEY = 'text'"), "ID", "VALUE") == {(f"o{i}", f"<{i}") for i in range(0, 25, 2)} and cells.where("KEY = 'n'").count() == 25
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        assert z.testzip() is None and z.read("xl/workbook.xml").decode().count("<sheet ") == 4
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["w.xlsx"]
+    with pytest.raises(Exception, match="32767 characters"):
+        xlsx.write_workbook({"x": spark.createDataFrame([("a", "x" * 40_000)], "ID string, t string")}, str(tmp_path / "v.xlsx"))
+
+
+def test_all_differences_are_written(spark, tmp_path):
+    from quadweave.operators import diff
+
+    old, new = model.graph(spark, [("a", "Type", "Bay", "i"), ("a", "k", "1", "i")]), model.graph(spark, [("a", "Type", "Bay", "i"), ("a", "k", "2", "i"), *((f"n{i}", "Type", "Pole", "i") for i in range(9))])
+    text = diff.diff_text(old, new)
+    assert text.startswith("@@ object a\n- k: 1\n+ k: 2\n@@ Pole n0\n+ Type: Pole") and text.count("\n") == 2 + 18
+    with pytest.raises(ValueError, match="write_diff"):
+        diff.diff_text(old, new, most=20)
+    diff.write_diff(old, new, str(tmp_path / "d"))
+    parts = sorted((tmp_path / "d").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).splitlines() == text.splitlines()
