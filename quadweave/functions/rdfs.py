@@ -60,6 +60,8 @@ def schema(data: DataFrame) -> dict[str, dict[str, dict]]:
     for r in ancestors(data).select(local(F.col("class")), local(F.col("ancestor"))).collect():
         if r[0] in concrete:
             below.setdefault(r[1], set()).add(r[0])
+    kinds = data.where((F.lower("KEY") == "type") & ~local(F.col("VALUE")).isin("Class", "Property")).select(local(F.col("VALUE")).alias("kind"), local(F.col("ID")).alias("name"))
+    members = {r["kind"]: sorted(r["names"]) for r in kinds.groupBy("kind").agg(F.collect_set("name").alias("names")).collect()}
     found: dict[str, dict[str, dict]] = {c: {} for c in concrete}
     for r in properties(data).where("used").collect():
         if r["class"] in found:
@@ -68,5 +70,7 @@ def schema(data: DataFrame) -> dict[str, dict[str, dict]]:
                 entry["range"] = sorted(below[r["range"]])
             elif r["datatype"]:
                 entry["datatype"] = r["datatype"].lower()
+            elif r["range"] in members:  # an enumeration is a closed set of values
+                entry["in"] = members[r["range"]]
             found[r["class"]][r["property"]] = entry
     return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quadweave.functions import bundles
 from quadweave.model import TYPE
 from quadweave.plans import profiles as pr
 from quadweave.plans.catalogue import _query, _with_gaps
@@ -78,3 +79,35 @@ def violations_presented(spark, sf):
     rules = [Rule("a", "maxCount", "Order", "Order.Part", 4), Rule("b", "class", "Order", "Order.Customer", "Customer", message="no such customer"), Rule("c", "range", "Order", "Order.Customer", values=("Nation", "Region"))]
     data = _with_gaps(spark, sf).unionByName(star.graph(spark, sf, "OrderParts"))
     return presented(validate(data, rules), data, rules, of_schema=True).select("ID", "VIOLATION_TYPE", "TARGET", "EXPECTED", "MESSAGE_SOURCE")
+
+
+def _profile_documents(spark, sf):
+    """Three documents by size of part: each has a class Part with a brand, whose values are the brands of its parts, and a property for each of its types; two share a keyword."""
+    part = _table(spark, sf, "part").withColumn("n", F.col("p_size") % 3)
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    kind = F.regexp_replace("p_type", "[^A-Za-z]", "")
+    doc, u = F.concat(F.lit("P-"), F.col("n").cast("string")), F.lit("http://x#")
+    name = lambda *parts: F.concat(u, *parts)
+    fact = lambda ID, key, value, at: F.struct(ID.alias("ID"), F.lit(key).alias("KEY"), value.alias("VALUE"), (F.col("n") * 100 + at).cast("bigint").alias("_ord"))
+    once = part.select("n").distinct().select(doc.alias("INSTANCE_ID"), F.inline(F.array(
+        fact(name(F.lit("Ontology"), F.col("n").cast("string")), "type", F.lit("http://www.w3.org/2002/07/owl#Ontology"), 0), fact(name(F.lit("Ontology"), F.col("n").cast("string")), "keyword", F.concat(F.lit("K"), (F.col("n") % 2).cast("string")), 1),
+        fact(name(F.lit("Part")), "type", F.lit("http://y#Class"), 2), fact(name(F.lit("Part")), "stereotype", F.lit("http://y#concrete"), 3),
+        fact(name(F.lit("Part.brand")), "domain", name(F.lit("Part")), 4), fact(name(F.lit("Part.brand")), "range", name(F.lit("Brand")), 5), fact(name(F.lit("Part.brand")), "multiplicity", F.lit("http://y#M:1..1"), 6),
+        fact(name(F.lit("Part.unbound")), "type", F.lit("http://y#Property"), 7),
+    )))
+    brands = part.select("n", brand.alias("b")).distinct().select(doc.alias("INSTANCE_ID"), F.inline(F.array(fact(name(F.lit("Brand."), F.col("b")), "type", name(F.lit("Brand")), 8))))
+    typed = part.select("n", kind.alias("k")).distinct().select(doc.alias("INSTANCE_ID"), F.inline(F.array(fact(name(F.lit("Part."), F.col("k")), "domain", name(F.lit("Part")), 9), fact(name(F.lit("Part."), F.col("k")), "dataType", F.lit("http://y#Integer"), 10), fact(name(F.lit("Part."), F.col("k")), "multiplicity", F.lit("http://y#M:0..1"), 11))))
+    return once.unionByName(brands).unionByName(typed).select("ID", "KEY", "VALUE", "INSTANCE_ID", "_ord")
+
+
+@_query("SELECT 'P-' || p_size % 3 AS INSTANCE_ID, 'Part.brand' AS property, 'Brand' AS range, string_agg(DISTINCT 'Brand.' || replace(p_brand, '#', ''), ',' ORDER BY 'Brand.' || replace(p_brand, '#', '')) AS \"values\" FROM part GROUP BY p_size % 3 UNION ALL SELECT DISTINCT 'P-' || p_size % 3, 'Part.unbound', NULL, '' FROM part")
+def profile_enumerations(spark, sf):
+    return bundles.enumerations(_profile_documents(spark, sf)).select("INSTANCE_ID", "property", "range", F.array_join("values", ",").alias("values"))
+
+
+_TYPES_OF = "SELECT DISTINCT 'K' || (p_size % 3) % 2 AS keyword, p_size % 3 AS n, 'Part.' || regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS property FROM part"
+
+
+@_query(f"SELECT keyword, property, 'Attribute' AS kind, string_agg('P-' || n, ',' ORDER BY n) AS sources FROM ({_TYPES_OF}) GROUP BY 1, 2 UNION ALL SELECT keyword, 'Part.brand', 'Enumeration', string_agg(DISTINCT 'P-' || n, ',' ORDER BY 'P-' || n) FROM ({_TYPES_OF}) GROUP BY 1")
+def profile_bundle(spark, sf):
+    return bundles.bundle(_profile_documents(spark, sf)).select("keyword", "property", "kind", F.array_join("sources", ",").alias("sources"))

@@ -157,3 +157,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["tables", a, "--out", str(tmp_path / "t")]) == 0
     assert spark.read.csv(str(tmp_path / "t" / "Bay"), header=True).first()["name"] == "one"
     assert main(["nquads", a, "--out", str(tmp_path / "q")]) == 0
+
+
+def test_bundles_of_profiles(spark):
+    from quadweave.functions import bundles
+    from quadweave.plans import profiles as pr
+
+    cls, prop, ont = "http://y#Class", "http://www.w3.org/1999/02/22-rdf-syntax-ns#Property", "http://www.w3.org/2002/07/owl#Ontology"
+    of = lambda doc, rows: [(U + s, k, v, doc) for s, k, v in rows]
+    base = [("Base", "type", cls), ("Line", "type", cls), ("Line", "stereotype", "http://y#concrete"), ("Line", "subClassOf", U + "Base"), ("Bay", "type", cls), ("Bay", "stereotype", "Description")]
+    first = of("d1", [("o", "type", ont), ("o", "keyword", "EQ"), ("o", "versionIRI", "http://v/1"), *base, ("Base.kind", "domain", U + "Base"), ("Base.kind", "range", U + "Kind"), ("Base.kind", "multiplicity", "M:1..1"), ("Kind.a", "type", U + "Kind"), ("Kind.b", "type", U + "Kind"), ("Line.to", "domain", U + "Line"), ("Line.to", "AssociationUsed", "Yes"), ("Line.to", "range", U + "Base"), ("Line.to", "multiplicity", "M:0..n"), ("Line.from", "domain", U + "Line"), ("Line.from", "AssociationUsed", "No"), ("lost", "type", prop), ("lost", "dataType", U + "String")])
+    second = of("d2", [("o", "type", ont), ("o", "keyword", "EQ"), *base, ("Base.kind", "domain", U + "Base"), ("Base.kind", "dataType", U + "Integer"), ("Line.x", "domain", U + "Line"), ("Line.x", "dataType", U + "Float"), ("Line.x", "multiplicity", "M:0..1")])
+    older = of("d3", [("V.shortName", "isFixed", "TP"), ("V.date", "isFixed", "2020"), ("V.entsoeUML", "isFixed", "CGMESv02"), *base, ("Line.to", "domainIncludes", U + "Line"), ("Line.to", "dataType", U + "Integer")])
+    g = model.graph(spark, first + second + older)
+    assert _set(bundles.metadata(g), "INSTANCE_ID", "KEY", "VALUE") >= {("d1", "versionIRI", "http://v/1"), ("d2", "keyword", "EQ"), ("d3", "keyword", "TP"), ("d3", "title", "TP"), ("d3", "modified", "2020"), ("d3", "versionInfo", "02")}
+    assert _set(bundles.orphans(g), "INSTANCE_ID", "property") == {("d1", "lost")}
+    assert [(r["property"], r["values"]) for r in bundles.enumerations(g).collect()] == [("Base.kind", ["Kind.a", "Kind.b"])]
+    header = model.graph(spark, of("h", [("Head", "type", cls), ("Head", "stereotype", "http://y#concrete"), ("Head.v", "domain", U + "Head"), ("Head.v", "dataType", U + "String"), *base[1:3], ("Line.to", "domain", U + "Line"), ("Line.to", "dataType", U + "String")]))
+    merged = bundles.bundle(g, header)
+    got = {(r["keyword"], r["class"], r["property"]): (r["kind"], tuple(r["sources"])) for r in merged.collect()}
+    assert got == {
+        ("EQ", "Line", "Base.kind"): ("Enumeration", ("d1", "d2")), ("EQ", "Line", "Line.to"): ("Association", ("d1",)), ("EQ", "Line", "Line.x"): ("Attribute", ("d2",)), ("EQ", "Head", "Head.v"): ("Attribute", ("h",)),
+        ("TP", "Line", "Line.to"): ("Attribute", ("d3",)), ("TP", "Head", "Head.v"): ("Attribute", ("h",)),
+    }
+    equipment, topology = bundles.profiles(merged, g)
+    assert equipment.version == "http://v/1" and equipment.classes["Line"]["Base.kind"] == {"min": 1, "max": 1, "in": ["Kind.a", "Kind.b"]}
+    assert equipment.classes["Line"]["Line.to"] == {"min": 0, "max": None, "range": ["Line"]} and topology.classes["Line"]["Line.to"]["datatype"] == "integer"
+    data = model.graph(spark, [("m", "keyword", "EQ", "i"), ("l", "Type", "Line", "i"), ("l", "Base.kind", U + "Kind.c", "i"), ("l", "Line.to", "b", "i"), ("b", "Type", "Bay", "i")])
+    assert _set(pr.validate_profiles(data, [equipment, topology]), "KEY", "VIOLATION_TYPE", "PROFILE") == {("Base.kind", "in", "EQ"), ("Line.to", "range", "EQ")}
