@@ -11,9 +11,11 @@ the word, tokens and words are those of the class, and a word that the corpus la
 predicts the class of a masked word from the two words on either side; a document's score is the sum of the
 log-probabilities of all its words.
 
-Training has two steps.  A bounded sample (`WARM_DOCUMENTS` whole texts) gives first weights on the driver; then
-every task goes on from these over its own texts, with every word as a target, and the tasks' weights are
-averaged by the number of targets they saw, in two levels of a fixed width.
+Training has two steps.  A bounded sample (the `WARM_DOCUMENTS` texts first by a hash, of those of `WARM_TOKENS` words at most) gives
+first weights on the driver.  Then the corpus, as classes of one byte a word, is dealt into shards of about `SHARD_TOKENS` words
+by a hash of key and text.  Every shard goes on from the first weights, with every word as a target, in the order of that hash, and the
+shards' weights are averaged by the number of targets, in two levels of a fixed width and order.  So the model does not depend on
+how rows are dealt to tasks.
 
 Scoring takes counts of the most frequent words (at most `HEAD`) from a broadcast table of that size; all others
 meet the written table by a shuffle of the distinct words of each text.
@@ -25,6 +27,7 @@ extra columns are ignored.  An empty table is scored to an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.llm.kernels import mix, word_slices
-from quadweave.llm.scratch import small_batches, written
+from quadweave.llm.scratch import released, small_batches, written
 
 FREQUENT = 128
 SHARED = 32
@@ -40,6 +43,8 @@ WINDOW = 2
 WIDTH = 16
 HIDDEN = 32
 WARM_DOCUMENTS = 256
+WARM_TOKENS = 1 << 16
+SHARD_TOKENS = 1 << 18
 WARM_PASSES = 8
 WARM_BATCH = 256
 BATCH = 2048
@@ -216,16 +221,15 @@ def head_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words[order], table["cnt"].to_numpy()[order]
 
 
-def _warm(texts: pa.Array, frequent: np.ndarray, place: np.ndarray) -> Network:
+def _warm(texts: list[np.ndarray]) -> Network:
+    """First weights from the classes of some texts."""
     network, random = Network(), np.random.default_rng(2)
     seen = np.ones(CLASSES)
-    for _, _, words, _, _ in word_slices(texts):
-        seen += np.bincount(classes(words, frequent, place), minlength=CLASSES)
+    for ids in texts:
+        seen += np.bincount(ids, minlength=CLASSES)
     network.prior = np.log(seen / seen.sum()).astype(np.float32)  # the frequencies are not left to be learnt
     for _ in range(WARM_PASSES):
-        for _, _, words, bounds, _ in word_slices(texts):
-            ids = classes(words, frequent, place)
-            around = contexts(ids, bounds)
+        for ids, around in _together(texts):
             order = random.permutation(len(ids))
             for at in range(0, len(order), WARM_BATCH):
                 part = order[at : at + WARM_BATCH]
@@ -233,51 +237,100 @@ def _warm(texts: pa.Array, frequent: np.ndarray, place: np.ndarray) -> Network:
     return network
 
 
-_WEIGHTS = "targets bigint, weights binary"
+def _together(texts, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and contexts of texts, about `most` words at a time; texts are whole."""
+    held, size = [], 0
+    for ids in texts:
+        held.append(ids.astype(np.int64))
+        size += len(ids)
+        if size >= most:
+            yield _joined(held)
+            held, size = [], 0
+    if size:
+        yield _joined(held)
 
 
-def _trainer(shared):
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.concatenate(texts)
+    return ids, contexts(ids, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+
+
+def _encoder(shared):
+    """(place, ids, n): the classes of each text as bytes; texts without words are left out."""
+
     def run(batches):
-        flat, squares, frequent, place = shared.value
-        network, random, seen = Network.of(flat, squares), np.random.default_rng(3), 0
+        frequent, place = shared.value
         for batch in batches:
-            for _, _, words, bounds, _ in word_slices(batch.column(0)):
-                ids = classes(words, frequent, place)
-                around = contexts(ids, bounds)
+            rows, ids, sizes = [], [], []
+            for i, j, words, bounds, _ in word_slices(batch.column(1)):
+                own = classes(words, frequent, place).astype(np.uint8)
+                for r in range(j - i):
+                    if bounds[r] < bounds[r + 1]:
+                        rows.append(i + r)
+                        ids.append(own[bounds[r] : bounds[r + 1]].tobytes())
+                        sizes.append(len(ids[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())], ["place", "ids", "n"])
+
+    return run
+
+
+_WEIGHTS = "shard bigint, targets bigint, weights binary"
+
+
+def _weights(shard: int, targets: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([targets], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["shard", "targets", "weights"])
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Rows (shard, *names) that come in the order of shards, by shard; one row is held."""
+    rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("shard", *names)), strict=True))
+    return ((shard, (row[1:] for row in own)) for shard, own in groupby(rows, key=lambda row: row[0]))
+
+
+def _trainer(shared):
+    def run(batches):
+        flat, squares = shared.value
+        for shard, rows in _by_shard(batches, "ids"):
+            network, random, seen = Network.of(flat, squares), np.random.default_rng(3), 0
+            for ids, around in _together(np.frombuffer(r[0], np.uint8) for r in rows):
                 targets = random.permutation(len(ids))
                 for at in range(0, len(targets), BATCH):
                     part = targets[at : at + BATCH]
                     network.train(around[part], ids[part], RATE)
                 seen += len(targets)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([network.flat().astype(np.float64).tobytes()], pa.binary())], ["targets", "weights"])
+            yield _weights(shard, seen, network.flat().astype(np.float64))
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = None, 0
-    for batch in batches:
-        for n, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(weights) * n
-            total, seen = part if total is None else total + part, seen + n
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([(total / seen).tobytes()], pa.binary())], ["targets", "weights"])
+    for shard, rows in _by_shard(batches, "targets", "weights"):
+        total, seen = 0.0, 0
+        for n, weights in rows:
+            total, seen = total + np.frombuffer(weights) * n, seen + n
+        yield _weights(shard, seen, total / seen)
 
 
 def fit(df: DataFrame, key: str, text: str):
     """(weights, frequent words, their classes, counts of all words) for a corpus."""
+    spark = df.sparkSession
     counts = word_counts(df, text)
     frequent, place = frequent_words(counts)
-    ids = df.where(F.col(text).isNotNull()).select(F.col(key)).orderBy(F.xxhash64(key), key).limit(WARM_DOCUMENTS)
-    sample = df.select(key, text).join(F.broadcast(written(ids, "sample").distinct()), key, "left_semi").select(F.col(text).alias("text"))
-    texts = sample.limit(4 * WARM_DOCUMENTS).toArrow()["text"].combine_chunks()
-    warm = _warm(texts, frequent, place)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((warm.flat(), warm.squares, frequent, place))
-    parts = df.select(text).mapInArrow(_trainer(shared), _WEIGHTS).repartition(MERGERS).mapInArrow(_average, _WEIGHTS)
+    known = spark.sparkContext.broadcast((frequent, place))
+    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("place"), F.col(text).alias("text"))
+    encoded = written(rows.mapInArrow(released(_encoder(known)), "place bigint, ids binary, n bigint"), "classes")
+    # Which rows are the sample is decided by the hash; of equal ones it does not matter which.
+    sample = encoded.where(F.col("n") <= WARM_TOKENS).orderBy("place", "n").limit(WARM_DOCUMENTS).select("ids").collect()
+    warm = _warm([np.frombuffer(bytes(r["ids"]), np.uint8) for r in sample])
+    shared = spark.sparkContext.broadcast((warm.flat(), warm.squares))
+    total = encoded.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    shards = max(1, -(-total // SHARD_TOKENS))
+    dealt = encoded.select(F.pmod(F.xxhash64("place"), F.lit(shards)).alias("shard"), "place", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "place", "ids")
+    parts = dealt.select("shard", "ids").mapInArrow(released(_trainer(shared)), _WEIGHTS)
+    merged = parts.withColumn("merger", F.col("shard") % MERGERS).repartition(MERGERS, "merger").sortWithinPartitions("merger", "shard")
+    found = merged.select(F.col("merger").alias("shard"), "targets", "weights").mapInArrow(_average, _WEIGHTS).collect()  # MERGERS networks at most
     total, seen = np.zeros(len(warm.flat())), 0
-    for row in parts.toLocalIterator():  # MERGERS networks at most, one at a time
+    for row in sorted(found, key=lambda r: r["shard"]):
         total, seen = total + np.frombuffer(bytes(row["weights"])) * row["targets"], seen + row["targets"]
     return (total / seen if seen else warm.flat()), frequent, place, counts
 

@@ -782,3 +782,17 @@ def test_context_beats_frequencies_on_held_out_texts(spark, sf):
     plain.out[:], plain.prior = 0, np.log((own + 1) / (own + 1).sum()).astype(np.float32)
     means = [r["pll"] / r["n"] for r in (p.score(held_out, model=(w, frequent, place, counts)).selectExpr("sum(pll) pll", "sum(n_tokens) n").first() for w in (flat, plain.flat()))]
     assert means[0] > means[1] + 0.1
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark, sf, monkeypatch):
+    from quadweave.llm import pseudo_likelihood as p
+
+    monkeypatch.setattr(p, "SHARD_TOKENS", 20_000)  # several shards
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "no key"), (None, None)], "doc_id bigint, text string"))
+    found = []
+    for n in (2, 8, 31):
+        rows = p.score(docs.repartition(n)).collect()
+        found.append(sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["mean_pll"] or 0.0) for r in rows))
+    for other in found[1:]:
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(found[0], other, strict=True))
