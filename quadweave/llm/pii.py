@@ -7,14 +7,18 @@ and with N texts takes
 
     PMI(t, e) = log2(N * n(t, e) / (n(t) * n(e))),   IC(e) = log2(N / n(e)).
 
-PMI equals IC where t occurs only with e, so that t alone reveals e.  t discloses where PMI >= threshold * IC,
-also if a single text bears it out; but the m = n(t) - n(t, e) texts that have t without e weigh more the fewer
-bear the pair out: n(t) is taken as n(t) + `MISSES` * m / n(t, e)^2.  Every occurrence of a disclosing term, in
-every text that holds it, is a span of kind `term`.  Copies of a text count once.
-Sanitising generalises base spans to their kind, and removes disclosing terms.
+PMI equals IC where t and e occur only together, so that either reveals the other.  A few texts bear out little: PMI is an
+estimate, and is discounted by its support, as is usual for mutual information of rare words (least = min(n(t), n(e))):
 
-A term that fails with n(t, e) put as the number of texts that have it and any entity, and n(e) as 1, fails with every
-entity; that leaves out common words before pairs are made.  Entities of one text need no pairs at all.
+    discounted(t, e) = PMI(t, e) * n(t, e) / (n(t, e) + 1) * least / (least + 1).
+
+t discloses where discounted >= threshold * IC.  With the threshold of 0.6 a pair needs four texts at least, whatever N is, so words that
+merely stand once beside an address tell nothing.  Every occurrence of a disclosing term, in every text that holds it, is a
+span of kind `term`.  Copies of a text count once.  Sanitising generalises base spans to their kind, and of disclosing terms
+those with digits to [NUMBER] and those with a capital to [NAME]; others are removed.
+
+No pair is made that could not disclose: the entity and the term need the least support that the discount asks for, and common words fall by the
+best that any entity could do for them.  A text's pairs are made as a stream that is summed before it is shuffled.
 
 Base matches are leftmost and do not overlap within a kind; one that fails its test is dropped and what it
 covers is not searched again.  The patterns below are those of the contract, written so that they need time
@@ -47,10 +51,9 @@ PATTERNS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP_VALID = rf"\A{_BYTE}(?:\.{_BYTE}){{3}}\z"
 
-#: Words of two and more letters, digits and marks.
-WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}][\p{L}\p{M}\p{N}'’]++(?![\p{L}\p{N}_])"
-MISSES = 4
-THRESHOLD = 0.9
+#: Words of letters, digits and marks.
+WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}][\p{L}\p{M}\p{N}'’]*+(?![\p{L}\p{N}_])"
+THRESHOLD = 0.6
 #: Rows up to which a list of terms or of texts is broadcast.
 BROADCAST_TERMS = 100_000
 #: Bytes of spans up to which they are broadcast to the texts.
@@ -165,41 +168,54 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_TERMS else table
 
 
-def _discloses(total: Column, n_te: Column, n_t: Column, n_e: Column, threshold: float) -> Column:
-    shrunk = n_t + MISSES * (n_t - n_te) / (n_te * n_te)
+def least_support(threshold: float) -> int:
+    """Texts that a pair needs to disclose: PMI is IC at most, and the discount (n / (n + 1))^2 at most."""
+    if not 0 < threshold < 1:
+        raise ValueError("threshold lies between 0 and 1")
+    n = 1
+    while (n / (n + 1)) ** 2 < threshold:
+        n += 1
+    return n
+
+
+def discloses(total: Column, n_te: Column, n_t: Column, n_e: Column, threshold: float) -> Column:
     information = F.log2(total / n_e)
-    return (information > 0) & (F.log2(total * n_te / (shrunk * n_e)) >= threshold * information)
+    least = F.least(n_t, n_e)
+    discounted = F.log2(total * n_te / (n_t * n_e)) * n_te / (n_te + 1) * least / (least + 1)
+    return (information > 0) & (discounted >= threshold * information)
 
 
 def _told(found: DataFrame, others: DataFrame, total: Column, threshold: float) -> DataFrame:
     """(hash, told): the disclosing terms of every distinct text that has some."""
-    one = F.lit(1)
-    held = found.select("hash", F.explode("words").alias("term"))
-    beside = held.groupBy("term").agg(F.count("*").alias("m_t"))
-    elsewhere = others.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_o"))
-    counts = beside.join(elsewhere, "term", "left").select("term", "m_t", (F.col("m_t") + F.coalesce("n_o", F.lit(0))).alias("n_t"))
-    possible = written(counts.where(_discloses(total, F.col("m_t"), F.col("n_t"), one, threshold) | (F.col("m_t") == F.col("n_t"))), "possible")
-    rare = written(held.join(_sized(possible), "term"), "rare")
+    support = least_support(threshold)
     mentions = written(found.select("hash", F.explode("entities").alias("entity")), "mentions")
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("hash").alias("hash"))
-    alone = written(entities.where("n_e = 1").select("hash").distinct(), "alone")
-    shared = written(mentions.join(entities.where("n_e > 1").select("entity", "n_e"), "entity"), "shared")
-    by_alone = rare.where(_discloses(total, one, F.col("n_t"), one, threshold)).join(_sized(alone), "hash", "left_semi").select("term", "m_t", "n_t")
-    pairs = rare.join(shared, "hash").groupBy("term", "entity").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("m_t").alias("m_t"), F.first("n_t").alias("n_t"))
-    by_pairs = pairs.where(_discloses(total, F.col("n_te"), F.col("n_t"), F.col("n_e"), threshold)).select("term", "m_t", "n_t")
-    telling = written(by_alone.unionByName(by_pairs).distinct(), "telling")
-    rows = rare.select("hash", "term").join(_sized(telling.select("term")), "term", "left_semi").select("hash", "term")
-    outside = written(telling.where("n_t > m_t").select("term"), "outside")
-    if not outside.isEmpty():
-        more = others.select("hash", F.explode(_words(F.col("text"))).alias("term")).join(_sized(outside), "term", "left_semi")
-        rows = rows.unionByName(more.select("hash", "term"))
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    shared = written(mentions.join(_sized(written(entities, "entities")), "entity"), "shared")
+    beside = found.join(_sized(written(shared.select("hash").distinct(), "beside")), "hash", "left_semi")
+    held = beside.select("hash", F.explode("words").alias("term"))
+    met = _sized(written(held.groupBy("term").agg(F.count("*").alias("m_t")).where(F.col("m_t") >= support), "met"))
+    words = lambda texts, column: texts.select("hash", F.explode(column).alias("term"))
+    everywhere = words(found, F.col("words")).unionByName(words(others, _words(F.col("text"))))
+    counts = everywhere.join(met, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")).join(met, "term")
+    # The best that any entity could do: n(t, e) and n(e) are m_t at most, and n(e) has the least support.
+    best = 1 - F.log2(F.col("n_t") / F.col("m_t")) / F.log2(total / support)
+    possible = _sized(written(counts.where((total > support) & (best >= threshold)), "possible"))
+    rare = held.join(possible, "term")
+    pairs = rare.join(shared, "hash").groupBy("term", "entity").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    telling = written(pairs.where(discloses(total, F.col("n_te"), F.col("n_t"), F.col("n_e"), threshold)).select("term").distinct(), "telling")
+    rows = everywhere.join(_sized(telling), "term", "left_semi")
     return written(rows.groupBy("hash").agg(F.collect_set("term").alias("told")), "told")
 
 
+def _identity(text: Column) -> Column:
+    """128 bits that stand for a text: 64 would meet by chance in a large corpus."""
+    return F.unhex(F.md5(text))
+
+
 def spans_by_text(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(hash, base, terms) of every distinct text that has spans; hash is xxhash64 of the text."""
+    """(hash, base, terms) of every distinct text that has spans; hash is `_identity` of the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    texts = df.select(F.xxhash64(whole).alias("hash"), whole.alias("text"))
+    texts = df.select(_identity(whole).alias("hash"), whole.alias("text"))
     entity = lambda s: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(":"), F.lower(s["value"]))
     held = written(texts.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0), "held").dropDuplicates(["hash"])
     shown = held.select("hash", "base", _masked(F.col("text"), F.col("base")).alias("text"), F.array_distinct(F.transform("base", entity)).alias("entities"))
@@ -226,20 +242,25 @@ def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text", names: tu
     spans = spans.select(F.col("hash").alias(h), F.col("base").alias(b), F.col("terms").alias(t))
     if size <= BROADCAST_BYTES:  # else texts and spans meet by a shuffle
         spans = F.broadcast(spans)
-    joined = rows.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(spans, h, "left")
+    joined = rows.withColumn(h, _identity(F.coalesce(F.col(text), F.lit("")))).join(spans, h, "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     return joined.withColumn(names[0], F.coalesce(F.col(b), none)).withColumn(names[1], F.coalesce(F.col(t), none)).drop(h, b, t)
 
 
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """All columns, with the text generalised: base spans become [KIND], disclosing terms are removed."""
+    """All columns, with the text generalised: base spans become [KIND], disclosing terms [NUMBER], [NAME] or nothing."""
     base, terms = private(df, "__base", "__terms")
     spans = with_spans(df, key, text, (base, terms), **options)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]), F.lit(""))
     whole = F.col(text)
 
+    def put(s):
+        own = F.substring(whole, s["start"] + 1, s["end"] - s["start"])
+        of_term = F.when(own.rlike(r"\p{N}"), F.lit("[NUMBER]")).when(own.rlike(r"\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
+        return F.when(s["kind"] == 4, of_term).otherwise(F.element_at(names, s["kind"] + 1))
+
     def step(state, s):
-        shown = F.concat(F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))
+        shown = F.concat(F.substring(whole, state["at"] + 1, s["start"] - state["at"]), put(s))
         # A span inside what is already replaced only moves the end.
         parts = F.when(s["start"] >= state["at"], F.concat(state["parts"], F.array(shown))).otherwise(state["parts"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))

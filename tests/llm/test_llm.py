@@ -167,20 +167,67 @@ def test_telling_terms(spark):
     assert all("Zorblax" not in clean[i] and "[EMAIL]" in clean[i] and "order" in clean[i] for i in range(6))
     assert all(clean[i] == texts[i] for i in range(6, 56))
     near, n = 6, len(texts)  # by hand: Zorblax is in 6 texts, all with the entity; agent is in all 56
-    assert math.log2(n * near / (near * near)) >= pii.THRESHOLD * math.log2(n / near) > math.log2(n * near / (56 * near))
+    discount = (near / (near + 1)) ** 2
+    assert math.log2(n * near / (near * near)) * discount >= pii.THRESHOLD * math.log2(n / near) > math.log2(n * near / (56 * near)) * discount
+    assert "[NAME]" in clean[0] and [pii.least_support(t) for t in (0.2, 0.6, 0.8)] == [1, 4, 9]
 
 
-def test_an_entity_of_one_text_has_telling_terms(spark):
+def test_words_beside_an_address_that_is_met_once_tell_nothing(spark):
     from quadweave.llm import pii
 
     texts = ["Contact agent Zorblax via z@corp.com about order", "Contact agent Yendor via y@corp.com about order", "Yendor sent one more order to y@corp.com"] + [f"the order about via contact agent number {i}" for i in range(50)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
-    assert "Zorblax" not in clean[0] and "Yendor" not in clean[1] + clean[2]
-    assert all("Contact agent" in clean[i] and "[EMAIL]" in clean[i] and "order" in clean[i] for i in (0, 1))
+    assert clean[0] == texts[0].replace("z@corp.com", "[EMAIL]") and all(clean[i] == texts[i].replace("y@corp.com", "[EMAIL]") for i in (1, 2))
     assert all(clean[i] == texts[i] for i in range(3, 53))
 
 
+def _told_by_hand(texts, threshold):
+    """Disclosing terms of each distinct text, by counting everything."""
+    texts = sorted(set(texts))
+    held = []
+    for text in texts:
+        spans, plain = _base(text), list(text)
+        for start, _, end, _ in spans:
+            plain[start:end] = "\n" * (end - start)
+        words = {w.lower() for w in re.findall(r"[^\W_][^\W_'’]*", "".join(plain))}
+        held.append((words, {f"{kind}:{text[start:end].lower()}" for start, _, end, kind in spans}))
+    n = len(texts)
+    telling = set()
+    for e in {e for _, es in held for e in es}:
+        n_e = sum(e in es for _, es in held)
+        for t in {t for ws, es in held if e in es for t in ws}:
+            n_t, n_te = sum(t in ws for ws, _ in held), sum(t in ws and e in es for ws, es in held)
+            least, ic = min(n_t, n_e), math.log2(n / n_e)
+            if ic > 0 and math.log2(n * n_te / (n_t * n_e)) * n_te / (n_te + 1) * least / (least + 1) >= threshold * ic:
+                telling.add(t)
+    return {text: ws & telling for text, (ws, _) in zip(texts, held, strict=True) if ws & telling}
+
+
+@pytest.mark.parametrize(("seed", "threshold", "broadcast"), [(1, 0.6, True), (2, 0.3, False), (3, 0.45, True), (4, 0.2, False)])
+def test_terms_tell_by_discounted_information(spark, monkeypatch, seed, threshold, broadcast):
+    from quadweave.llm import pii
+
+    if not broadcast:
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    r = random.Random(seed)
+    words, entities = [f"w{chr(97 + i % 26)}{i}" for i in range(40)], [f"e{i}@x.org" for i in range(6)]
+    texts = []
+    for _ in range(150):
+        own = r.choices(words[8:], k=r.randint(3, 8))
+        for i in r.sample(range(6), r.choice((0, 0, 1, 2))):
+            own += [entities[i]] + [words[i]] * (r.random() < 0.9)
+        r.shuffle(own)
+        texts.append(" ".join(own) + " " * r.randint(0, 1))
+    texts += texts[:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = pii.with_spans(df, threshold=threshold).collect()
+    want = _told_by_hand(texts, threshold)
+    assert want and {s["text"]: {t["value"] for t in s["terms"]} for s in spans if s["terms"]} == want
+    assert all(s["text"][t["start"] : t["end"]].lower() == t["value"] for s in spans for t in s["terms"])
+
+
 def test_telling_terms_go_wherever_they_stand(spark):
     from quadweave.llm import pii
 
