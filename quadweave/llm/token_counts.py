@@ -1,13 +1,15 @@
 """Token counts by a two-tier lookup, without moving pre-tokens between executors.
 
-The first tier is a table of the corpus's most frequent pre-tokens with their lengths in tokens, broadcast
-to every worker; its size is fixed (`TABLE_ENTRIES`).  What it lacks is encoded by the library and kept in
-a bounded cache of the worker.  The table decides only how fast a length is found, never which.
+The first tier is a table of frequent pre-tokens with their lengths in tokens, broadcast to every worker as a few numpy arrays: sorted
+hashes, lengths of one byte, and the pre-tokens' bytes, by which a hit is confirmed.  Its size is fixed (`TABLE_ENTRIES`).  The second
+tier is a bounded cache of each worker: what is met for the first time is looked up in the table, all such pre-tokens of a text at
+once, and what the table lacks is encoded by the library.  The tiers decide only how fast a length is found, never which.
 
-To find the frequent pre-tokens, every task counts the words of its rows, keeps its `SUMMARY_ENTRIES` most
-frequent, and returns them as one row; summaries of a fixed size are merged in two levels.
+Which pre-tokens are frequent is told by a bounded sample: about `SAMPLE_ROWS` texts of at most `SAMPLE_BYTES`, chosen by a hash of key and text.
+No pre-token of a text leaves its task, and the plan has no shuffle.
 
-Defined results: a null text counts as empty, with no bytes and no tokens.  Repeated rows give repeated rows.
+Defined results: a null text counts as empty, with no bytes and no tokens.  Repeated rows give repeated rows.  Extra columns are ignored,
+a key may be called like any column of the result but for those that it would hide, which is an error.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,21 +18,20 @@ import json
 import os
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.llm.scratch import small_batches
 
 TABLE_ENTRIES = 32_768
-SUMMARY_ENTRIES = 8_192
-#: Words counted exactly in a task; beyond that the rarer half is dropped.
-COUNTERS = 200_000
+SAMPLE_ROWS = 2_000
+SAMPLE_BYTES = 1 << 16
 CACHE_ENTRIES = 300_000
 SLICE_CHARS = 1_000_000
-MERGERS = 64
 #: The pre-token pattern of byte-level tokenizer files (a fixed value of that format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -38,8 +39,8 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 class _Lengths(dict):
     """Lengths of pre-tokens; what is unknown counts as nothing and is noted."""
 
-    def __init__(self, known):
-        super().__init__(known)
+    def __init__(self):
+        super().__init__()
         self.missing: list[str] = []
 
     def __missing__(self, piece: str) -> int:
@@ -47,10 +48,35 @@ class _Lengths(dict):
         return 0
 
 
+class Table:
+    """Pre-tokens and their lengths as arrays, which are pickled and held as they are."""
+
+    def __init__(self, lengths: dict[str, int]):
+        known = {p.encode(): n for p, n in lengths.items() if n < 256}
+        rows = sorted((xxhash.xxh3_64_intdigest(p), p, n) for p, n in known.items())
+        self.hashes = np.array([h for h, _, _ in rows], np.uint64)
+        self.lengths = np.array([n for _, _, n in rows], np.uint8)
+        self.ends = np.cumsum([0, *(len(p) for _, p, _ in rows)]).astype(np.int32)
+        self.bytes = b"".join(p for _, p, _ in rows)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, pieces: list[str]) -> list[int | None]:
+        """The length of each pre-token that the table has."""
+        if not len(self):
+            return [None] * len(pieces)
+        coded = [p.encode() for p in pieces]
+        hashes = np.array([xxhash.xxh3_64_intdigest(p) for p in coded], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        same = self.hashes[at] == hashes
+        return [int(self.lengths[i]) if hit and self.bytes[self.ends[i] : self.ends[i + 1]] == p else None for i, hit, p in zip(at.tolist(), same.tolist(), coded, strict=True)]
+
+
 class JsonCounter:
     """Counts of a byte-level tokenizer file; files of other kinds are counted text by text."""
 
-    def __init__(self, path: str, table: dict[str, int]):
+    def __init__(self, path: str, table: Table):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel; idle threads cost memory
@@ -72,7 +98,7 @@ class JsonCounter:
         self.pieces_only.no_truncation()
         if self.by_piece:
             self.pieces_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.table, self.lengths = table, _Lengths(table)
+        self.table, self.lengths = table, _Lengths()
 
     def _count_pieces(self, pieces: list[str]) -> int:
         lengths = self.lengths
@@ -80,12 +106,17 @@ class JsonCounter:
         if lengths.missing:
             missed = Counter(lengths.missing)
             lengths.missing = []
-            if len(lengths) + len(missed) > len(self.table) + CACHE_ENTRIES:
-                self.lengths = lengths = _Lengths(self.table)
-            fresh = list(missed)
+            if len(lengths) + len(missed) > CACHE_ENTRIES:
+                self.lengths = lengths = _Lengths()
+            fresh = []
+            for piece, n in zip(missed, self.table.find(list(missed)), strict=True):
+                if n is None:
+                    fresh.append(piece)
+                else:
+                    lengths[piece] = n
             for piece, got in zip(fresh, self.pieces_only.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
                 lengths[piece] = len(got)
-                total += missed[piece] * len(got)
+            total += sum(n * lengths[piece] for piece, n in missed.items())
         return total
 
     def _count_plain(self, text: str) -> int:
@@ -123,55 +154,19 @@ class PieceCounter:
         return len(self.library.encode(text, num_threads=1))
 
 
-def _top(counts: Counter, n: int) -> pa.RecordBatch:
-    kept = counts.most_common(n)
-    return pa.RecordBatch.from_pydict({"words": pa.array([[w for w, _ in kept]], pa.list_(pa.string())), "counts": pa.array([[c for _, c in kept]], pa.list_(pa.int64()))})
-
-
-_SUMMARY = "words array<string>, counts array<bigint>"
-
-
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for value in batch.column(0):
-            counts.update((value.as_py() or "").split())
-            if len(counts) > COUNTERS:
-                counts = Counter(dict(counts.most_common(COUNTERS // 2)))
-    yield _top(counts, SUMMARY_ENTRIES)
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for words, numbers in zip(batch.column(0), batch.column(1), strict=True):
-            for w, n in zip(words.as_py(), numbers.as_py(), strict=True):
-                counts[w] += n
-            if len(counts) > COUNTERS:
-                counts = Counter(dict(counts.most_common(COUNTERS // 2)))
-    yield _top(counts, 2 * SUMMARY_ENTRIES)
-
-
-def frequent_lengths(df: DataFrame, path: str, text: str = "text", entries: int = TABLE_ENTRIES) -> dict[str, int]:
+def frequent_lengths(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", entries: int = TABLE_ENTRIES) -> Table:
     """The table of the first tier: at most `entries` pre-tokens with their lengths."""
     import regex
 
-    summaries = df.select(F.col(text)).mapInArrow(_summarise, _SUMMARY)
-    merged = summaries.repartition(MERGERS).mapInArrow(_merge, _SUMMARY)
-    counts: Counter = Counter()
-    for row in merged.toLocalIterator():  # MERGERS rows of a fixed size
-        for w, n in zip(row["words"], row["counts"], strict=True):
-            counts[w] += n
-    pieces: Counter = Counter()
-    cut = regex.compile(BYTE_LEVEL_PATTERN).findall
-    for word, n in counts.items():
-        for piece in cut(" " + word):  # words mostly follow a space
-            pieces[piece] += n
-    counter = JsonCounter(path, {})
+    counter = JsonCounter(path, Table({}))
     if not counter.by_piece:
-        return {}
-    kept = [piece for piece, _ in pieces.most_common(entries)]
-    return {piece: len(got) for piece, got in zip(kept, counter.pieces_only.encode_batch_fast(kept, add_special_tokens=False), strict=True)}
+        return Table({})
+    rows = df.select(F.col(text).alias("text"), F.xxhash64(key, text).alias("place")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    pieces, cut = Counter(), regex.compile(BYTE_LEVEL_PATTERN).findall
+    for row in rows.orderBy("place").limit(SAMPLE_ROWS).select("text").toLocalIterator():
+        pieces.update(cut(row["text"]))
+    kept = sorted(pieces, key=lambda p: (-pieces[p], p))[:entries]
+    return Table({piece: len(got) for piece, got in zip(kept, counter.pieces_only.encode_batch_fast(kept, add_special_tokens=False), strict=True)})
 
 
 _made: dict[str, tuple[str, object]] = {}
@@ -186,8 +181,10 @@ def _worker_counter(path: str, table, run_id: str) -> JsonCounter | PieceCounter
 
 def token_counts(df: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_bytes` (UTF-8), `n_tokens` and `over_limit` of every row."""
+    if key.lower() in ("n_bytes", "n_tokens", "over_limit", "__text"):
+        raise ValueError(f"the key {key} is called like a column of the result")
     small_batches(df.sparkSession)
-    table = {} if path.endswith(".model") else frequent_lengths(df, path, text)
+    table = Table({}) if path.endswith(".model") else frequent_lengths(df, path, key, text)
     shared, run_id = df.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches):

@@ -560,7 +560,24 @@ def test_a_small_table_gives_the_same_counts():
 
     text = "some words and some more, 12 of them\n\nand <|endoftext|> again " * 50
     path = P.path("byte_bpe_50k.json")
-    assert tc.JsonCounter(path, {}).count(text) == tc.JsonCounter(path, {" some": 1, " and": 1}).count(text) == len(tc.JsonCounter(path, {}).library.encode(text, add_special_tokens=False))
+    none = tc.Table({})
+    some = tc.Table({" some": 1, " and": 1, "": 0, " long": 300})
+    assert some.find([" and", "and", " some", " long", ""]) == [1, None, 1, None, 0] and none.find(["a"]) == [None]
+    assert tc.JsonCounter(path, none).count(text) == tc.JsonCounter(path, some).count(text) == len(tc.JsonCounter(path, none).library.encode(text, add_special_tokens=False))
+
+
+def test_token_counts_move_no_pre_tokens(spark, sf):
+    from quadweave.llm import token_counts as tc
+
+    path = P.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = tc.token_counts(docs, path, 512)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    table = tc.frequent_lengths(docs, path)
+    assert 0 < len(table) <= tc.TABLE_ENTRIES and len(tc.frequent_lengths(docs, path, entries=7)) == 7
+    for name in ("n_tokens", "Over_Limit"):
+        with pytest.raises(ValueError, match="called like"):
+            tc.token_counts(docs.withColumnRenamed("doc_id", name), path, 512, key=name)
 
 
 # 9
