@@ -141,3 +141,40 @@ def profiles(merged: DataFrame, data: DataFrame) -> list[Profile]:
             entry["datatype"] = r["datatype"].lower()
         found.setdefault(r["keyword"], {}).setdefault(r["class"], {})[r["property"]] = entry
     return [Profile(k, c, k, said.get(k, {}).get("versionIRI"), said.get(k, {}).get("conformsTo")) for k, c in sorted(found.items())]
+
+
+# XSD types of the primitive types of profiles; texts need no mark.
+XSD = "http://www.w3.org/2001/XMLSchema#"
+XSD_TYPES = {"Integer": "integer", "Float": "float", "Boolean": "boolean", "String": "string", "Date": "date", "DateTime": "dateTime", "Decimal": "decimal", "MonthDay": "gMonthDay"}
+
+
+def flattened(data: DataFrame) -> DataFrame:
+    """(name, kind, description, multiplicity) of classes and properties over all documents, for people; the first by load order counts."""
+    typed = data.where(F.lower("KEY") == "type")
+    classes_ = typed.where(local(F.col("VALUE")) == "Class").select("ID", F.lit("class").alias("kind"))
+    bound = data.where(F.col("KEY").isin("domain", "domainIncludes")).select("ID").union(typed.where(local(F.col("VALUE")) == "Property").select("ID"))
+    names = classes_.unionByName(bound.select("ID", F.lit("property").alias("kind"))).select(local(F.col("ID")).alias("name"), "kind").distinct()
+    first = lambda key: F.min_by("VALUE", F.when(F.col("KEY") == key, F.col(ORDER)))
+    said = data.where(F.col("KEY").isin("comment", "multiplicity")).groupBy(local(F.col("ID")).alias("name")).agg(first("comment").alias("description"), F.substring_index(first("multiplicity"), "M:", -1).alias("multiplicity"))
+    return names.join(said, "name", "left").select("name", "kind", "description", F.when(F.col("kind") == "property", F.col("multiplicity")).alias("multiplicity"))
+
+
+def key_metadata(data: DataFrame) -> DataFrame:
+    """(property, kind, namespace, datatype) of the properties of all documents, the first by load order; texts have the datatype "", links none."""
+    places = data.groupBy(_DOC).agg(F.min(ORDER).alias("place"))
+    rows = definitions(data).join(places, _DOC)
+    types = F.create_map(*(F.lit(x) for name, xsd in XSD_TYPES.items() for x in (name, "" if xsd == "string" else f"{XSD}{xsd}")))
+    datatype = F.when(F.col("kind") == "Attribute", F.try_element_at(types, F.col("datatype")))
+    space = F.regexp_extract("ID", r"^(.*[#/])[^#/]*\z", 1)
+    facts = F.struct("kind", F.nullif(space, F.lit("")).alias("namespace"), datatype.alias("datatype"))
+    return rows.groupBy(local(F.col("ID")).alias("property")).agg(F.min_by(facts, F.struct("place", _DOC)).alias("f")).select("property", "f.*")
+
+
+def writer_arguments(data: DataFrame) -> dict:
+    """What `terms.quads` takes of profiles: namespaces, enumerations and datatypes by property; profiles fit the driver."""
+    rows = key_metadata(data).collect()
+    return {
+        "namespaces": {r["property"]: r["namespace"] for r in rows if r["namespace"]},
+        "enumerations": tuple(sorted(r["property"] for r in rows if r["kind"] == "Enumeration")),
+        "datatypes": {r["property"]: r["datatype"] or None for r in rows if r["datatype"] is not None},
+    }

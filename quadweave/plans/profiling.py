@@ -111,3 +111,13 @@ _TYPES_OF = "SELECT DISTINCT 'K' || (p_size % 3) % 2 AS keyword, p_size % 3 AS n
 @_query(f"SELECT keyword, property, 'Attribute' AS kind, string_agg('P-' || n, ',' ORDER BY n) AS sources FROM ({_TYPES_OF}) GROUP BY 1, 2 UNION ALL SELECT keyword, 'Part.brand', 'Enumeration', string_agg(DISTINCT 'P-' || n, ',' ORDER BY 'P-' || n) FROM ({_TYPES_OF}) GROUP BY 1")
 def profile_bundle(spark, sf):
     return bundles.bundle(_profile_documents(spark, sf)).select("keyword", "property", "kind", F.array_join("sources", ",").alias("sources"))
+
+
+@_query("SELECT DISTINCT 'Part' AS name, 'class' AS kind, NULL AS multiplicity FROM part UNION ALL SELECT DISTINCT 'Part.brand', 'property', '1..1' FROM part UNION ALL SELECT DISTINCT 'Part.unbound', 'property', NULL FROM part UNION ALL SELECT DISTINCT 'Part.' || regexp_replace(p_type, '[^A-Za-z]', '', 'g'), 'property', '0..1' FROM part")
+def schema_flattened(spark, sf):
+    return bundles.flattened(_profile_documents(spark, sf)).select("name", "kind", "multiplicity")
+
+
+@_query("SELECT DISTINCT 'Part.brand' AS property, 'Enumeration' AS kind, 'http://x#' AS namespace, NULL AS datatype FROM part UNION ALL SELECT DISTINCT 'Part.unbound', 'Enumeration', 'http://x#', NULL FROM part UNION ALL SELECT DISTINCT 'Part.' || regexp_replace(p_type, '[^A-Za-z]', '', 'g'), 'Attribute', 'http://x#', 'http://www.w3.org/2001/XMLSchema#integer' FROM part")
+def schema_key_metadata(spark, sf):
+    return bundles.key_metadata(_profile_documents(spark, sf))

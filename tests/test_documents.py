@@ -228,3 +228,21 @@ def test_all_differences_are_written(spark, tmp_path):
     diff.write_diff(old, new, str(tmp_path / "d"))
     parts = sorted((tmp_path / "d").glob("part-*"))
     assert "".join(p.read_text() for p in parts).splitlines() == text.splitlines()
+
+
+def test_violations_with_what_is_known_of_the_run(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from quadweave.sinks import violations as v
+    from quadweave.sources import workbooks
+
+    rules = [Rule("s", "minLength", "Bay", "name", 2), Rule("t", "maxCount", "Bay", "name", 1), Rule("t", "odd", "Bay", "name")]
+    found = validate(model.graph(spark, ROWS), rules[:2])
+    meta = v.run_metadata(spark, rules, ["Q"], started=datetime.now(timezone.utc), source="one.xml")
+    assert {("node_shapes", "2"), ("constraints", "3"), ("skipped_shapes", "Q"), ("unknown_components", "odd"), ("source", "one.xml")} <= _set(meta, "KEY", "VALUE")
+    v.write_violations(found, str(tmp_path / "v"), meta)
+    assert spark.read.csv(str(tmp_path / "v"), header=True).count() == found.count() == 1
+    assert spark.read.csv(str(tmp_path / "v_meta"), header=True).where("KEY = 'skipped_shapes'").first()["VALUE"] == "Q"
+    v.violations_workbook(found, str(tmp_path / "w.xlsx"), meta)
+    cells = workbooks.registered(spark).read.format("sheets").load(str(tmp_path / "w.xlsx"))
+    assert ("violations", "c") in _set(cells, "SHEET", "ID") and _set(cells.where("SHEET = 'metadata' AND VALUE = 'Q'"), "KEY") == {("VALUE",)}

@@ -173,6 +173,12 @@ def test_bundles_of_profiles(spark):
     assert _set(bundles.metadata(g), "INSTANCE_ID", "KEY", "VALUE") >= {("d1", "versionIRI", "http://v/1"), ("d2", "keyword", "EQ"), ("d3", "keyword", "TP"), ("d3", "title", "TP"), ("d3", "modified", "2020"), ("d3", "versionInfo", "02")}
     assert _set(bundles.orphans(g), "INSTANCE_ID", "property") == {("d1", "lost")}
     assert [(r["property"], r["values"]) for r in bundles.enumerations(g).collect()] == [("Base.kind", ["Kind.a", "Kind.b"])]
+    from quadweave.functions import terms
+
+    given = bundles.writer_arguments(g)
+    assert given["datatypes"] == {"Line.x": "http://www.w3.org/2001/XMLSchema#float", "lost": None} and given["enumerations"] == ("Base.kind",)
+    lines = terms.quads(model.graph(spark, [("l", "Line.x", "1", None), ("l", "Base.kind", "Kind.a", None), ("l", "lost", "t", None)]), **given)
+    assert {r["line"] for r in lines.collect()} == {f'<urn:uuid:l> <{U}Line.x> "1"^^<http://www.w3.org/2001/XMLSchema#float> .', f"<urn:uuid:l> <{U}Base.kind> <http://iec.ch/TC57/CIM100#Kind.a> .", f'<urn:uuid:l> <{U}lost> "t" .'}
     header = model.graph(spark, of("h", [("Head", "type", cls), ("Head", "stereotype", "http://y#concrete"), ("Head.v", "domain", U + "Head"), ("Head.v", "dataType", U + "String"), *base[1:3], ("Line.to", "domain", U + "Line"), ("Line.to", "dataType", U + "String")]))
     merged = bundles.bundle(g, header)
     got = {(r["keyword"], r["class"], r["property"]): (r["kind"], tuple(r["sources"])) for r in merged.collect()}
