@@ -185,7 +185,7 @@ def shape_parts_many(spark, sf):
     return _check(spark, sf, ("Customer",), *rules, columns=("ID", "SOURCE_SHAPE"))
 
 
-@_query("SELECT 'Order-' || o_orderkey AS ID, 'Customer-' || o_custkey AS VALUE FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE NOT (c_acctbal >= 0 OR length(n_name) > 6)")
+@_query("SELECT 'Order-' || o_orderkey AS ID, 'Customer-' || o_custkey AS VALUE FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE NOT (c_acctbal >= 0 OR length(n_name) > 8)")
 def shape_node_nested(spark, sf):
     """Orders whose customer neither has a balance nor is of a nation with a long name."""
     rules = [
@@ -193,7 +193,7 @@ def shape_node_nested(spark, sf):
         Rule("s", "or", "nodes of customer", parent="customer", name="either"),
         Rule("s", "minInclusive", "nodes of customer", "Customer.c_acctbal", 0, parent="either", alternative=0),
         Rule("s", "node", "nodes of customer", "Customer.Nation", parent="either", alternative=1, name="nation"),
-        Rule("s", "minLength", "nodes of nation", "Nation.n_name", 7, parent="nation"),
+        Rule("s", "minLength", "nodes of nation", "Nation.n_name", 9, parent="nation"),
     ]
     return _check(spark, sf, ("Order", "Customer", "Nation"), *rules)
 
