@@ -39,12 +39,17 @@ def _cell(view: DataFrame, name: str) -> Column:
 def _names(names: list[str]) -> list[str]:
     """Sheets' names: 31 characters at most, without some, and no two alike."""
     out: list[str] = []
+    used: set[str] = set()
+    numbers: dict[str, int] = {}  # of each stem the last number: smaller ones are taken
     for name in names:
         stem = "".join("_" if c in "[]:*?/\\" else c for c in name)[:31] or "_"
-        found, n = stem, 1
-        while found.lower() in {o.lower() for o in out}:
+        n = numbers.get(stem, 1)
+        found = stem
+        while found.lower() in used:
             n += 1
             found = f"{stem[: 28 - len(str(n))]} ({n})"
+        numbers[stem] = n
+        used.add(found.lower())
         out.append(found)
     return out
 

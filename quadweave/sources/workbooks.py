@@ -1,7 +1,7 @@
 """Sheets of workbooks, and CSV tables in archives, as a data source: spark.read.format("sheets").
 
-A partition is a sheet of a workbook, or a CSV member of an archive; it is read row by row.  A workbook's shared texts are held by each task that reads
-one of its sheets.  The first row names columns; every further cell that is not empty is a row (SHEET, ROW, ID, KEY, VALUE, _ord), ID being the cell in the
+A partition is a sheet of a workbook, or of very many some that follow each other, or a CSV member of an archive; it is read row by row.  A workbook's
+directory and shared texts are read once by each task that reads sheets of it, and held.  The first row names columns; every further cell that is not empty is a row (SHEET, ROW, ID, KEY, VALUE, _ord), ID being the cell in the
 column of that name.  Cells may be left out (their references tell), columns without a name are left out, and numbers stay as they are written.
 
 Options: path (files or a folder of .xlsx, .csv and .zip, the latter with workbooks or CSV inside).
@@ -16,6 +16,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 BATCH = 20_000
+#: Tasks that sheets of a workbook are dealt to, at most: each reads its directory, which grows with the sheets.
+MOST_TASKS = 256
 
 
 @dataclass
@@ -45,6 +48,13 @@ class Sheet(InputPartition):
     place: int
 
 
+@dataclass
+class Together(InputPartition):
+    """Sheets of one workbook, or one CSV table."""
+
+    sheets: list[Sheet]
+
+
 def _elements(stream, start=None, end=None, data=None) -> Iterator[None]:
     """Walks over a document, giving way after every block."""
     parser = expat.ParserCreate(namespace_separator=" ")
@@ -113,9 +123,9 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
-def _rows_of_sheet(archive: zipfile.ZipFile, part: str) -> Iterator[dict[int, str]]:
-    """The cells of each row by column."""
-    shared, done, row, cell = _shared_texts(archive), [], {}, {}
+def _rows_of_sheet(archive: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[dict[int, str]]:
+    """The cells of each row by column; shared: texts that cells refer to."""
+    done, row, cell = [], {}, {}
 
     def start(name, a):
         if name == f"{_MAIN} row":
@@ -201,7 +211,7 @@ class SheetReader(DataSourceReader):
                     with _inner(archive, member) as inner:
                         yield from self._inside(uri, inner, (*members, member))
 
-    def partitions(self) -> list[Sheet]:
+    def partitions(self) -> list[Together]:
         found: list[tuple] = []
         for uri in files_of(self.path, (".xlsx", ".csv", ".zip")):
             if uri.lower().endswith(".csv"):
@@ -210,22 +220,30 @@ class SheetReader(DataSourceReader):
                 store, where = _at(uri)
                 with store.open_input_file(where) as stream:
                     found += self._inside(uri, stream)
-        return [Sheet(*f, place) for place, f in enumerate(found)]
-
-    def read(self, sheet: Sheet) -> Iterator[pa.RecordBatch]:
-        store, where = _at(sheet.uri)
+        out: list[Together] = []
+        for _, several in groupby(enumerate(found), key=lambda f: (*f[1][:2], -1 if f[1][3] else f[0])):  # sheets of one workbook
+            sheets = [Sheet(*f, place) for place, f in several]
+            each = -(-len(sheets) // MOST_TASKS)
+            out += [Together(sheets[i : i + each]) for i in range(0, len(sheets), each)]
+        return out
+
+    def read(self, together: Together) -> Iterator[pa.RecordBatch]:
+        first = together.sheets[0]
+        store, where = _at(first.uri)
         opened = [store.open_input_file(where)]
         try:
-            for i, member in enumerate(sheet.members):
+            for i, member in enumerate(first.members):
                 archive = zipfile.ZipFile(opened[-1])
-                last = not sheet.part and i == len(sheet.members) - 1
+                last = not first.part and i == len(first.members) - 1
                 opened += [archive, archive.open(member) if last else _inner(archive, member)]
-            if sheet.part:
+            if first.part:
                 opened.append(zipfile.ZipFile(opened[-1]))
-                yield from _cells(_rows_of_sheet(opened[-1], sheet.part), sheet)
+                shared = _shared_texts(opened[-1])
+                for sheet in together.sheets:
+                    yield from _cells(_rows_of_sheet(opened[-1], sheet.part, shared), sheet)
             else:
                 text = io.TextIOWrapper(opened[-1], "utf-8-sig", newline="")
-                yield from _cells(({i: v for i, v in enumerate(row) if v != ""} for row in csv.reader(text)), sheet)
+                yield from _cells(({i: v for i, v in enumerate(row) if v != ""} for row in csv.reader(text)), first)
         finally:
             for stream in reversed(opened):
                 stream.close()

@@ -246,3 +246,20 @@ def test_violations_with_what_is_known_of_the_run(spark, tmp_path):
     v.violations_workbook(found, str(tmp_path / "w.xlsx"), meta)
     cells = workbooks.registered(spark).read.format("sheets").load(str(tmp_path / "w.xlsx"))
     assert ("violations", "c") in _set(cells, "SHEET", "ID") and _set(cells.where("SHEET = 'metadata' AND VALUE = 'Q'"), "KEY") == {("VALUE",)}
+
+
+def test_workbooks_of_very_many_sheets(spark, tmp_path):
+    """Names of sheets take time in proportion to their number, and few tasks read them."""
+    import time
+
+    from quadweave.sinks import xlsx
+    from quadweave.sources import workbooks
+
+    begun = time.monotonic()
+    names = xlsx._names(["Order", "order"] * 2_000)
+    assert time.monotonic() - begun < 10
+    assert len({n.lower() for n in names}) == 4_000 and names[:5] == ["Order", "order (2)", "Order (3)", "order (4)", "Order (5)"]
+    xlsx.write_workbook({"v": spark.range(600).selectExpr("cast(id as string) ID", "cast(id as string) t")}, str(tmp_path / "w.xlsx"), most_rows=1)
+    cells = workbooks.registered(spark).read.format("sheets").load(str(tmp_path))
+    assert cells.rdd.getNumPartitions() == 200
+    assert {(r["SHEET"], r["ID"], r["VALUE"], r["_ord"] >> 40) for r in cells.collect()} == {(n, str(i), str(i), k) for k, (n, i) in enumerate(zip(xlsx._names(["v"] * 600), sorted(range(600), key=str)))}
