@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from quadweave.functions.rdfs import descriptions
 from quadweave.model import TYPE
 from quadweave.operators.filters import in_scope
+from quadweave.operators.hot import joined
 from quadweave.operators.tableview import NUMBER
 from quadweave.plans import paths
 from quadweave.steps import written
@@ -224,11 +225,17 @@ class _Run:
 
     def values(self, rules: DataFrame) -> DataFrame:
         """Values along the rules' paths of the objects they are for."""
-        rows = self.along.join(rules.where("not inverse"), F.col("KEY") == F.col("path"))
+        some = lambda facts, way: facts.join(self.sized(rules.where(way).select(F.col("path").alias("KEY")).distinct(), len(self.rules)), "KEY", "left_semi")
+        rows = some(self.along, "not inverse").withColumn("inverse", F.lit(False))
         if any(r.inverse for r in self.rules):
-            back = self.data.select(F.col("VALUE").alias("ID"), "KEY", F.col("ID").alias("VALUE"), *self.instance)
-            rows = rows.unionByName(back.join(rules.where("inverse"), F.col("KEY") == F.col("path")))
-        return rows.join(self.members, [*self.scope, "ID", "target"], "left_semi")
+            back = some(self.data.select(F.col("VALUE").alias("ID"), "KEY", F.col("ID").alias("VALUE"), *self.instance), "inverse")
+            rows = rows.unionByName(back.withColumn("inverse", F.lit(True)))
+        # Objects meet before rules do: a fact is shuffled once, and not for each of its rules.
+        own = self.members.join(self.sized(rules.select("target", *self.scope[1:]).distinct(), len(self.rules)), ["target", *self.scope[1:]], "left_semi")
+        rows = rows.join(own, ["ID", *self.instance])
+        by = rules.withColumnsRenamed({c: f"__{c}" for c in ("target", "inverse", *self.scope[1:])})
+        fits = [F.col(c) == F.col(f"__{c}") for c in ("target", "inverse", *self.scope[1:])]
+        return rows.join(by, reduce(Column.__and__, fits, F.col("KEY") == F.col("path"))).drop(*(f"__{c}" for c in ("target", "inverse", *self.scope[1:])))
 
     def walk(self) -> None:
         """Lays out the values of paths of several steps; those of repeated steps from the members of their rules' targets."""
@@ -253,12 +260,13 @@ class _Run:
         return rows.select("rule", *self.scope, "ID", part(key).alias("KEY"), part(value).alias("VALUE"), part(kind).alias("kind"))
 
     def single_values(self) -> list[DataFrame]:
-        rows = self.values(self.of(*VALUE_COMPONENTS))
-        if self.has("nodeKind"):
-            ids = self.data.select(F.col("ID").alias("VALUE"), *self.instance).distinct().withColumn("known", F.lit(True))
-            rows = rows.join(ids, ["VALUE", *self.instance], "left").withColumn("known", F.coalesce("known", F.lit(False)) | F.col("path").isin(self.to_classes))
-        else:
-            rows = rows.withColumn("known", F.lit(False))
+        rows = self.values(self.of(*VALUE_COMPONENTS)).withColumn("known", F.col("path").isin(self.to_classes))
+        if any(r.component == "nodeKind" and r.path not in self.to_classes for r in self.rules):
+            # Only these values are looked up; very many rows may have the same.
+            asked = (F.col("component") == "nodeKind") & ~F.col("known")
+            ids = self.data.select(F.col("ID").alias("VALUE"), *self.instance).distinct().withColumn("there", F.lit(True))
+            told = joined(written(rows.where(asked), "asked"), written(ids, "ids"), ["VALUE", *self.instance], "left").withColumn("known", F.coalesce("there", F.lit(False)))
+            rows = rows.where(~asked).unionByName(told.drop("there"))
         narrow = (F.col("component") == "datatype") & (F.size("items") > 0) & F.expr("VALUE rlike concat('^(?:', get(items, 0), ')\\\\z')") if self.lexical else F.lit(False)
         kind = F.when(_fails(), F.col("component")).when(narrow, F.lit("lexicalForm"))
         return [self.found(rows.withColumn("kind", kind).where(F.col("kind").isNotNull()), kind="kind")]
