@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quadweave.model import ORDER, TYPE
 from quadweave.operators.filters import filter_by_type
+from quadweave.operators.hot import joined
 from quadweave.operators.mutate import update_from_facts, update_from_view
 from quadweave.operators.references import dependency_closure
 from quadweave.operators.tableview import key_tableview, type_tableview
+from quadweave.steps import written
 
 #: The profile of state variables in its usual edition (a fixed value).
 STATE_VARIABLES = "http://entsoe.eu/CIM/StateVariables/4/1"
@@ -65,8 +67,9 @@ def loaded_models(data: DataFrame, profile: str = STATE_VARIABLES) -> DataFrame:
     header = data.where(F.col("KEY").isin("Model.profile", "Model.DependentOn"))
     roots = header.where((F.col("KEY") == "Model.profile") & (F.col("VALUE") == profile))
     reached = dependency_closure(header.where(F.col("KEY") == "Model.DependentOn").select("ID", "VALUE"), roots.select("ID"))
-    profiles = header.where(F.col("KEY") == "Model.profile").select("ID", F.col("VALUE").alias("PROFILE"), "INSTANCE_ID")
-    return reached.join(profiles, "ID").select("root", "ID", "PROFILE", "INSTANCE_ID").distinct()
+    profiles = header.where(F.col("KEY") == "Model.profile").select("ID", F.col("VALUE").alias("PROFILE"), "INSTANCE_ID").distinct()
+    # Both sides are without repeats, so the result is; very many models may depend on one part.
+    return joined(written(reached, "closure"), written(profiles, "profiles"), ["ID"]).select("root", "ID", "PROFILE", "INSTANCE_ID")
 
 
 def model_facts(data: DataFrame, models: DataFrame) -> DataFrame:

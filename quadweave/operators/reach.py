@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadweave.operators.hot import joined
 from quadweave.steps import written
 
 #: Links up to which they are sent to all tasks, where each start walks by itself; beyond it, all starts take a step a round.
@@ -58,7 +59,7 @@ def _in_rounds(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     for _ in range(most):
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, reached)
-        further = frontier.select("s", F.col("o").alias("m")).join(ahead, "m").select("s", "o").distinct()
+        further = joined(frontier.select("s", F.col("o").alias("m")), ahead, ["m"]).select("s", "o").distinct()
         frontier = written(further.join(reduce(DataFrame.unionByName, reached), ["s", "o"], "left_anti"), "reached")
         reached.append(frontier)
         if len(reached) >= COMPACT:

@@ -44,3 +44,22 @@ def test_facts_meet_objects_before_rules(spark):
     assert rows.count() == 40 * 30
     top = next(line for line in plan.splitlines() if "Join" in line)
     assert "BroadcastHashJoin" in top and "path" in top  # the last join is that with the rules
+
+
+def test_closure_with_hot_parts(spark, monkeypatch):
+    """Very many models depend on one part: the closure and its profiles are the same, by broadcasts of that part."""
+    from quadweave.functions import grid
+    from quadweave.operators import reach
+
+    monkeypatch.setattr(reach, "BROADCAST_LINKS", 0)
+    monkeypatch.setattr(hot, "HOT", 20)
+    met = []
+    plain = hot.joined
+    spy = lambda rows, table, on, how="inner": met.append(on) or plain(rows, table, on, how)
+    monkeypatch.setattr(reach, "joined", spy)
+    monkeypatch.setattr(grid, "joined", spy)
+    facts = [x for i in range(50) for x in [(f"o{i}", "Model.profile", "top", f"i{i}"), (f"o{i}", "Model.DependentOn", "c", f"i{i}")]]
+    facts += [("c", "Model.profile", "mid", "ic"), ("c", "Model.profile", "mid", "ic"), ("c", "Model.DependentOn", "r", "ic"), ("r", "Model.profile", "low", "ir")]
+    found = _bag(grid.loaded_models(graph(spark, facts), "top"))
+    assert found == sorted([x for i in range(50) for x in [(f"o{i}", f"o{i}", "top", f"i{i}"), (f"o{i}", "c", "mid", "ic"), (f"o{i}", "r", "low", "ir")]], key=str)
+    assert ["m"] in met and ["ID"] in met
