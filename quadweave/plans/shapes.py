@@ -4,7 +4,8 @@ A rule names the objects it is for (a class, or those with a property), a proper
 rules are a small table; values meet them by property and class, in one plan for all conditions on single
 values, and one each for counts, sets, pairs and closed classes.  Rules with parts (and, or, not, xone, node, qualified
 counts) are data as well: all of one depth are combined in one step from what was found a level deeper, innermost first, and what
-is found is written between levels, so that a plan grows with the depth of nesting and not with the number of rules.
+is found is written between levels, so that a plan grows with the depth of nesting and not with the number of rules.  Which parts of and, or,
+not and xone an object fails is kept in the bits of a few words, not as a row for each part.
 
 With `pairs` of instances and profiles, both are further keys of every join: facts meet only facts of their instance, and only the
 rules of the profiles that it is paired with, all in the one run.
@@ -12,6 +13,7 @@ rules of the profiles that it is paired with, all in the one run.
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,7 +36,10 @@ VALUE_COMPONENTS = ("datatype", "pattern", "minLength", "maxLength", "minInclusi
 QUALIFIED = ("qualifiedMinCount", "qualifiedMaxCount")
 #: Rules whose parts are for the values of their path, not for their own objects.
 NESTS = ("node", *QUALIFIED)
-PARTS = ("and", "or", "not", "xone", *NESTS)
+BOOLEAN = ("and", "or", "not", "xone")
+PARTS = (*BOOLEAN, *NESTS)
+#: Parts that one word holds; the sign is left out.
+WORD = 63
 
 # Lexical forms of the XSD types, and the narrower form that is worth a warning.
 _INTEGER = "[+-]?[0-9]+"
@@ -94,7 +99,7 @@ class Rule:
 
 _RULES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("shape", "component", "target", "path", "text", "severity", "message", "parent", "label", "PROFILE")]
-    + [T.StructField("number", T.DoubleType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("inverse", T.BooleanType())]
+    + [T.StructField("number", T.DoubleType()), T.StructField("items", T.ArrayType(T.StringType())), *(T.StructField(n, T.BooleanType()) for n in ("inverse", "packed", "loose"))]
     + [T.StructField(n, T.IntegerType()) for n in ("depth", "alternatives", "rule")]
 )
 
@@ -111,24 +116,29 @@ def _target(r: Rule) -> str:
     return next((f"{said} {r.target}" for said, on in flags.items() if on), r.target)
 
 
-def _row(i: int, r: Rule, depth: int, alternatives: int):
+def _row(i: int, r: Rule, depth: int, alternatives: int, packed: bool, loose: bool):
     text = None if r.value is None else str(r.value)
     items = list(r.values)
     if r.component == "datatype":
         text, narrow = LEXICAL.get(str(r.value), (None, None))
         items = [narrow] if narrow else []
         text = rf"^(?:{text})\z" if text else None
-    return (r.shape, r.component, _target(r), r.path, text, r.severity, r.message, r.parent, r.label, r.profile, _number(r.value), items, r.inverse, depth, alternatives, i)
+    return (r.shape, r.component, _target(r), r.path, text, r.severity, r.message, r.parent, r.label, r.profile, _number(r.value), items, r.inverse, packed, loose, depth, alternatives, i)
 
 
 def _as_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
+def _readings() -> dict[str, Column]:
+    """What conditions ask of a value, told once for all rules that it meets."""
+    return {"as_number": _as_number(F.col("VALUE")), "last_part": F.expr("substring_index(substring_index(VALUE, '#', -1), '/', -1)")}
+
+
 def _fails() -> Column:
-    """Whether a value fails the single-value condition that stands next to it."""
+    """Whether a value, with what `_readings` gives of it, fails the single-value condition that stands next to it."""
     value, is_ = F.col("VALUE"), F.col("component")
-    n = _as_number(value)
+    n = F.col("as_number")
     reference = value.rlike(REFERENCE_LIKE) | F.col("known")
     checks = {
         "datatype": ~F.expr("VALUE rlike text"),
@@ -139,7 +149,7 @@ def _fails() -> Column:
         "maxInclusive": n > F.col("number"),
         "minExclusive": n <= F.col("number"),
         "maxExclusive": n >= F.col("number"),
-        "in": ~F.expr("array_contains(items, substring_index(substring_index(VALUE, '#', -1), '/', -1))"),
+        "in": ~F.expr("array_contains(items, last_part)"),
         "nodeKind": F.when(F.col("text") == "IRI", ~reference).otherwise(reference),
     }
     chain = None
@@ -188,11 +198,16 @@ class _Run:
             if r.parent in parts:
                 parts[r.parent][1].add(r.alternative)
         self.deepest = max((d for d, r in zip(depths, rules, strict=True) if r.component in PARTS), default=-1)
-        rows = [_row(i, r, depth, len(parts[r.label][1]) if r.component in PARTS else 0) for i, (r, depth) in enumerate(zip(rules, depths, strict=True))]
+        outer = [{rules[p].component in BOOLEAN for p in parts[r.parent][0]} if r.parent in parts else set() for r in rules]
+        #: Rules that are parts of and, or, not and xone, and those that stand by themselves or are parts of others; some are both.
+        self.packed = [r for r, of in zip(rules, outer, strict=True) if True in of]
+        self.loose = [r for r, of in zip(rules, outer, strict=True) if not of or False in of]
+        rows = [_row(i, r, depth, len(parts[r.label][1]) if r.component in PARTS else 0, True in of, not of or False in of) for i, (r, depth, of) in enumerate(zip(rules, depths, outer, strict=True))]
         table = spark.createDataFrame(rows, _RULES)
         self.table = self.sized(table if pairs is not None else table.drop("PROFILE"), len(rows))
-        rows = [(i, parent, r.alternative, depths[parent]) for i, r in enumerate(rules) if r.parent in parts for parent in parts[r.parent][0]]
+        rows = [(i, parent, r.alternative, depths[parent]) for i, r in enumerate(rules) if r.parent in parts for parent in parts[r.parent][0] if rules[parent].component in NESTS]
         self.parts = self.sized(spark.createDataFrame(rows, "rule int, parent int, alternative int, of_depth int"), len(rows))
+        self.deal(depths, parts, pairs is not None)
         typed = self.data.where(F.col("KEY") == TYPE).select("ID", F.col("VALUE").alias("target"), *self.instance)
         for said, column, keys in (("subjects of ", "ID", {r.target for r in rules if r.subjects_of}), ("objects of ", "VALUE", {r.target for r in rules if r.objects_of})):
             if keys:
@@ -213,6 +228,43 @@ class _Run:
     def sized(table: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(table) if rows <= BROADCAST_RULES else table
 
+    def deal(self, depths: list[int], parts: dict, profiles: bool) -> None:
+        """Deals a bit to each alternative of each rule with and, or, not or xone; a word is for rules of one target and depth."""
+        words, masks, bits, at = [], [], {}, {}
+        for i, r in enumerate(self.rules):
+            if r.component not in BOOLEAN:
+                continue
+            own, mask = (_target(r), r.profile, depths[i]), {}
+            alternatives = sorted(parts[r.label][1])
+            if own not in at or at[own][1] + len(alternatives) > WORD:
+                at[own] = (len(words), 0)
+                words.append((len(words), *own))
+            mask[at[own][0]] = 0
+            for a in alternatives:
+                if at[own][1] == WORD:
+                    at[own] = (len(words), 0)
+                    words.append((len(words), *own))
+                word, place = at[own]
+                bits.setdefault((r.label, a), []).append((word, 1 << place))
+                mask[word] = mask.get(word, 0) | 1 << place
+                at[own] = (word, place + 1)
+            masks += [(i, word, m, r.component, len(alternatives), len(mask)) for word, m in mask.items()]
+        #: Depths with rules that are told by words; those with rules whose parts take several words.
+        self.word_depths = {w[-1] for w in words}
+        self.wide_depths = {depths[m[0]] for m in masks if m[-1] > 1}
+        spark = self.data.sparkSession
+        table = spark.createDataFrame(words, "word int, target string, PROFILE string, depth int")
+        self.words = self.sized(table if profiles else table.drop("PROFILE"), len(words))
+        self.masks = self.sized(spark.createDataFrame(masks, "rule int, word int, mask bigint, component string, alternatives int, spans int"), len(masks))
+        rows = [(i, word, bit) for i, r in enumerate(self.rules) for word, bit in bits.get((r.parent, r.alternative), ())]
+        self.bits = self.sized(spark.createDataFrame(rows, "rule int, word int, bit bigint"), len(rows))
+
+    def only(self, flag: str) -> _Run:
+        """The same with the rules that are packed, or those that are loose."""
+        own = copy(self)
+        own.rules, own.table = getattr(self, flag), self.table.where(flag)
+        return own
+
     def of(self, *components: str) -> DataFrame:
         return self.table.where(F.col("component").isin(list(components)))
 
@@ -223,8 +275,8 @@ class _Run:
         """Objects that rules are for, with the rules' columns."""
         return self.members.join(rules, ["target", *self.scope[1:]])
 
-    def values(self, rules: DataFrame) -> DataFrame:
-        """Values along the rules' paths of the objects they are for."""
+    def values(self, rules: DataFrame, readings: dict[str, Column] | None = None) -> DataFrame:
+        """Values along the rules' paths of the objects they are for; readings are told of each before it meets rules."""
         some = lambda facts, way: facts.join(self.sized(rules.where(way).select(F.col("path").alias("KEY")).distinct(), len(self.rules)), "KEY", "left_semi")
         rows = some(self.along, "not inverse").withColumn("inverse", F.lit(False))
         if any(r.inverse for r in self.rules):
@@ -232,7 +284,7 @@ class _Run:
             rows = rows.unionByName(back.withColumn("inverse", F.lit(True)))
         # Objects meet before rules do: a fact is shuffled once, and not for each of its rules.
         own = self.members.join(self.sized(rules.select("target", *self.scope[1:]).distinct(), len(self.rules)), ["target", *self.scope[1:]], "left_semi")
-        rows = rows.join(own, ["ID", *self.instance])
+        rows = rows.join(own, ["ID", *self.instance]).withColumns(readings or {})
         by = rules.withColumnsRenamed({c: f"__{c}" for c in ("target", "inverse", *self.scope[1:])})
         fits = [F.col(c) == F.col(f"__{c}") for c in ("target", "inverse", *self.scope[1:])]
         return rows.join(by, reduce(Column.__and__, fits, F.col("KEY") == F.col("path"))).drop(*(f"__{c}" for c in ("target", "inverse", *self.scope[1:])))
@@ -260,7 +312,7 @@ class _Run:
         return rows.select("rule", *self.scope, "ID", part(key).alias("KEY"), part(value).alias("VALUE"), part(kind).alias("kind"))
 
     def single_values(self) -> list[DataFrame]:
-        rows = self.values(self.of(*VALUE_COMPONENTS)).withColumn("known", F.col("path").isin(self.to_classes))
+        rows = self.values(self.of(*VALUE_COMPONENTS), _readings()).withColumn("known", F.col("path").isin(self.to_classes))
         if any(r.component == "nodeKind" and r.path not in self.to_classes for r in self.rules):
             # Only these values are looked up; very many rows may have the same.
             asked = (F.col("component") == "nodeKind") & ~F.col("known")
@@ -320,19 +372,31 @@ class _Run:
             return self.data.sparkSession.createDataFrame([], f"rule int, {names}")
         return reduce(DataFrame.unionByName, parts)
 
-    def combined(self, depth: int, found: DataFrame) -> DataFrame:
+    def failing(self, found: DataFrame, bits: DataFrame | None = None) -> DataFrame:
+        """(word, scope, ID, bits): parts of and, or, not and xone that objects fail; a warning of form is no failure."""
+        own = ["word", *self.scope, "ID"]
+        rows = found.where("kind <> 'lexicalForm'").join(self.bits, "rule").select(*own, F.col("bit").alias("bits"))
+        return (rows if bits is None else rows.unionByName(bits)).groupBy(*own).agg(F.bit_or("bits").alias("bits"))
+
+    def boolean(self, depth: int, bits: DataFrame) -> list[DataFrame]:
+        """What and, or, not and xone of one depth find, an object's word at a time: rules come in behind the last exchange of objects."""
+        own = ["rule", *self.scope, "ID"]
+        n, all_of, is_ = F.col("n"), F.col("alternatives"), F.col("component")
+        wrong = F.when(is_ == "and", n > 0).when(is_ == "or", n == all_of).when(is_ == "not", n == 0).otherwise(n != all_of - 1)
+        focus = self.members.join(self.words.where(F.col("depth") == depth), ["target", *self.scope[1:]]).select("word", *self.scope, "ID")
+        rows = focus.join(bits.hint("merge"), ["word", *self.scope, "ID"], "left").join(self.masks, "word").withColumn("n", F.coalesce(F.bit_count(F.col("bits").bitwiseAND(F.col("mask"))), F.lit(0)))
+        out = [self.found(rows.where(F.col("spans") == 1).where(wrong), key=None, value=None)]
+        if depth in self.wide_depths:
+            counted = rows.where(F.col("spans") > 1).groupBy(*own, "component", "alternatives").agg(F.sum("n").alias("n"))
+            out.append(self.found(counted.where(wrong), key=None, value=None))
+        return out
+
+    def combined(self, depth: int, found: DataFrame, bits: DataFrame | None) -> DataFrame:
         """What the rules with parts of one depth find, given what was found a level deeper; a warning of form is no failure."""
         parts = self.parts.where(F.col("of_depth") == depth)
         failed = found.where("kind <> 'lexicalForm'").join(parts, "rule").select(F.col("parent").alias("rule"), "alternative", *self.scope, "ID").distinct()
         at = F.col("depth") == depth
-        own = ["rule", *self.scope, "ID"]
-        out = []
-        if self.has("and", "or", "not", "xone"):
-            counted = failed.groupBy(*own).agg(F.count("*").alias("failed"))
-            n, all_of, is_ = F.coalesce("failed", F.lit(0)), F.col("alternatives"), F.col("component")
-            wrong = F.when(is_ == "and", n > 0).when(is_ == "or", n == all_of).when(is_ == "not", n == 0).otherwise(n != all_of - 1)
-            focus = self.focus(self.of("and", "or", "not", "xone").where(at))
-            out.append(self.found(focus.join(counted, own, "left").where(wrong), key=None, value=None))
+        out = self.boolean(depth, bits) if depth in self.word_depths else []
         nodes = failed.select("rule", *self.scope, F.col("ID").alias("VALUE")).distinct()
         if self.has("node"):
             out.append(self.found(self.values(self.of("node").where(at)).join(nodes, ["rule", *self.scope, "VALUE"], "left_semi")))
@@ -365,13 +429,21 @@ def validate(data: DataFrame, rules: list[Rule], scope=None, lexical: bool = Tru
     run = _Run(in_scope(data, scope), rules, lexical, pairs)
     if run.has(*NESTS):
         run.nest()
-    found = run.leaves()
-    if run.deepest >= 0:
-        leaves = found = written(found, "found")
+    if run.deepest < 0:
+        found = run.leaves()
+    else:
+        # Parts that are told by words are never written as a row each.
+        leaves = written(run.only("loose").leaves(), "found")
+        bits = written(run.failing(run.only("packed").leaves()), "bits") if run.word_depths else None
         below = None
         for depth in range(run.deepest, -1, -1):
-            below = written(run.combined(depth, leaves if below is None else leaves.unionByName(below)), "combined")
-            found = found.unionByName(below)
+            if below is None:
+                below = run.combined(depth, leaves, bits)
+            else:
+                below = run.combined(depth, leaves.unionByName(below), run.failing(below, bits) if bits is not None else None)
+            if depth:
+                below = written(below, "combined")
+        found = leaves.unionByName(below)  # whatever stands deeper is a part
     top = run.table.where(F.col("parent").isNull()).select("rule", "shape", "component", "severity", "message", "text", "items")
     rows = found.join(top, "rule")
     said = F.coalesce("message", F.concat(F.lit("sh:"), F.col("component"), F.coalesce(F.concat(F.lit(" "), F.col("text")), F.lit(""))))
