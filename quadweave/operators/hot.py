@@ -11,6 +11,14 @@ MOST_KEYS = 1_000
 MOST_MATCHES = 200_000
 
 
+def sized(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table for a join: sent to all tasks if it has at most `most` rows, else merged by sort.
+
+    Spark guesses by the bytes of files, which hold far less than the rows read from them."""
+    most = MOST_MATCHES if most is None else most
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
+
+
 def joined(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """rows.join(table, on, how) for inner, left, left_semi and left_anti; both are read more than once, so they had better be written.
 

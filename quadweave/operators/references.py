@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadweave.model import COLUMNS, ORDER, TYPE
+from quadweave.operators.hot import sized
 from quadweave.operators.reach import reach
 from quadweave.operators.tableview import wide
 from quadweave.steps import written
 
-#: Levels after which a walk's frontier is written, so that its plan stays small.
-CUT = 4
-
 
 def references_all(data: DataFrame) -> DataFrame:
     """Every link once: ID_FROM, KEY, ID_TO."""
@@ -26,30 +24,26 @@ def _start(data: DataFrame, object_id: str) -> DataFrame:
     return data.where(F.col("ID") == object_id).select(*COLUMNS, ORDER, F.lit(0).alias("level"), none.alias("ID_TO"), none.alias("ID_FROM"))
 
 
-def _step(data: DataFrame, frontier: DataFrame, level: int, inbound: bool) -> DataFrame:
-    """Objects one link away; the first link of each by load order is kept."""
-    known = frontier.select("ID").distinct()
-    if inbound:
-        links = data.select(F.col("ID").alias("ID_FROM"), F.col("VALUE").alias("ID_TO"), ORDER).join(known.withColumnRenamed("ID", "ID_TO"), "ID_TO")
-        near, far = "ID_FROM", "ID_TO"
-    else:
-        links = data.select(F.col("ID").alias("ID_FROM"), F.col("VALUE").alias("ID_TO"), ORDER).join(known.withColumnRenamed("ID", "ID_FROM"), "ID_FROM")
-        links = links.join(data.select(F.col("ID").alias("ID_TO")).distinct(), "ID_TO", "left_semi")
-        near, far = "ID_TO", "ID_FROM"
-    first = links.groupBy(near).agg(F.min_by(far, F.struct(ORDER, far)).alias(far))
-    rows = data.join(first, F.col("ID") == F.col(near))
-    return rows.select(*COLUMNS, ORDER, F.lit(level).alias("level"), "ID_TO", "ID_FROM")
+def _links(data: DataFrame, known: DataFrame, inbound: bool) -> DataFrame:
+    """(ID_FROM, ID_TO) of the objects one link away from known ones (ID), once; the first link of each by load order is kept.
+
+    It is written, being far smaller than the facts; outbound ends may be values of no object, which have no facts."""
+    near, far = ("ID_FROM", "ID_TO") if inbound else ("ID_TO", "ID_FROM")
+    links = data.select(F.col("ID").alias("ID_FROM"), F.col("VALUE").alias("ID_TO"), ORDER).join(sized(known).withColumnRenamed("ID", far), far)
+    return written(links.where(F.col(near).isNotNull()).groupBy(near).agg(F.min_by(far, F.struct(ORDER, far)).alias(far)), "links")
 
 
 def _walk(data: DataFrame, object_id: str, levels: int, inbound: bool) -> DataFrame:
-    found = frontier = _start(data, object_id)
+    near = "ID_FROM" if inbound else "ID_TO"
+    found = _start(data, object_id)
+    known = written(found.select("ID").distinct(), "known")
     for level in range(1, levels + 1):
-        frontier = _step(data, frontier, level, inbound)
-        if level % CUT == 0:
-            frontier = written(frontier, "frontier")
-            if frontier.isEmpty():
-                break
-        found = found.unionByName(frontier)
+        first = _links(data, known, inbound)
+        if first.isEmpty():
+            break
+        rows = data.join(sized(first), F.col("ID") == F.col(near))
+        found = found.unionByName(rows.select(*COLUMNS, ORDER, F.lit(level).alias("level"), "ID_TO", "ID_FROM"))
+        known = first.select(F.col(near).alias("ID"))
     return found
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadweave.model import graph
+from quadweave.operators import hot, references
 from quadweave.plans import shapes
 from quadweave.plans.shapes import Rule, validate
 
@@ -48,3 +49,21 @@ def test_two_rules_of_one_name_share_their_parts(spark):
     found = validate(g, rules)
     assert {(r["ID"], r["SOURCE_SHAPE"]) for r in found.collect()} == {(f"o{i}", "a" if i < 3 else "b") for i in range(6)}
     assert found.where(F.col("VIOLATION_TYPE").isin("and", "not")).count() == 6
+
+
+def test_walks_send_what_is_small_and_merge_the_rest(spark, monkeypatch):
+    """Objects known at a level are counted before they are sent; facts themselves never are, nor are all IDs looked up."""
+    facts = [x for i in range(30) for x in [(f"a{i}", "Type", "A", "e"), (f"a{i}", "A.to", "b", "e"), (f"a{i}", "A.note", "no object", "e")]]
+    g = graph(spark, facts + [("b", "Type", "B", "e"), ("b", "B.to", "c", "e"), ("c", "Type", "C", "e")])
+    sent = []
+    plain = hot.sized
+    monkeypatch.setattr(references, "sized", lambda table, *a: sent.append(table.count()) or plain(table, *a))
+    levels = lambda found: sorted((r["ID"], r["level"]) for r in found.select("ID", "level").distinct().collect())
+    for most in (hot.MOST_MATCHES, 2):
+        monkeypatch.setattr(hot, "MOST_MATCHES", most)
+        assert levels(references.references_to(g, "c", 2)) == sorted([("c", 0), ("b", 1), *((f"a{i}", 2) for i in range(30))])
+        assert levels(references.references_from(g, "a7", 9)) == [("a7", 0), ("b", 1), ("c", 2)]
+        plan = references.references_to(g, "c", 2)._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (most == 2)
+    assert max(sent) == 30
+    assert references.references_to(g, "nothing", 2).count() == 0 and references.references_from(g, "B", 1).count() == 0
