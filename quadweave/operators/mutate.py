@@ -32,7 +32,8 @@ def update_from_facts(data: DataFrame, changes: DataFrame, update: bool = True,
     """Upsert by ID and KEY, and INSTANCE_ID if `changes` has it.
 
     Of several changes of one property the first counts; a null VALUE overwrites; added facts without
-    INSTANCE_ID have none."""
+    INSTANCE_ID have none.  Both tables may be large, and Spark guesses their size by files that hold far less than
+    the facts laid out from them: they are merged, and neither is sent whole to a task."""
     on = ["ID", "KEY"] + (["INSTANCE_ID"] if "INSTANCE_ID" in changes.columns else [])
     order = F.coalesce(ORDER, F.lit(0).cast("bigint"))
     first = facts(changes).groupBy(*on).agg(F.min_by(F.struct("VALUE"), order).alias("change"), F.min(order).alias("place"))
@@ -41,11 +42,11 @@ def update_from_facts(data: DataFrame, changes: DataFrame, update: bool = True,
         own = first.select(*(F.col(c).alias(f"_{c}") for c in on), "change")
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
         value = F.when(F.col("change").isNotNull(), F.col("change.VALUE")).otherwise(F.col("VALUE"))
-        kept = data.join(own, same, "left").withColumn("VALUE", value).select(*data.columns)
+        kept = data.join(own.hint("merge"), same, "left").withColumn("VALUE", value).select(*data.columns)
     if not add:
         return kept
     there = data.select(*(F.col(c).alias(f"_{c}") for c in on))
-    fresh = first.join(there, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], "left_anti").withColumn("VALUE", F.col("change.VALUE"))
+    fresh = first.join(there.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], "left_anti").withColumn("VALUE", F.col("change.VALUE"))
     fresh = fresh.withColumn(ORDER, F.lit(ADDED) + F.col("place")).drop("change", "place")  # behind all that was loaded
     if ORDER not in data.columns:
         fresh = fresh.drop(ORDER)

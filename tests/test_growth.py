@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadweave.model import graph
-from quadweave.operators import hot, references
+from quadweave.operators import hot, mutate, references
 from quadweave.plans import shapes
 from quadweave.plans.shapes import Rule, validate
 
@@ -51,6 +51,15 @@ def test_two_rules_of_one_name_share_their_parts(spark):
     assert found.where(F.col("VIOLATION_TYPE").isin("and", "not")).count() == 6
 
 
+def test_upserts_send_neither_table_whole(spark):
+    g = graph(spark, [(f"o{i}", "O.n", str(i), "e") for i in range(9)])
+    changes = graph(spark, [("o1", "O.n", "x", "e"), ("o1", "O.n", "later", "e"), ("new", "O.n", None, "e")]).drop("INSTANCE_ID")
+    found = mutate.update_from_facts(g, changes)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(f"o{i}", "x" if i == 1 else str(i)) for i in range(9)} | {("new", None)}
+    assert {(r["ID"], r["VALUE"]) for r in found.collect()} == want and found.count() == 10
+
+
 def test_walks_send_what_is_small_and_merge_the_rest(spark, monkeypatch):
     """Objects known at a level are counted before they are sent; facts themselves never are, nor are all IDs looked up."""
     facts = [x for i in range(30) for x in [(f"a{i}", "Type", "A", "e"), (f"a{i}", "A.to", "b", "e"), (f"a{i}", "A.note", "no object", "e")]]
