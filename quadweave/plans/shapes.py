@@ -27,7 +27,7 @@ from quadweave.operators.filters import in_scope
 from quadweave.operators.hot import joined
 from quadweave.operators.tableview import NUMBER
 from quadweave.plans import paths
-from quadweave.steps import written
+from quadweave.steps import tasks_for, written
 
 VIOLATIONS = ("ID", "KEY", "VALUE", "VIOLATION_TYPE", "MESSAGE", "SEVERITY", "SOURCE_SHAPE")
 #: Rules up to which their table is broadcast.
@@ -189,6 +189,8 @@ class _Run:
         self.instance = ["INSTANCE_ID"] if pairs is not None else []
         self.scope = ["INSTANCE_ID", "PROFILE"] if pairs is not None else []
         self.data = data.select("ID", "KEY", "VALUE", *self.instance).where(F.col("VALUE").isNotNull())
+        #: Tasks among which facts and objects are dealt; 0 where they are so few that it is left to Spark.
+        self.tasks = tasks_for(self.data)
         self.rules, self.lexical = rules, lexical
         depths, parts = _depths(rules), {}
         for i, r in enumerate(rules):
@@ -216,9 +218,12 @@ class _Run:
         if nodes:
             named = spark.createDataFrame([(n, f"node {n}") for n in nodes], "ID string, target string")
             typed = typed.unionByName(named.join(self.data.select("ID", *self.instance).distinct(), "ID") if self.instance else named)
-        self.members = typed.distinct()
-        if pairs is not None:
-            self.members = self.members.join(pairs.select("INSTANCE_ID", "PROFILE").distinct(), "INSTANCE_ID")
+        if pairs is None:
+            self.members = self.dealt(typed).distinct()
+        else:
+            self.members = self.dealt(typed.distinct().join(pairs.select("INSTANCE_ID", "PROFILE").distinct(), "INSTANCE_ID"))
+        #: Values of rules with nested shapes, by depth.
+        self.nested: dict[int, DataFrame] = {}
         ways = self.ways = {r.path: r.way for r in rules if r.way}
         self.walked = sorted({_target(r) for r in rules if r.way and paths.repeats(r.way)})
         self.walk()
@@ -228,6 +233,14 @@ class _Run:
     def sized(table: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(table) if rows <= BROADCAST_RULES else table
 
+    def dealt(self, table: DataFrame, *keys: str) -> DataFrame:
+        """The table in `tasks` parts, by objects or other keys: what stays with its object is joined and counted where it is."""
+        return table.repartition(self.tasks, *(keys or ("ID", *self.instance))) if self.tasks else table
+
+    def built(self, table: DataFrame) -> DataFrame:
+        """A dealt side of a join that has few rows a key: the other side streams past it and is not sorted."""
+        return table.hint("shuffle_hash") if self.tasks else table
+
     def deal(self, depths: list[int], parts: dict, profiles: bool) -> None:
         """Deals a bit to each alternative of each rule with and, or, not or xone; a word is for rules of one target and depth."""
         words, masks, bits, at = [], [], {}, {}
@@ -284,7 +297,7 @@ class _Run:
             rows = rows.unionByName(back.withColumn("inverse", F.lit(True)))
         # Objects meet before rules do: a fact is shuffled once, and not for each of its rules.
         own = self.members.join(self.sized(rules.select("target", *self.scope[1:]).distinct(), len(self.rules)), ["target", *self.scope[1:]], "left_semi")
-        rows = rows.join(own, ["ID", *self.instance]).withColumns(readings or {})
+        rows = rows.join(self.built(own), ["ID", *self.instance]).withColumns(readings or {})
         by = rules.withColumnsRenamed({c: f"__{c}" for c in ("target", "inverse", *self.scope[1:])})
         fits = [F.col(c) == F.col(f"__{c}") for c in ("target", "inverse", *self.scope[1:])]
         return rows.join(by, reduce(Column.__and__, fits, F.col("KEY") == F.col("path"))).drop(*(f"__{c}" for c in ("target", "inverse", *self.scope[1:])))
@@ -297,13 +310,26 @@ class _Run:
         else:
             self.along = self.data
 
+    def nesting(self, depth: int) -> DataFrame:
+        """(rule, scope, ID, VALUE): values of the rules of one depth with nested shapes; those that are counted, once."""
+        at = {r.component for d, r in zip(_depths(self.rules), self.rules, strict=True) if d == depth}
+        kinds = [k for k in (("node",), QUALIFIED) if at.intersection(k)]
+        rows = [self.values(self.of(*k).where(F.col("depth") == depth)).select("rule", *self.scope, "ID", "VALUE") for k in kinds]
+        return reduce(DataFrame.unionByName, (r if k == ("node",) else r.distinct() for k, r in zip(kinds, rows, strict=True)))
+
     def nest(self) -> None:
         """Values of rules with nested shapes become members of a class of their own, from outside in."""
-        for depth in sorted({d for d, r in zip(_depths(self.rules), self.rules, strict=True) if r.component in NESTS}):
-            rows = self.values(self.of(*NESTS).where(F.col("depth") == depth))
-            labels = F.explode(F.concat(F.array("label"), "items")).alias("label")
-            nodes = rows.select(F.col("VALUE").alias("ID"), labels, *self.scope).select("ID", F.concat(F.lit("nodes of "), "label").alias("target"), *self.scope)
-            self.members = written(self.members.unionByName(nodes).distinct(), "members")
+        depths = _depths(self.rules)
+        of = {r.label: {d for d, x in zip(depths, self.rules, strict=True) if x.label == r.label} for r in self.rules if r.component in NESTS}
+        # A claim from another depth adds members to what has been walked; its values are told again later.
+        steady = all(of.get(v, {d}) == {d} for d, r in zip(depths, self.rules, strict=True) if r.component in QUALIFIED for v in r.values)
+        for depth in sorted({d for d, r in zip(depths, self.rules, strict=True) if r.component in NESTS}):
+            rows = written(self.nesting(depth), "nested")
+            if steady:
+                self.nested[depth] = rows
+            labels = self.of(*NESTS).select("rule", F.explode(F.concat(F.array("label"), "items")).alias("label"))
+            nodes = self.dealt(rows.select("rule", F.col("VALUE").alias("ID"), *self.scope)).distinct().join(labels, "rule").select("ID", F.concat(F.lit("nodes of "), "label").alias("target"), *self.scope)
+            self.members = self.dealt(written(self.members.unionByName(nodes).distinct(), "members"))
             if self.walked:
                 self.walk()
 
@@ -325,10 +351,10 @@ class _Run:
 
     def counts(self) -> list[DataFrame]:
         own = ["rule", *self.scope, "ID"]
-        counted = self.values(self.of("minCount", "maxCount")).groupBy(*own).agg(F.count("*").alias("n"))
-        out = [self.found(self.focus(self.of("maxCount")).join(counted, own).where("n > number"), value=None)]
-        out.append(self.found(self.focus(self.of("minCount")).join(counted, own, "left").where("coalesce(n, 0) < number"), value=None))
-        return out
+        bounds = self.of("minCount", "maxCount")
+        counted = self.values(bounds).groupBy(*own).agg(F.count("*").alias("n"))
+        wrong = F.when(F.col("component") == "maxCount", F.col("n") > F.col("number")).otherwise(F.coalesce("n", F.lit(0)) < F.col("number"))
+        return [self.found(self.focus(bounds).join(self.built(counted), own, "left").where(wrong), value=None)]
 
     def has_value(self) -> list[DataFrame]:
         own = ["rule", *self.scope, "ID"]
@@ -398,28 +424,36 @@ class _Run:
         at = F.col("depth") == depth
         out = self.boolean(depth, bits) if depth in self.word_depths else []
         nodes = failed.select("rule", *self.scope, F.col("ID").alias("VALUE")).distinct()
-        if self.has("node"):
-            out.append(self.found(self.values(self.of("node").where(at)).join(nodes, ["rule", *self.scope, "VALUE"], "left_semi")))
-        if self.has(*QUALIFIED):
-            out.append(self.qualified(self.of(*QUALIFIED).where(at), nodes))
+        if self.has(*NESTS) and self.of_depth(depth, *NESTS):
+            rows = self.nested[depth] if depth in self.nested else self.nesting(depth)
+            if self.of_depth(depth, "node"):
+                of_values = rows.join(self.of("node").where(at).select("rule", "path", "component"), "rule")
+                out.append(self.found(of_values.join(nodes, ["rule", *self.scope, "VALUE"], "left_semi")))
+            if self.of_depth(depth, *QUALIFIED):
+                out.append(self.qualified(self.of(*QUALIFIED).where(at), rows, nodes))
         return reduce(DataFrame.unionByName, out)
 
-    def qualified(self, rules: DataFrame, failed: DataFrame) -> DataFrame:
+    def of_depth(self, depth: int, *components: str) -> bool:
+        return any(d == depth and r.component in components for d, r in zip(_depths(self.rules), self.rules, strict=True))
+
+    def qualified(self, rules: DataFrame, rows: DataFrame, failed: DataFrame) -> DataFrame:
         """Bounds on how many values conform to a shape; values that conform to one of the shapes in `items` do not count.
 
-        failed: (rule, VALUE) of values that do not conform to the shape of a rule."""
+        rows: (rule, ID, VALUE) of all values.  failed: (rule, VALUE) of values that do not conform to the shape of a rule."""
         node = [*self.scope, "VALUE"]
-        rows = self.values(rules).select("rule", *node, "ID", "items").distinct().join(failed, ["rule", *node], "left_anti")
+        rows = self.dealt(rows.join(rules.select("rule"), "rule", "left_semi"), "rule", *node)
+        out = failed.select("rule", *node)
         if any(r.values for r in self.rules if r.component in QUALIFIED):
             siblings = self.table.select(F.col("label").alias("sibling"), F.col("rule").alias("other"))
-            asked = rows.select("rule", *node, F.explode("items").alias("sibling")).distinct().join(siblings, "sibling")
-            claimed = asked.join(failed.withColumnRenamed("rule", "other"), ["other", *node], "left_anti").select("rule", *node).distinct()
-            rows = rows.join(claimed, ["rule", *node], "left_anti")
+            claims = rules.select("rule", F.explode("items").alias("sibling")).join(siblings, "sibling").select("rule", "other")
+            asked = rows.select("rule", *node).distinct().join(claims, "rule")
+            claimed = asked.join(failed.withColumnRenamed("rule", "other"), ["other", *node], "left_anti").select("rule", *node)
+            out = out.unionByName(claimed)
         own = ["rule", *self.scope, "ID"]
-        counted = rows.groupBy(*own).agg(F.count("*").alias("n"))
+        counted = self.dealt(rows.join(self.built(out.distinct()), ["rule", *node], "left_anti")).groupBy(*own).agg(F.count("*").alias("n"))
         n = F.coalesce("n", F.lit(0))
         wrong = F.when(F.col("component") == "qualifiedMinCount", n < F.col("number")).otherwise(n > F.col("number"))
-        return self.found(self.focus(rules).join(counted, own, "left").where(wrong), value=None)
+        return self.found(self.focus(rules).join(self.built(counted), own, "left").where(wrong), value=None)
 
 
 def validate(data: DataFrame, rules: list[Rule], scope=None, lexical: bool = True, pairs: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Rows that a task gets where tables are dealt by the number of their rows.
+ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     where = new_path(df.sparkSession, name)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for the rows of a table, which are counted, at ROWS a task; 0 for tables that need not be dealt by rows.
+
+    Spark deals by bytes of what is shuffled, which are packed so well here that millions of rows would be sorted in one task."""
+    tasks = -(-df.count() // ROWS)
+    return tasks if tasks > df.sparkSession.sparkContext.defaultParallelism else 0

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quadweave import steps
 from quadweave.model import graph
 from quadweave.operators import hot, mutate, references
 from quadweave.plans import shapes
@@ -77,3 +78,27 @@ def test_walks_send_what_is_small_and_merge_the_rest(spark, monkeypatch):
         assert ("SortMergeJoin" in plan) == (most == 2)
     assert max(sent) == 30
     assert references.references_to(g, "nothing", 2).count() == 0 and references.references_from(g, "B", 1).count() == 0
+
+
+def test_counts_of_values_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks follow the number of rows; values of nested shapes are looked up once; claims between depths are told as before."""
+    facts = [x for i in range(120) for x in [(f"o{i}", "Type", "O", "e"), *((f"o{i}", "O.p", f"p{(i + k) % 40}", "e") for k in range(i % 6)), (f"o{i}", "O.p", f"p{i % 40}", "e")]]
+    g = graph(spark, facts + [x for i in range(40) for x in [(f"p{i}", "Type", "P", "e"), (f"p{i}", "P.n", str(i), "e")]])
+    rules = [Rule("some", "qualifiedMinCount", "O", "O.p", 2, ("large",), name="some"), Rule("some", "minInclusive", "nodes of some", "P.n", 10, parent="some")]
+    rules += [Rule("large", "qualifiedMaxCount", "O", "O.p", 3, name="large"), Rule("large", "minInclusive", "nodes of large", "P.n", 30, parent="large")]
+    rules += [Rule("all", "node", "O", "O.p", name="all"), Rule("all", "maxInclusive", "nodes of all", "P.n", 37, parent="all"), Rule("few", "maxCount", "O", "O.p", 5), Rule("any", "minCount", "O", "O.p", 2)]
+    own = {i: {(i + k) % 40 for k in range(max(i % 6, 1))} for i in range(120)}
+    want = {(f"o{i}", "some") for i, p in own.items() if len([x for x in p if 10 <= x < 30]) < 2} | {(f"o{i}", "large") for i, p in own.items() if len([x for x in p if x >= 30]) > 3}
+    want |= {(f"o{i}", "all") for i, p in own.items() if any(x > 37 for x in p)} | {(f"o{i}", "few") for i in own if i % 6 + 1 > 5} | {(f"o{i}", "any") for i in own if i % 6 + 1 < 2}
+    asked = []
+    plain = shapes._Run.values
+    monkeypatch.setattr(shapes._Run, "values", lambda self, *a: asked.append(1) or plain(self, *a))
+    parts = {}
+    for rows in (500_000, 50):
+        monkeypatch.setattr(steps, "ROWS", rows)
+        asked.clear()
+        found = validate(g, rules).select("ID", "SOURCE_SHAPE")
+        assert {(r["ID"], r["SOURCE_SHAPE"]) for r in found.collect()} == want
+        assert len(asked) == 4  # two kinds of nested values, conditions on values, bounds on counts
+        parts[rows] = shapes._Run(g, rules, True).members.rdd.getNumPartitions()
+    assert parts[50] == -(-g.count() // 50) > parts[500_000]
