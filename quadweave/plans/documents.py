@@ -12,7 +12,7 @@ from quadweave.plans.shapes import Rule, validate
 from quadweave.sinks import xmlfiles as sink
 from quadweave.sinks.xlsx import write_workbook
 from quadweave.sources import star, versions, workbooks, xmlfiles
-from quadweave.steps import new_path
+from quadweave.steps import new_path, written
 
 
 def _written(spark, sf, packaging, *classes, **more):
@@ -22,7 +22,8 @@ def _written(spark, sf, packaging, *classes, **more):
 
 
 def _facts(found):
-    """Without what a reader adds of files and namespaces."""
+    """Without what a reader adds of files and namespaces; documents are parsed once."""
+    found = written(found.select("ID", "KEY", "VALUE"), "facts")
     meta = found.where((F.col("KEY") == TYPE) & F.col("VALUE").isin("Distribution", "NamespaceMap")).select("ID")
     return found.join(meta, "ID", "left_anti").select("ID", "KEY", "VALUE")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quadweave.functions.terms import quads
 from quadweave.model import ORDER, TYPE
 from quadweave.operators.tableview import rendered, tableviews
+from quadweave.steps import written
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
@@ -68,7 +69,7 @@ def write_cimxml(data: DataFrame, folder: str, namespaces: dict[str, str], refer
     """A folder for each instance, with whole documents of at most `objects_per_file` objects.
 
     Spark's text writer partitions by instance and file; a document's head and foot are rows like its objects."""
-    objects = cimxml_objects(data, references, prefix)
+    objects = written(cimxml_objects(data, references, prefix), "objects")  # counted, dealt and asked for their documents
     counts = objects.groupBy("INSTANCE_ID").agg(F.ceil(F.count("*") / objects_per_file).cast("int").alias("files"))
     dealt = objects.join(counts, "INSTANCE_ID").withColumn("file", F.pmod(F.xxhash64("ID"), F.col("files")).cast("int"))
     spaces = " ".join(f"xmlns:{p}={quoteattr(u)}" for p, u in ({"rdf": RDF} | namespaces).items())

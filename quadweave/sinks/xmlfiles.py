@@ -27,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from quadweave.model import ORDER
 from quadweave.sinks.files import RDF, cimxml_objects
 from quadweave.sources.xmlfiles import _at
+from quadweave.steps import written
 
 PACKAGINGS = ("xml", "zip_each", "zip_all")
 MANIFEST = "_members.json"
@@ -209,10 +210,10 @@ def registered(spark: SparkSession) -> SparkSession:
 def write_documents(data: DataFrame, folder: str, namespaces: dict[str, str], packaging: str = "xml", references: list[str] | None = None, prefix: str = "cim", objects_per_file: int = 500_000, archive: str = "all.zip", overwrite: bool = False) -> None:
     """The instances of a graph table as documents of at most `objects_per_file` objects, called by their label, or else by the instance."""
     spark = registered(data.sparkSession)
-    objects = cimxml_objects(data, references, prefix)
-    label = F.when(F.col("KEY") == "label", F.col("VALUE"))
-    names = data.groupBy("INSTANCE_ID").agg(F.min_by(label, F.when(label.isNotNull(), F.col(ORDER))).alias("label"))
-    counts = objects.groupBy("INSTANCE_ID").agg(F.ceil(F.count("*") / objects_per_file).cast("int").alias("files")).join(names, "INSTANCE_ID")
+    objects = written(cimxml_objects(data, references, prefix), "objects")  # counted, dealt and asked for their documents
+    # Labels alone are looked at: a first text by order sorts all rows that it is taken from.
+    names = data.where((F.col("KEY") == "label") & F.col("VALUE").isNotNull()).groupBy("INSTANCE_ID").agg(F.min_by("VALUE", ORDER).alias("label"))
+    counts = objects.groupBy("INSTANCE_ID").agg(F.ceil(F.count("*") / objects_per_file).cast("int").alias("files")).join(names, "INSTANCE_ID", "left")
     # Instances that share a label keep apart by their ID.
     counts = counts.withColumn("alike", F.count("label").over(Window.partitionBy("label")))
     stem = F.when(F.col("label").isNull(), F.col("INSTANCE_ID")).when(F.col("alike") > 1, F.concat_ws("-", F.regexp_replace("label", r"\.xml\z", ""), "INSTANCE_ID")).otherwise(F.regexp_replace("label", r"\.xml\z", ""))

@@ -1,6 +1,7 @@
 """RDF/XML files as a data source: spark.read.format("cimxml") and spark.readStream.format("cimxml").
 
-A partition is a document: a file, or a member of a (nested) zip archive, whose directory alone is read to list it.  A task reads its document
+A document is a file, or a member of a (nested) zip archive, whose directory alone is read to list it.  A partition is as many documents, one after the
+other, as make up its share of bytes: small ones share a task, which opens their archive once, and a large one has its own.  A task reads a document
 in blocks, so that memory does not grow with it.  Files are reached by `pyarrow.fs` (file, hdfs, s3, gs).
 
 Options: path (a file or a folder, searched deeply), shorten (true: references lose their namespace), positions (false; true adds
@@ -14,6 +15,7 @@ import json
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -30,15 +32,21 @@ _PLACES = ", SOURCE_URI string, SOURCE_LINE int, SOURCE_BYTE bigint"
 _ENDINGS = (".xml", ".rdf")
 #: Bytes of an archive inside an archive that are held in memory; more goes to the task's own temporary file.
 HELD = 32 << 20
+#: Bytes of documents that a task reads: at least, and at most unless one document has more; between them, a share of all bytes.  Up to SHARES
+#: documents have a task each.
+LEAST, MOST, SHARES = 1 << 20, 32 << 20, 64
+#: Archives whose directories are read at a time.
+LISTED = 16
 
 
 @dataclass
-class Document(InputPartition):
-    """A file, the members that lead to the document, and its place among all documents."""
+class Document:
+    """A file, the members that lead to the document, its place among all documents, and its bytes."""
 
     uri: str
     members: tuple[str, ...]
     place: int
+    size: int = 0
 
     @property
     def name(self) -> str:
@@ -46,6 +54,13 @@ class Document(InputPartition):
         return "/".join((self.uri.replace("file:///", "file:/", 1), *self.members))
 
 
+@dataclass
+class Documents(InputPartition):
+    """Documents that one task reads, in order."""
+
+    documents: list[Document]
+
+
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -60,14 +75,14 @@ def _inner(archive: zipfile.ZipFile, member: str):
     return held
 
 
-def _members(stream, before: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
+def _members(stream, before: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], int]]:
     with zipfile.ZipFile(stream) as archive:
-        for member in archive.namelist():
-            if member.lower().endswith(_ENDINGS):
-                yield (*before, member)
-            elif member.lower().endswith(".zip"):
-                with _inner(archive, member) as inner:
-                    yield from _members(inner, (*before, member))
+        for info in archive.infolist():
+            if info.filename.lower().endswith(_ENDINGS):
+                yield (*before, info.filename), info.file_size
+            elif info.filename.lower().endswith(".zip"):
+                with _inner(archive, info.filename) as inner:
+                    yield from _members(inner, (*before, info.filename))
 
 
 def files_of(path: str, endings: tuple[str, ...] = (*_ENDINGS, ".zip")) -> list[str]:
@@ -83,42 +98,80 @@ def files_of(path: str, endings: tuple[str, ...] = (*_ENDINGS, ".zip")) -> list[
     return sorted(f"{begin}{p}" for p in kept if not any(part.startswith(("_", ".")) for part in p[len(where) :].split("/")))
 
 
+def _listed(uri: str) -> list[tuple[tuple[str, ...], int]]:
+    store, where = _at(uri)
+    if not uri.lower().endswith(".zip"):
+        return [((), store.get_file_info(where).size or 0)]
+    with store.open_input_file(where) as stream:
+        return list(_members(stream))
+
+
 def documents(uris: list[str], first: int = 0) -> list[Document]:
-    found: list[Document] = []
-    for uri in uris:
-        if uri.lower().endswith(".zip"):
-            store, where = _at(uri)
-            with store.open_input_file(where) as stream:
-                found += [Document(uri, m, first + len(found) + i) for i, m in enumerate(_members(stream))]
-        else:
-            found.append(Document(uri, (), first + len(found)))
-    return found
+    with ThreadPoolExecutor(LISTED) as pool:
+        found = [(uri, *of) for uri, inside in zip(uris, pool.map(_listed, uris), strict=True) for of in inside]
+    return [Document(uri, members, first + i, size) for i, (uri, members, size) in enumerate(found)]
+
+
+def shared(found: list[Document]) -> list[Documents]:
+    """The documents in runs for a task each; few documents have one each."""
+    share = min(MOST, max(LEAST, sum(d.size for d in found) // SHARES)) if len(found) > SHARES else 0
+    runs, filled = [], 0
+    for d in found:
+        if not runs or filled >= share:
+            runs.append(Documents([]))
+            filled = 0
+        runs[-1].documents.append(d)
+        filled += d.size
+    return runs
 
 
 def facts(document: Document, shorten: bool, positions: bool) -> Iterator[pa.RecordBatch]:
     """The facts of a document; their order follows the document's place and their own."""
-    store, where = _at(document.uri)
-    opened = [store.open_input_file(where) if document.members else store.open_input_stream(where)]
+    return facts_of([document], shorten, positions)
+
+
+def facts_of(run: list[Document], shorten: bool, positions: bool) -> Iterator[pa.RecordBatch]:
+    """The facts of documents, one after the other; an archive stays open while its documents follow each other."""
+    opened, within = [], None
     try:
-        for i, member in enumerate(document.members):
-            archive = zipfile.ZipFile(opened[-1])
-            opened.append(archive)
-            opened.append(archive.open(member) if i == len(document.members) - 1 else _inner(archive, member))
-        at = document.place << 40
-        for rows, places in parse_stream(document.name, opened[-1], shorten):
-            if not rows:
+        for document in run:
+            store, where = _at(document.uri)
+            if not document.members:
+                with store.open_input_stream(where) as stream:
+                    yield from _facts_of(document, stream, shorten, positions)
                 continue
-            columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] + [pa.array(range(at, at + len(rows)), pa.int64())]
-            names = ["ID", "KEY", "VALUE", "INSTANCE_ID", "_ord"]
-            if positions:
-                lines, offsets = zip(*places, strict=True)
-                columns += [pa.array([document.name] * len(rows), pa.string()), pa.array(lines, pa.int32()), pa.array(offsets, pa.int64())]
-                names += ["SOURCE_URI", "SOURCE_LINE", "SOURCE_BYTE"]
-            at += len(rows)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if within != (document.uri, document.members[:-1]):
+                _closed(opened)
+                within = (document.uri, document.members[:-1])
+                opened.append(store.open_input_file(where))
+                opened.append(zipfile.ZipFile(opened[-1]))
+                for member in document.members[:-1]:
+                    opened.append(_inner(opened[-1], member))
+                    opened.append(zipfile.ZipFile(opened[-1]))
+            with opened[-1].open(document.members[-1]) as stream:
+                yield from _facts_of(document, stream, shorten, positions)
     finally:
-        for stream in reversed(opened):
-            stream.close()
+        _closed(opened)
+
+
+def _closed(opened: list) -> None:
+    while opened:
+        opened.pop().close()
+
+
+def _facts_of(document: Document, stream, shorten: bool, positions: bool) -> Iterator[pa.RecordBatch]:
+    at = document.place << 40
+    for rows, places in parse_stream(document.name, stream, shorten):
+        if not rows:
+            continue
+        columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] + [pa.array(range(at, at + len(rows)), pa.int64())]
+        names = ["ID", "KEY", "VALUE", "INSTANCE_ID", "_ord"]
+        if positions:
+            lines, offsets = zip(*places, strict=True)
+            columns += [pa.array([document.name] * len(rows), pa.string()), pa.array(lines, pa.int32()), pa.array(offsets, pa.int64())]
+            names += ["SOURCE_URI", "SOURCE_LINE", "SOURCE_BYTE"]
+        at += len(rows)
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 class _Reading:
@@ -127,13 +180,13 @@ class _Reading:
         self.path, self.progress = options["path"], options.get("progress")
         self.shorten, self.positions = flag("shorten", "true"), flag("positions", "false")
 
-    def read(self, partition: Document) -> Iterator[pa.RecordBatch]:
-        return facts(partition, self.shorten, self.positions)
+    def read(self, partition: Documents) -> Iterator[pa.RecordBatch]:
+        return facts_of(partition.documents, self.shorten, self.positions)
 
 
 class BatchReader(_Reading, DataSourceReader):
-    def partitions(self) -> list[Document]:
-        return documents(files_of(self.path))
+    def partitions(self) -> list[Documents]:
+        return shared(documents(files_of(self.path)))
 
 
 class StreamReader(_Reading, DataSourceStreamReader):
@@ -172,9 +225,9 @@ class StreamReader(_Reading, DataSourceStreamReader):
             store.move(f"{where}/.{last}", f"{where}/{last}")
         return {"lists": last}
 
-    def partitions(self, start: dict, end: dict) -> list[Document]:
+    def partitions(self, start: dict, end: dict) -> list[Documents]:
         lists = self._lists()
-        return [d for n in range(start["lists"] + 1, end["lists"] + 1) for d in documents(lists[n]["files"], lists[n]["before"])]
+        return shared([d for n in range(start["lists"] + 1, end["lists"] + 1) for d in documents(lists[n]["files"], lists[n]["before"])])
 
     def commit(self, end: dict) -> None:
         pass
