@@ -10,7 +10,7 @@ from quadweave.operators import tableview as t
 from quadweave.plans.catalogue import _CUSTOMER, _NATION, _query
 from quadweave.sinks import files
 from quadweave.sources import cimxml, nquads, sheets, star
-from quadweave.steps import new_path
+from quadweave.steps import new_path, written
 
 
 def _folder(spark) -> str:
@@ -42,7 +42,8 @@ def csv_tableview(spark, sf):
 def cimxml_roundtrip(spark, sf):
     path = _folder(spark)
     files.write_cimxml(star.graph(spark, sf, "Nation", "Customer"), path, {"cim": terms.CIM}, references=["Nation.Region", "Customer.Nation"])
-    return cimxml.read_cimxml(spark, _documents(spark, path)).where(~F.col("VALUE").isin("Distribution", "NamespaceMap")).join(_meta(spark, path), "ID", "left_anti").select("ID", "KEY", "VALUE")
+    found = written(cimxml.read_cimxml(spark, _documents(spark, path)).select("ID", "KEY", "VALUE"), "facts")  # documents are parsed once
+    return found.where(~F.col("VALUE").isin("Distribution", "NamespaceMap")).join(_meta(found), "ID", "left_anti").select("ID", "KEY", "VALUE")
 
 
 def _documents(spark, path):
@@ -60,9 +61,8 @@ def _documents(spark, path):
     return found
 
 
-def _meta(spark, path):
-    rows = cimxml.read_cimxml(spark, path).where((F.col("KEY") == TYPE) & F.col("VALUE").isin("Distribution", "NamespaceMap"))
-    return rows.select("ID")
+def _meta(found):
+    return found.where((F.col("KEY") == TYPE) & F.col("VALUE").isin("Distribution", "NamespaceMap")).select("ID")
 
 
 @_query("SELECT 'Customer-' || c_custkey AS ID_FROM, 'Customer.Nation' AS KEY, 'Nation-' || c_nationkey AS ID_TO, 'Nation' AS type_to FROM customer")

@@ -263,3 +263,37 @@ def test_workbooks_of_very_many_sheets(spark, tmp_path):
     cells = workbooks.registered(spark).read.format("sheets").load(str(tmp_path))
     assert cells.rdd.getNumPartitions() == 200
     assert {(r["SHEET"], r["ID"], r["VALUE"], r["_ord"] >> 40) for r in cells.collect()} == {(n, str(i), str(i), k) for k, (n, i) in enumerate(zip(xlsx._names(["v"] * 600), sorted(range(600), key=str)))}
+
+
+def test_small_documents_share_a_task(tmp_path, monkeypatch):
+    """An archive of many documents is opened once by a task and not once for each; large documents have a task each."""
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:c="http://c#">'
+    for a in range(3):
+        with zipfile.ZipFile(tmp_path / f"{a}.zip", "w") as archive:
+            for i in range(40):
+                archive.writestr(f"d{i}.xml", f'{head}<c:O rdf:ID="_{a}-{i}"><c:O.n>{i}</c:O.n></c:O></rdf:RDF>')
+    (tmp_path / "plain.xml").write_text(f'{head}<c:O rdf:ID="_plain"/></rdf:RDF>')
+    found = xmlfiles.documents(xmlfiles.files_of(str(tmp_path)))
+    assert len(found) == 121 and [d.place for d in found] == list(range(121))
+    (run,) = xmlfiles.BatchReader({"path": str(tmp_path)}).partitions()
+    assert run.documents == found
+    alone = [row for d in found for batch in xmlfiles.facts(d, True, True) for row in batch.to_pylist()]
+    opened = []
+    plain = zipfile.ZipFile
+    monkeypatch.setattr(xmlfiles.zipfile, "ZipFile", lambda *a: opened.append(1) or plain(*a))
+    assert [row for batch in xmlfiles.facts_of(found, True, True) for row in batch.to_pylist()] == alone and len(opened) == 3
+    assert len({r["ID"] for r in alone if r["KEY"] == "Type"}) == 121 * 3  # objects, labels and namespaces
+    monkeypatch.setattr(xmlfiles, "LEAST", 50)
+    monkeypatch.setattr(xmlfiles, "MOST", 50)
+    assert [len(r.documents) for r in xmlfiles.shared(found)] == [1] * 121
+
+
+def test_objects_of_a_document_are_listed_some_at_a_time(monkeypatch):
+    from quadweave.sources import cimxml
+
+    monkeypatch.setattr(cimxml, "BATCH", 10)
+    text = "<r>\n" + "".join(f'<c:O rdf:ID="_o{i}">\n</c:O>\n' for i in range(25)) + "</r>"
+    batches = list(cimxml._lines("x", memoryview(text.encode())))
+    assert [b.num_rows for b in batches] == [10, 10, 5]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["ID"], r["SOURCE_LINE"], r["SOURCE_SNIPPET"]) for r in rows] == [(f"o{i}", 2 + 2 * i, f'<c:O rdf:ID="_o{i}">') for i in range(25)]
