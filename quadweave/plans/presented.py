@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadweave.model import ORDER, TYPE
 from quadweave.plans import paths
 from quadweave.plans.shapes import BROADCAST_RULES, Rule
+from quadweave.steps import written
 
 #: Values of a group that are shown.
 SHOWN = 5
@@ -74,6 +75,7 @@ def presented(violations: DataFrame, data: DataFrame, rules: list[Rule], of_sche
     """Adds TARGET, EXPECTED and MESSAGE_SOURCE ("shacl": words of a shape, "engine": ours); texts come from the data and the rules.
 
     of_schema: VIOLATION_TYPE is put in the words of schema languages.  Types and names of objects are the first by load order."""
+    violations = written(violations, "violations")  # asked three times; found once
     rows = _targets(violations, data, rules)
     keys = ["SOURCE_SHAPE", "KEY", "VIOLATION_TYPE", *(["PROFILE"] if "PROFILE" in violations.columns else [])]
     told = {}
