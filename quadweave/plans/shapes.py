@@ -362,11 +362,12 @@ class _Run:
         return [self.found(self.focus(self.of("hasValue")).join(there, own, "left_anti"), value=None)]
 
     def classes(self) -> list[DataFrame]:
-        types = self.data.where(F.col("KEY") == TYPE).select(F.col("ID").alias("VALUE"), F.col("VALUE").alias("class"), *self.instance).distinct()
-        wrong = self.values(self.of("class")).join(types.withColumnRenamed("class", "text"), ["VALUE", "text", *self.instance], "left_anti")
-        ranged = self.values(self.of("range")).join(types.select("VALUE", *self.instance).distinct(), ["VALUE", *self.instance], "left_semi")
-        allowed = self.of("range").select("rule", F.explode("items").alias("class")).join(types, "class").select("rule", "VALUE", *self.instance).distinct() if self.has("range") else None
-        outside = ranged.join(allowed, ["rule", "VALUE", *self.instance], "left_anti") if allowed is not None else None
+        on = ["VALUE", *self.instance]
+        types = self.dealt(self.data.where(F.col("KEY") == TYPE).select(F.col("ID").alias("VALUE"), F.col("VALUE").alias("class"), *self.instance), *on).distinct()
+        wrong = self.dealt(self.values(self.of("class")), *on).join(self.built(types.withColumnRenamed("class", "text")), ["VALUE", "text", *self.instance], "left_anti")
+        ranged = self.dealt(self.values(self.of("range")), *on).join(self.built(types.select(*on).distinct()), on, "left_semi")
+        allowed = self.of("range").select("rule", F.explode("items").alias("class")).join(types, "class").select("rule", *on).distinct() if self.has("range") else None
+        outside = ranged.join(self.built(allowed), ["rule", *on], "left_anti") if allowed is not None else None
         return [self.found(wrong), *([self.found(outside)] if outside is not None else [])]
 
     def pairs(self) -> list[DataFrame]:
