@@ -87,11 +87,11 @@ def pairs(data: DataFrame, path: str | tuple, within: Sequence[str] = (), starts
 
 def _repeated(kind: str, links: DataFrame, starts: DataFrame, within: list[str]) -> DataFrame:
     """Walks over links (ID, VALUE, *within) from starts; names carry the columns `within`, so that a walk stays where it began."""
-    name = lambda c: F.to_json(F.struct(F.col(c).alias("name"), *within))
+    name = lambda c: F.to_json(F.struct(F.col(c).alias("name"), *within)) if within else F.col(c)
     own = starts.select(name("ID").alias("s")).distinct()
     steps = links.select(name("ID").alias("s"), name("VALUE").alias("o"))
     found = zero_or_one(own, steps) if kind == "zero_or_one" else reach(steps, own, zero=kind == "zero_or_more")
-    part = lambda c, f: F.get_json_object(c, f"$.{f}")
+    part = lambda c, f: F.get_json_object(c, f"$.{f}") if within else F.col(c)
     return found.select(part("s", "name").alias("ID"), part("o", "name").alias("VALUE"), *(part("s", c).alias(c) for c in within))
 
 

@@ -102,3 +102,40 @@ def test_counts_of_values_are_dealt_by_rows(spark, monkeypatch):
         assert len(asked) == 4  # two kinds of nested values, conditions on values, bounds on counts
         parts[rows] = shapes._Run(g, rules, True).members.rdd.getNumPartitions()
     assert parts[50] == -(-g.count() // 50) > parts[500_000]
+
+
+def test_classes_are_looked_up_where_values_are_dealt(spark, monkeypatch):
+    """Conditions on classes of values, dealt by rows, find the same, also inside instances; nothing is merged by a sort."""
+    facts = [x for i in range(60) for x in [(f"o{i}", "Type", "O", f"e{i % 2}"), (f"o{i}", "O.to", f"c{i % 9}", f"e{i % 2}")]]
+    g = graph(spark, facts + [(f"c{i}", "Type", "C" if i % 2 else "D", "e0") for i in range(7)])
+    rules = [Rule("a", "class", "O", "O.to", "C"), Rule("b", "range", "O", "O.to", values=("C", "E"))]
+    monkeypatch.setattr(steps, "ROWS", 10)
+    found = validate(g, rules).select("ID", "SOURCE_SHAPE")
+    want = {(f"o{i}", "a") for i in range(60) if i % 9 in (0, 2, 4, 6, 7, 8)} | {(f"o{i}", "b") for i in range(60) if i % 9 in (0, 2, 4, 6)}
+    assert {(r["ID"], r["SOURCE_SHAPE"]) for r in found.collect()} == want
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    rules = [Rule(r.shape, r.component, r.target, r.path, r.value, r.values, profile="p") for r in rules]
+    pairs = spark.createDataFrame([("e0", "p"), ("e1", "p")], "INSTANCE_ID string, PROFILE string")
+    inside = {(r["ID"], r["SOURCE_SHAPE"]) for r in validate(g, rules, pairs=pairs).collect()}
+    assert inside == {x for x in want if int(x[0][1:]) % 2 == 0} | {(f"o{i}", "a") for i in range(1, 60, 2)}
+
+
+def test_violations_are_found_once_and_presented(spark):
+    """Their plan is not part of the plan that presents them."""
+    from quadweave.plans.presented import presented
+
+    g = graph(spark, [x for i in range(9) for x in [(f"o{i}", "Type", "O", "e"), (f"o{i}", "O.n", "1", "e"), (f"o{i}", "O.n", str(i), "e")]])
+    rules = [Rule("a", "maxCount", "O", "O.n", 1)]
+    found = presented(validate(g, rules), g, rules)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("component") == 0
+    assert {r["TARGET"] for r in found.collect()} == {f"found 2 values: '1', '{i}'" for i in range(9)}
+
+
+def test_names_without_instances_are_plain(spark):
+    """Walks inside one graph carry IDs as they are, and no texts of JSON."""
+    from quadweave.plans import paths
+
+    g = graph(spark, [("a", "k", "b", "e"), ("b", "k", "c\"{}", "e")])
+    found = paths.pairs(g, ("zero_or_one", "k"), starts=g.select("ID").distinct())
+    assert "json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("a", "a"), ("b", "b"), ("a", "b"), ("b", 'c"{}')}
