@@ -6,6 +6,7 @@ Odd rows: nulls, empty and long texts, rows repeated, and columns whose names th
 import base64
 import hashlib
 import math
+import pathlib
 import random
 import re
 from collections import defaultdict
@@ -860,3 +861,78 @@ def test_pseudo_likelihood_does_not_depend_on_partitions(spark, sf, monkeypatch)
         found.append(sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["mean_pll"] or 0.0) for r in rows))
     for other in found[1:]:
         assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(found[0], other, strict=True))
+
+
+def test_jaccard_differences_are_no_arrays(spark, monkeypatch):
+    """Members of a hub that differ in tens of thousands of shingles: no row holds the whole list beside one of its shingles."""
+    from quadweave.llm import jaccard_join
+
+    plans = {}
+
+    def noted(df, name, real=jaccard_join.written):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    beyond = 20_000
+    base = list(range(100, 100 + beyond))
+    rows = [(1, 2, 22, 30_000, 30_000, base, [], False), (1, 3, 33, 30_000, 30_000, [*base[1:], 7], [], False), (1, 4, 44, 30_000, 30_000, [8, 9], [], True)]
+    near = spark.createDataFrame([(a, b, hb, hub_n, n, more, less, len(more) + len(less), linked, len(more)) for a, b, hb, hub_n, n, more, less, linked in rows], "a long, b long, hb long, hub_n int, n int, more array<long>, less array<long>, d int, linked boolean, top int")
+    labels = spark.createDataFrame([], "node long, label long")
+    assert _rows(jaccard_join._around_hubs(near, labels, 50)) == [(22, 33)]
+    assert not [name for name, plan in plans.items() if "posexplode" in plan or "collect_list" in plan]
+
+
+def test_jaccard_repeated_ids(spark, monkeypatch):
+    """A document that stands many times under its id is one set, not a set for each row, when pairs are verified."""
+    from quadweave.llm import jaccard_join
+
+    sizes = []
+
+    def noted(*args, real=jaccard_join._candidate_sets):
+        sets = real(*args)
+        sizes.append((sets.count(), sets.select("h1").distinct().count()))
+        return sets
+
+    monkeypatch.setattr(jaccard_join, "_candidate_sets", noted)
+    words = [f"w{i}" for i in range(80)]
+    docs = spark.createDataFrame([(1, " ".join(words))] * 20 + [(2, " ".join([*words, "more"]))] * 20, "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs, 3, 90).collect()} == {1}
+    assert max(sizes)[0] and all(rows == classes for rows, classes in sizes)
+
+
+def test_jaccard_prefixes_come_in_bounded_batches(spark):
+    """Long texts: a batch of prefixes ends by its rows, not by a number of texts."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quadweave.llm import jaccard_join
+
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(20_000)) for i in range(40)])
+    cells = jaccard_join._frequency_classes(spark.createDataFrame([(1, "a b c d")], "key long, text string"), 2, 3, 10)
+    batches = list(jaccard_join._prefixes(3, 90, SimpleNamespace(value=cells))([pa.RecordBatch.from_arrays([texts], ["text"])]))
+    assert sum(b.num_rows for b in batches) >= 40 * 2000
+    assert max(b.num_rows for b in batches) < jaccard_join.PREFIX_ROWS + 3000
+
+
+@pytest.mark.parametrize("halvings", [0, 1, 3])
+def test_jaccard_order_knows_what_repeats(spark, monkeypatch, halvings):
+    """Shingles of many texts are known from the sample, however many others there are; links are those of all pairs."""
+    from quadweave.llm import jaccard_join
+    from quadweave.llm.kernels import shingle_sets
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "COUNTED", max(1, 60_000 >> halvings))
+    rng = random.Random(halvings)
+    common = "one very common line of eight words here"
+    docs = {i: f"{common} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for i in range(290)}
+    docs |= {i + 1000: docs[i] + " tail" for i in range(10)}
+    df = spark.createDataFrame(list(docs.items()), "key long, text string")
+    shingles = sum(len(s) for s in shingle_sets(pa.array(list(docs.values())), 3))
+    assert 60_000 < 2 * shingles and shingles <= 2 * 60_000
+    cells = jaccard_join._frequency_classes(df, shingles, 3, 1000)
+    (known,) = shingle_sets(pa.array([common]), 3)
+    assert (cells[(known & np.uint64(len(cells) - 1)).astype(np.int64)] >= 7).all() and (cells > 0).mean() < 0.2
+    assert _rows(jaccard_join.jaccard_components(df.withColumnRenamed("key", "doc_id"), 3, 90)) == _components(docs, 3, 90)
