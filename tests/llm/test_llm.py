@@ -863,6 +863,28 @@ def test_pseudo_likelihood_does_not_depend_on_partitions(spark, sf, monkeypatch)
         assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(found[0], other, strict=True))
 
 
+def _left_in(spark):
+    """Names of the tables that still lie in the shared folder, without their numbers."""
+    from quadweave.llm.scratch import shared_folder
+
+    top = pathlib.Path(shared_folder(spark).removeprefix("file://"), "quadweave")
+    return {x.name: re.sub(r"-[0-9a-f]{32}$", "", x.name) for x in top.glob("*")}
+
+
+def test_jaccard_drops_its_tables(spark, tmp_path):
+    """What a step of the join has written, and what it has shuffled, goes when no later step reads it."""
+    from quadweave.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(60)]
+    texts += [t + " more" for t in texts[:30]]
+    before = set(_left_in(spark))
+    jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90).write.parquet(str(tmp_path / "out"))
+    left = sorted(kind for name, kind in _left_in(spark).items() if name not in before)
+    assert left == ["classes", "labels", "statistics"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
 def test_jaccard_differences_are_no_arrays(spark, monkeypatch):
     """Members of a hub that differ in tens of thousands of shingles: no row holds the whole list beside one of its shingles."""
     from quadweave.llm import jaccard_join
